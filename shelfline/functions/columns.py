@@ -24,6 +24,20 @@ def total(c: str | Column) -> Column:
     return F.sum(money(c)).cast("double")
 
 
+def units(c: str | Column) -> Column:
+    """A double amount of one sale line in ten-thousandths, as a whole decimal.
+
+    Equal to ``money`` but several times cheaper per row: casting a double to a decimal with a scale goes
+    through its text. Sums stay exact and cannot overflow.
+    """
+    return F.rint(col(c) * 10000).cast("bigint").cast("decimal(18,0)")
+
+
+def line_total(c: str | Column) -> Column:
+    """``total`` for double amounts of single sale lines or days."""
+    return F.sum(units(c)).cast("double") / 10000
+
+
 def mean(amount: str | Column, weight: str | Column | None = None) -> Column:
     """Order-independent mean; with ``weight``, the mean of ``amount`` sums over ``weight`` counts."""
     count = F.count(col(amount)) if weight is None else F.sum(col(weight))

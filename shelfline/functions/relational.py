@@ -142,8 +142,13 @@ def exact_quantile(df: DataFrame, value: str, p: float, by: Sequence[str] = (),
 
 
 def value_counts(df: DataFrame, value: str, by: Sequence[str] = ()) -> DataFrame:
-    """Rows per distinct value: the combined input of ``exact_quantile``."""
-    return df.groupBy(*by, value).agg(F.count(F.lit(1)).alias("n"))
+    """Rows per distinct value: the combined input of ``exact_quantile``.
+
+    The value is returned as an aggregate, not as the grouping key: later filters then stay above the shuffle,
+    every reader of the counts has the same plan below it, and the shuffle is run once and reused.
+    """
+    counts = df.groupBy(*by, F.col(value).alias("_key")).agg(F.max(value).alias(value), F.count(F.lit(1)).alias("n"))
+    return counts.drop("_key")
 
 
 def rounded(df: DataFrame, /, **digits: int) -> DataFrame:

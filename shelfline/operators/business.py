@@ -7,7 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window as W, functions as F
 
 from ..functions.columns import (
-    growth_pct, is_completed, line_revenue, mean, money, month_offset, month_start, pct, ratio, total, within)
+    growth_pct, is_completed, line_revenue, line_total, mean, money, month_offset, month_start, pct, ratio, total, units,
+    within)
 from ..functions.relational import (
     any_flag_per_group, below_percentile_flag, comparable_stores, islands, pivot_metrics, rank_within)
 
@@ -110,15 +111,15 @@ def q4_gmroi(items: DataFrame, txn: DataFrame, products: DataFrame, vendors: Dat
     of the transactions.
     """
     lines = items.filter(F.col("unit_price") != 0) if exclude_zero_price else items
-    per_item = lines.join(txn.filter(is_completed()).select("transaction_id"), "transaction_id").groupBy("item_id").agg(
-        F.sum(money(line_revenue())).alias("revenue"), F.sum(money("quantity")).alias("units"))
+    done = txn.filter(is_completed()).select("transaction_id")
+    per_item = lines_with_headers(lines, done).groupBy("item_id").agg(
+        line_total(line_revenue()).alias("revenue"), line_total("quantity").alias("units"))
     sold = (
         per_item.join(products.select("item_id", "category", "cost", "vendor_id"), "item_id")
         .join(vendors.select("vendor_id", "vendor_name", F.col("tier").alias("vendor_tier")), "vendor_id")
         .groupBy("vendor_id", "vendor_name", "vendor_tier", "category").agg(
-            F.sum("revenue").cast("double").alias("gmv"),
-            F.sum(F.col("units").cast("decimal(20,4)") * money("cost")).cast("double").alias("costo_total"),
-            F.sum("units").cast("double").alias("unidades_vendidas"), F.count("item_id").alias("skus_activos")))
+            total("revenue").alias("gmv"), total(F.col("units") * F.col("cost")).alias("costo_total"),
+            total("units").alias("unidades_vendidas"), F.count("item_id").alias("skus_activos")))
     span = F.lit(float(days)) if days else txn.agg(
         (F.datediff(F.max("transaction_date"), F.min("transaction_date")) + 1).cast("double")).scalar()
     return (
@@ -129,12 +130,21 @@ def q4_gmroi(items: DataFrame, txn: DataFrame, products: DataFrame, vendors: Dat
         .drop("unidades_vendidas").orderBy("gmroi", "vendor_id", "category"))
 
 
+def lines_with_headers(items: DataFrame, headers: DataFrame, how: str = "inner") -> DataFrame:
+    """Sale lines with their header. Both are fact tables, so the join is a sort-merge join at any scale.
+
+    Nothing is sent to every task, work on the lines spreads over the cluster however few files they come in,
+    and adaptive execution splits a transaction that holds too many rows.
+    """
+    return items.join(headers.hint("merge"), "transaction_id", how)
+
+
 def daily_item_sales(items: DataFrame, txn: DataFrame) -> DataFrame:
     """Units and revenue per store, item and day of completed sales."""
     done = txn.filter(is_completed()).select("transaction_id", "store_id", "transaction_date")
-    return items.join(done, "transaction_id").groupBy(
+    return lines_with_headers(items, done).groupBy(
         "store_id", "item_id", F.col("transaction_date").alias("fecha_venta")
-    ).agg(F.sum(money("quantity")).alias("unidades"), F.sum(money(line_revenue())).alias("gmv_dia"))
+    ).agg(line_total("quantity").alias("unidades"), line_total(line_revenue()).alias("gmv_dia"))
 
 
 def stockout_gaps(daily: DataFrame, min_gap: int = 3, min_days: int = 7) -> DataFrame:
@@ -148,8 +158,8 @@ def stockout_gaps(daily: DataFrame, min_gap: int = 3, min_days: int = 7) -> Data
     days = F.count("fecha_venta").over(pair)
     return (
         daily.withColumn("_prev", prev).withColumn("dias_con_venta", days)
-        .withColumn("avg_unidades_dia", F.sum("unidades").over(pair).cast("double") / F.col("dias_con_venta"))
-        .withColumn("avg_gmv_dia", F.sum("gmv_dia").over(pair).cast("double") / F.col("dias_con_venta"))
+        .withColumn("avg_unidades_dia", F.sum(units("unidades")).over(pair).cast("double") / 10000 / F.col("dias_con_venta"))
+        .withColumn("avg_gmv_dia", F.sum(units("gmv_dia")).over(pair).cast("double") / 10000 / F.col("dias_con_venta"))
         .withColumn("duracion_dias", F.datediff("fecha_venta", "_prev") - 1)
         .filter((F.col("dias_con_venta") >= min_days) & (F.col("duracion_dias") >= min_gap))
         .select("store_id", "item_id", F.date_add("_prev", 1).alias("gap_inicio"),
@@ -161,7 +171,7 @@ def stockout_gaps_calendar(daily: DataFrame, min_gap: int = 3, min_days: int = 7
     """The same gaps by building every calendar day of every pair; a cross-check of ``stockout_gaps``."""
     ranges = daily.groupBy("store_id", "item_id").agg(
         F.min("fecha_venta").alias("_first"), F.max("fecha_venta").alias("_last"),
-        F.count("fecha_venta").alias("dias_con_venta"), F.sum("unidades").alias("_u"), F.sum("gmv_dia").alias("_g"),
+        F.count("fecha_venta").alias("dias_con_venta"), line_total("unidades").alias("_u"), line_total("gmv_dia").alias("_g"),
     ).filter(F.col("dias_con_venta") >= min_days)
     calendar = ranges.select(
         "store_id", "item_id", F.explode(F.sequence("_first", "_last", F.expr("interval 1 day"))).alias("fecha_venta"))
@@ -171,8 +181,8 @@ def stockout_gaps_calendar(daily: DataFrame, min_gap: int = 3, min_days: int = 7
     return runs.join(ranges, ["store_id", "item_id"]).select(
         "store_id", "item_id", F.col("run_start").alias("gap_inicio"), F.col("run_end").alias("gap_fin"),
         F.col("run_days").cast("int").alias("duracion_dias"), "dias_con_venta",
-        (F.col("_u").cast("double") / F.col("dias_con_venta")).alias("avg_unidades_dia"),
-        (F.col("_g").cast("double") / F.col("dias_con_venta")).alias("avg_gmv_dia"))
+        (F.col("_u") / F.col("dias_con_venta")).alias("avg_unidades_dia"),
+        (F.col("_g") / F.col("dias_con_venta")).alias("avg_gmv_dia"))
 
 
 def _lost_sales(gaps: DataFrame, stores: DataFrame, products: DataFrame, n: int | None) -> DataFrame:
@@ -215,17 +225,17 @@ def q6_promo_uplift(items: DataFrame, txn: DataFrame, products: DataFrame,
     """
     known = products.select("item_id", "category", F.lit(True).alias("_known"))
     per_cat = items.join(known, "item_id", "left").groupBy("transaction_id", "category", "_known").agg(
-        F.count(F.lit(1)).alias("lines"), F.sum(money("quantity")).alias("units"),
+        F.count(F.lit(1)).alias("lines"), line_total("quantity").alias("units"),
         F.max(F.col("was_on_promo").cast("int")).alias("promo"))
     flagged = per_cat.withColumn("tuvo_promo", F.max("promo").over(W.partitionBy("transaction_id"))).filter("_known")
     weight = F.lit(1) if dedupe_baskets else F.col("lines")
     amount = F.col("amount") * weight.cast("decimal(10,0)")
+    done = txn.filter(is_completed()).select("transaction_id", money("total_amount").alias("amount"))
     by_flag = (
-        flagged.join(txn.filter(is_completed()).select("transaction_id", money("total_amount").alias("amount")),
-                     "transaction_id")
+        lines_with_headers(flagged, done)
         .groupBy("category", "tuvo_promo").agg(
             F.count(F.lit(1)).alias("txn"), (F.sum(amount).cast("double") / F.sum(weight)).alias("ticket"),
-            (F.sum("units").cast("double") / F.count(F.lit(1))).alias("uds_por_txn")))
+            (line_total("units") / F.count(F.lit(1))).alias("uds_por_txn")))
     wide = pivot_metrics(by_flag, ["category"], "tuvo_promo", {"sin_promo": 0, "con_promo": 1},
                          ["txn", "ticket", "uds_por_txn"])
     return (

@@ -6,13 +6,13 @@ from collections.abc import Mapping, Sequence
 
 from pyspark.sql import DataFrame, Window as W, functions as F
 
-from ..functions.columns import money, pct, ratio, week_start
+from ..functions.columns import line_total, money, pct, ratio, week_start
 from .business import cohort_activity
 
 
 def _revenue_by(base: DataFrame, *keys) -> DataFrame:
     """Revenue per key; a group whose headers have no lines is worth zero, null keys are dropped."""
-    grouped = base.groupBy(*keys).agg(F.coalesce(F.sum(money("revenue")), F.lit(0)).cast("double").alias("gmv"))
+    grouped = base.groupBy(*keys).agg(F.coalesce(line_total("revenue"), F.lit(0.0)).alias("gmv"))
     return grouped.dropna(subset=[c for c in grouped.columns if c != "gmv"])
 
 
@@ -74,13 +74,13 @@ def p4_sales_daily(base: DataFrame) -> DataFrame:
     """Revenue per store, item, category and day; headers without lines have no item and are dropped."""
     known = base.dropna(subset=["store_id", "item_id", "category"])
     return known.groupBy("store_id", "item_id", "category", F.col("transaction_date").alias("fecha")).agg(
-        F.sum(money("revenue")).cast("double").alias("revenue"))
+        line_total("revenue").alias("revenue"))
 
 
 def p4_rotation(base: DataFrame) -> DataFrame:
     """Sale days and revenue per store and item."""
     return p4_sales_daily(base).groupBy("store_id", "item_id", "category").agg(
-        F.count(F.lit(1)).alias("dias_con_venta"), F.sum(money("revenue")).cast("double").alias("gmv_total"))
+        F.count(F.lit(1)).alias("dias_con_venta"), line_total("revenue").alias("gmv_total"))
 
 
 def p4_low_rotation(base: DataFrame, factor: float = 0.4, baseline: str = "global") -> DataFrame:

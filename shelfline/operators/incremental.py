@@ -6,7 +6,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from ..functions.columns import as_date, col, line_revenue, money, month_start
+from ..functions.columns import as_date, col, line_revenue, line_total, money, month_start
 from ..functions.relational import first_row
 from ..session import scratch_path
 from ..sources.writers import drop_partitions, path_exists, write_partitioned
@@ -95,9 +95,8 @@ def freshness_status(facts: DataFrame, stores: DataFrame, as_of, day: str = "dat
 def daily_aggregates(facts: DataFrame, by: Sequence[str] = ("store_id",)) -> DataFrame:
     """Revenue, margin, units and lines per day, the table dashboards read."""
     return facts.filter(~F.col("is_returned")).groupBy("date_id", *by).agg(
-        F.sum(money("gross_revenue")).cast("double").alias("gross_revenue"),
-        F.sum(money("gross_margin")).cast("double").alias("gross_margin"),
-        F.sum(money("quantity")).cast("double").alias("units"), F.count(F.lit(1)).alias("lines"))
+        line_total("gross_revenue").alias("gross_revenue"), line_total("gross_margin").alias("gross_margin"),
+        line_total("quantity").alias("units"), F.count(F.lit(1)).alias("lines"))
 
 
 def refresh_daily_aggregates(facts: DataFrame, path: str, days: Sequence | None = None,
@@ -134,7 +133,8 @@ def gmv_reconciliation(txn: DataFrame, items: DataFrame) -> DataFrame:
 
     Lines combine per transaction before they meet the headers; lines without a header form the null store.
     """
-    lines = items.groupBy("transaction_id").agg(F.sum(money(line_revenue())).alias("lines"))
+    lines = items.groupBy("transaction_id").agg(
+        money(line_total(line_revenue())).alias("lines"))
     both = txn.select("transaction_id", "store_id", "transaction_date", "status",
                       money("total_amount").alias("header")).join(lines, "transaction_id", "full")
     done = F.col("status") == "COMPLETED"

@@ -12,8 +12,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from ..functions.columns import (
-    count_when, growth_pct, is_completed, money, month_number, month_start, pct, period_start, quarter_start,
-    ratio, week_start)
+    count_when, growth_pct, is_completed, line_total, money, month_number, month_start, pct, period_start,
+    quarter_start, ratio, total, week_start)
 from ..functions.relational import dense_periods
 from .business import cohort_activity
 
@@ -28,7 +28,7 @@ def _lookup(table: Mapping[str, float], key: str) -> Column:
 
 def _store_periods(facts: DataFrame, period: str) -> DataFrame:
     return facts.filter(~F.col("is_returned")).groupBy("store_id", period_start("date_id", period).alias(period)).agg(
-        F.sum(money("gross_revenue")).cast("double").alias("gmv"))
+        line_total("gross_revenue").alias("gmv"))
 
 
 def kpi_north_star(facts: DataFrame, stores: DataFrame) -> DataFrame:
@@ -118,12 +118,12 @@ def kpi7_gmroi_vendor(facts: DataFrame, products: DataFrame, vendors: DataFrame,
                       targets: Mapping[str, float] = GMROI_TARGETS) -> DataFrame:
     """Quarterly gross margin over cost per vendor, against the target of its tier."""
     per_item = facts.filter(~F.col("is_returned")).groupBy("product_id", quarter_start("date_id").alias("quarter")).agg(
-        F.sum(money("gross_revenue")).alias("revenue"),
-        F.sum(money(F.col("unit_cost") * F.col("quantity"))).alias("cost"))
+        line_total("gross_revenue").alias("revenue"),
+        line_total(F.col("unit_cost") * F.col("quantity")).alias("cost"))
     per_vendor = (
         per_item.join(products.select(F.col("item_id").alias("product_id"), "vendor_id"), "product_id")
         .groupBy("vendor_id", "quarter").agg(
-            F.sum("revenue").cast("double").alias("revenue"), F.sum("cost").cast("double").alias("cost"))
+            total("revenue").alias("revenue"), total("cost").alias("cost"))
         .join(vendors.select("vendor_id", "vendor_name", "tier"), "vendor_id"))
     return (
         per_vendor.withColumn("gmroi", ratio(F.col("revenue") - F.col("cost"), F.col("cost")))

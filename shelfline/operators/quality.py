@@ -8,7 +8,7 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
-from ..functions.columns import count_when, line_revenue, money, pct
+from ..functions.columns import count_when, line_revenue, line_total, money, pct
 from ..functions.relational import exact_quantile, first_row, gaps, value_counts
 
 
@@ -24,10 +24,11 @@ def audit_completeness(txn: DataFrame) -> DataFrame:
         pct(with_card, rows).alias("pct_con_lealtad"), F.abs(missing - without).alias("diferencia"))
 
 
-def header_line_differences(txn: DataFrame, items: DataFrame) -> DataFrame:
+def header_line_differences(txn: DataFrame, items: DataFrame, keep: Sequence[str] = ()) -> DataFrame:
     """Header amount, line sum and their absolute difference for every header with lines."""
-    lines = items.groupBy("transaction_id").agg(F.sum(money(line_revenue())).alias("suma_items"))
-    headers = txn.select("transaction_id", "store_id", money("total_amount").alias("total_amount"))
+    lines = items.groupBy("transaction_id").agg(
+        money(line_total(line_revenue())).alias("suma_items"))
+    headers = txn.select("transaction_id", *keep, money("total_amount").alias("total_amount"))
     return headers.join(lines, "transaction_id").withColumn(
         "diferencia", F.abs(F.col("total_amount") - F.col("suma_items")).cast("decimal(24,4)"))
 
@@ -58,7 +59,7 @@ def audit_header_vs_lines(txn: DataFrame, items: DataFrame, tol=0.02) -> DataFra
 
 def audit_top_discrepancies(txn: DataFrame, items: DataFrame, tol=0.02, n: int = 5) -> DataFrame:
     return (
-        header_line_differences(txn, items).filter(F.col("diferencia") > _tolerance(tol))
+        header_line_differences(txn, items, ["store_id"]).filter(F.col("diferencia") > _tolerance(tol))
         .orderBy(F.desc("diferencia"), "transaction_id").limit(n)
         .select("transaction_id", "store_id",
                 *[F.col(c).cast("double").alias(c) for c in ("total_amount", "suma_items", "diferencia")]))

@@ -6,9 +6,10 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from ..functions.columns import RETURNED, as_date, line_revenue, month_start, money, ratio, total
+from ..functions.columns import RETURNED, as_date, line_revenue, line_total, month_start, ratio
 from ..functions.relational import first_row
 from .abtest import ab_assign, ab_weekly
+from .business import lines_with_headers
 
 ANONYMOUS = "ANON"
 UNKNOWN_VENDOR = "PROVEEDOR_DESCONOCIDO"
@@ -46,7 +47,7 @@ def fact_sales(items: DataFrame, txn: DataFrame, products: DataFrame, promos: Da
         "transaction_id", F.col("transaction_date").alias("date_id"), "store_id", "customer_id", "status",
     ).join(promotion_days(promos), ["store_id", "date_id"], "left")
     costs = products.select("item_id", F.col("cost").alias("unit_cost"))
-    joined = items.join(headers, "transaction_id", "left").join(costs, "item_id", "left")
+    joined = lines_with_headers(items, headers, "left").join(costs, "item_id", "left")
     revenue = line_revenue()
     return joined.select(
         F.col("transaction_item_id").alias("fact_sale_id"), "transaction_id", "date_id", "store_id",
@@ -159,7 +160,7 @@ def fact_promo_impact(facts: DataFrame) -> DataFrame:
     The reference price is off-promotion revenue over units; it is null for items never sold off promotion.
     """
     usual = facts.filter(~F.col("was_on_promo")).groupBy("product_id").agg(
-        ratio(total("gross_revenue"), total("quantity")).alias("list_price"))
+        ratio(line_total("gross_revenue"), line_total("quantity")).alias("list_price"))
     return facts.filter(F.col("was_on_promo")).join(usual, "product_id", "left").select(
         "fact_sale_id", "transaction_id", "date_id", "store_id", "product_id", "promo_id", "quantity", "unit_price",
         "list_price", (F.col("list_price") * F.col("quantity") - F.col("gross_revenue")).alias("discount_value"))
@@ -168,4 +169,4 @@ def fact_promo_impact(facts: DataFrame) -> DataFrame:
 def v_daily_gmv(facts: DataFrame) -> DataFrame:
     """Certified revenue per store and day: line revenue without returned sales."""
     return facts.filter(~F.col("is_returned")).groupBy("store_id", "date_id").agg(
-        F.sum(money("gross_revenue")).cast("double").alias("gmv"), F.sum(money("quantity")).cast("double").alias("units"))
+        line_total("gross_revenue").alias("gmv"), line_total("quantity").alias("units"))

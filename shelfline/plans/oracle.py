@@ -585,6 +585,14 @@ SELECT n_control, n_treatment, round(mean_control, 4) AS mean_control, round(mea
        round(diff_abs, 4) AS diff_abs, round(lift_pct, 4) AS lift_pct, round(p_value, 6) AS p_value,
        round(diff_abs - 1.96 * se, 4) AS ci_low, round(diff_abs + 1.96 * se, 4) AS ci_high,
        p_value < 0.05 AS significativo FROM {welch('store_avg')}""")
+add("ab_ci_t", f"""
+SELECT n_control, n_treatment, round(diff_abs - hi * se, 2) AS ci_low, round(diff_abs + hi * se, 2) AS ci_high
+FROM (WITH RECURSIVE s AS (SELECT *, least(pi() / 2, 40.0 / sqrt(df)) AS e FROM {welch('store_avg')}),
+      b AS (SELECT 0 AS i, CAST(0.0 AS DOUBLE) AS lo, CAST(1000.0 AS DOUBLE) AS hi, n_control, n_treatment, diff_abs, se, df, e FROM s
+            UNION ALL SELECT i + 1, CASE WHEN p > 0.05 THEN mid ELSE lo END, CASE WHEN p > 0.05 THEN hi ELSE mid END,
+                             n_control, n_treatment, diff_abs, se, df, e
+            FROM (SELECT *, (lo + hi) / 2 AS mid, {student_p('atan((lo + hi) / 2 / sqrt(df))', 'df')} AS p FROM b WHERE i < 60))
+      SELECT * FROM b WHERE i = 60)""")
 add("ab_box_stats", """
 SELECT variant, count(*) AS n, round(min(avg_gmv_week), 4) AS minimo, round(quantile_cont(avg_gmv_week, 0.25), 4) AS q1,
        round(quantile_cont(avg_gmv_week, 0.5), 4) AS mediana, round(quantile_cont(avg_gmv_week, 0.75), 4) AS q3,
@@ -840,7 +848,7 @@ SELECT store_id, format, month, round(z_gmv_m2, 6) AS z_gmv_m2, round(z_retencio
 def check(kpi: str, unit: str, period: str, rule: str, value: str, source: str, bad: str) -> str:
     return f"""
 SELECT '{kpi}' AS kpi, CAST({unit} AS VARCHAR) AS unidad, CAST({period} AS DATE) AS periodo, '{rule}' AS regla,
-       round(CAST({value} AS DOUBLE), 4) AS valor, TRUE AS marcado FROM {source} WHERE {bad}"""
+       CAST({value} AS DOUBLE) AS valor, TRUE AS marcado FROM {source} WHERE {bad}"""
 
 
 KPI1_NETWORK = f"""(SELECT *, growth - lag(growth) OVER (ORDER BY month) AS step

@@ -9,8 +9,24 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 
-def _table(spark: SparkSession, directory: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{directory}/{name}.parquet")
+RAW = {
+    "region": "r_regionkey int, r_name string",
+    "nation": "n_nationkey int, n_name string, n_regionkey int",
+    "customer": "c_custkey bigint, c_name string, c_nationkey int, c_acctbal double, c_mktsegment string",
+    "supplier": "s_suppkey bigint, s_name string, s_nationkey int, s_acctbal double",
+    "part": "p_partkey bigint, p_name string, p_brand string, p_type string, p_size int, p_retailprice double",
+    "orders": "o_orderkey bigint, o_custkey bigint, o_orderstatus string, o_totalprice double, "
+              "o_orderdate timestamp_ntz, o_orderpriority string",
+    "lineitem": "l_orderkey bigint, l_partkey bigint, l_suppkey bigint, l_linenumber int, l_quantity double, "
+                "l_extendedprice double, l_discount double, l_tax double, l_returnflag string, l_linestatus string, "
+                "l_shipdate timestamp_ntz",
+    "events": "event_id bigint, ts timestamp_ntz, user_id bigint, event_type string, value double, props string",
+}
+
+
+def raw(spark: SparkSession, directory: str, name: str) -> DataFrame:
+    """A test table by its fixed schema, without a footer-reading job."""
+    return spark.read.schema(RAW[name]).parquet(f"{directory}/{name}.parquet")
 
 
 def _bounded(df: DataFrame, ts: str, start, end) -> DataFrame:
@@ -27,9 +43,9 @@ def _store_id(nation: str = "n_name", segment: str = "c_mktsegment") -> Column:
 
 
 def stores(spark: SparkSession, directory: str) -> DataFrame:
-    pairs = _table(spark, directory, "customer").select("c_nationkey", "c_mktsegment").distinct()
-    nation = _table(spark, directory, "nation")
-    region = _table(spark, directory, "region")
+    pairs = raw(spark, directory, "customer").select("c_nationkey", "c_mktsegment").distinct()
+    nation = raw(spark, directory, "nation")
+    region = raw(spark, directory, "region")
     key, length = F.col("c_nationkey"), F.length("c_mktsegment")
     return (
         pairs.join(nation, pairs.c_nationkey == nation.n_nationkey)
@@ -47,26 +63,33 @@ def stores(spark: SparkSession, directory: str) -> DataFrame:
         ))
 
 
-def transactions(spark: SparkSession, directory: str, start=None, end=None) -> DataFrame:
-    orders = _bounded(_table(spark, directory, "orders"), "o_orderdate", start, end)
-    customer = _table(spark, directory, "customer").select("c_custkey", "c_nationkey", "c_mktsegment")
-    nation = _table(spark, directory, "nation").select("n_nationkey", "n_name")
-    buyer = customer.join(nation, customer.c_nationkey == nation.n_nationkey)
+def headers(spark: SparkSession, directory: str, start=None, end=None) -> DataFrame:
+    """Transactions without their store, which needs the customer: for operators that never look at stores."""
     loyal = F.col("o_custkey") % 5 < 2
-    return orders.join(buyer, orders.o_custkey == buyer.c_custkey).select(
+    return _bounded(raw(spark, directory, "orders"), "o_orderdate", start, end).select(
         F.col("o_orderkey").alias("transaction_id"),
-        _store_id().alias("store_id"),
         F.when(loyal, F.col("o_custkey")).alias("customer_id"),
         F.col("o_orderdate").cast("date").alias("transaction_date"),
         F.col("o_totalprice").cast("decimal(18,2)").alias("total_amount"),
         F.when(F.col("o_orderstatus") == "P", "RETURNED").otherwise("COMPLETED").alias("status"),
         F.col("o_orderpriority").alias("payment_method"),
         loyal.alias("loyalty_card"),
+        F.col("o_custkey").alias("_custkey"),
     )
 
 
+def transactions(spark: SparkSession, directory: str, start=None, end=None) -> DataFrame:
+    customer = raw(spark, directory, "customer").select("c_custkey", "c_nationkey", "c_mktsegment")
+    nation = raw(spark, directory, "nation").select("n_nationkey", "n_name")
+    buyer = customer.join(nation, customer.c_nationkey == nation.n_nationkey).select(
+        F.col("c_custkey").alias("_custkey"), _store_id().alias("store_id"))
+    return headers(spark, directory, start, end).join(buyer, "_custkey").select(
+        "transaction_id", "store_id", "customer_id", "transaction_date", "total_amount", "status", "payment_method",
+        "loyalty_card")
+
+
 def transaction_items(spark: SparkSession, directory: str) -> DataFrame:
-    return _table(spark, directory, "lineitem").select(
+    return raw(spark, directory, "lineitem").select(
         (F.col("l_orderkey") * 100 + F.col("l_linenumber")).alias("transaction_item_id"),
         F.col("l_orderkey").alias("transaction_id"),
         F.col("l_partkey").alias("item_id"),
@@ -77,9 +100,9 @@ def transaction_items(spark: SparkSession, directory: str) -> DataFrame:
 
 
 def products(spark: SparkSession, directory: str) -> DataFrame:
-    part = _table(spark, directory, "part")
+    part = raw(spark, directory, "part")
     seller = (
-        _table(spark, directory, "lineitem").groupBy("l_partkey").agg(F.min("l_suppkey").alias("first_suppkey")))
+        raw(spark, directory, "lineitem").groupBy("l_partkey").agg(F.min("l_suppkey").alias("first_suppkey")))
     return part.join(seller, part.p_partkey == seller.l_partkey, "left").select(
         F.col("p_partkey").alias("item_id"),
         F.col("p_name").alias("item_name"),
@@ -93,14 +116,14 @@ def products(spark: SparkSession, directory: str) -> DataFrame:
 
 def item_categories(spark: SparkSession, directory: str) -> DataFrame:
     """``products`` without its vendor, for operators that need no seller lookup."""
-    return _table(spark, directory, "part").select(
+    return raw(spark, directory, "part").select(
         F.col("p_partkey").alias("item_id"), F.col("p_name").alias("item_name"),
         F.col("p_type").alias("category"), F.col("p_retailprice").alias("cost"))
 
 
 def vendors(spark: SparkSession, directory: str) -> DataFrame:
     tier = F.col("s_suppkey") % 3
-    return _table(spark, directory, "supplier").select(
+    return raw(spark, directory, "supplier").select(
         F.col("s_suppkey").alias("vendor_id"),
         F.col("s_name").alias("vendor_name"),
         F.lit(None).cast("string").alias("country"),
@@ -111,8 +134,8 @@ def vendors(spark: SparkSession, directory: str) -> DataFrame:
 
 def store_promotions(spark: SparkSession, directory: str) -> DataFrame:
     """One display test per store; the stores of nation 8 are assigned to both variants."""
-    nation = _table(spark, directory, "nation").select("n_nationkey", "n_name")
-    pairs = _table(spark, directory, "customer").select("c_nationkey", "c_mktsegment").distinct()
+    nation = raw(spark, directory, "nation").select("n_nationkey", "n_name")
+    pairs = raw(spark, directory, "customer").select("c_nationkey", "c_mktsegment").distinct()
     named = pairs.join(nation, pairs.c_nationkey == nation.n_nationkey)
     own = F.when(F.col("c_nationkey") % 2 == 0, "CONTROL").otherwise("TREATMENT")
     base = F.struct(own.alias("variant"), F.lit("1999-03-01").cast("date").alias("start_date"))
@@ -141,17 +164,20 @@ def shelf(spark: SparkSession, directory: str) -> dict[str, DataFrame]:
     Store and part pairs sell too rarely for gap detection; supplier and brand pairs sell often enough. One
     transaction is a supplier's day.
     """
-    part = _table(spark, directory, "part").select("p_partkey", "p_brand", "p_type")
-    lines = _table(spark, directory, "lineitem")
-    visit = F.concat_ws("|", F.col("l_suppkey"), F.col("l_shipdate").cast("date"))
+    part = raw(spark, directory, "part").select("p_partkey", "p_brand", "p_type")
+    lines = raw(spark, directory, "lineitem")
+    epoch = F.lit("1970-01-01").cast("date")
+    visit = F.col("l_suppkey") * 100000 + F.datediff(F.col("l_shipdate").cast("date"), epoch)
     items = lines.join(part, lines.l_partkey == part.p_partkey).select(
         visit.alias("transaction_id"), F.col("p_brand").alias("item_id"), F.col("l_quantity").alias("quantity"),
         (F.col("l_extendedprice") / F.col("l_quantity")).alias("unit_price"))
-    visits = lines.select("l_suppkey", F.col("l_shipdate").cast("date").alias("transaction_date")).distinct()
+    # The id holds supplier and day, so distinct ids are hashed once for both the distinct and the join.
+    visits = lines.select(visit.alias("transaction_id")).distinct()
     txn = visits.select(
-        F.concat_ws("|", F.col("l_suppkey"), F.col("transaction_date")).alias("transaction_id"),
-        F.col("l_suppkey").alias("store_id"), "transaction_date", F.lit("COMPLETED").alias("status"))
-    supplier = _table(spark, directory, "supplier")
+        "transaction_id", F.floor(F.col("transaction_id") / 100000).alias("store_id"),
+        F.date_add(epoch, (F.col("transaction_id") % 100000).cast("int")).alias("transaction_date"),
+        F.lit("COMPLETED").alias("status"))
+    supplier = raw(spark, directory, "supplier")
     shops = supplier.select(
         F.col("s_suppkey").alias("store_id"), F.col("s_name").alias("store_name"),
         F.concat(F.lit("ZONE_"), F.col("s_nationkey") % 5).alias("format"),

@@ -11,7 +11,7 @@ from ..functions.columns import money
 from ..operators.incremental import route_late, upsert_facts
 
 
-def stream_ingest(spark: SparkSession, path: str, schema: T.StructType, fmt: str = "parquet",
+def stream_ingest(spark: SparkSession, path: str, schema: T.StructType | str, fmt: str = "parquet",
                   files_per_trigger: int | None = None, glob: str | None = None) -> DataFrame:
     """Raw files as a stream, stamped with their arrival time."""
     reader = spark.readStream.schema(schema).format(fmt)
