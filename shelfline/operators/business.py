@@ -10,7 +10,7 @@ from ..functions.columns import (
     growth_pct, is_completed, line_revenue, line_total, mean, money, month_offset, month_start, pct, ratio, total, units,
     within)
 from ..functions.relational import (
-    any_flag_per_group, below_percentile_flag, comparable_stores, islands, pivot_metrics, rank_within)
+    any_flag_per_group, below_percentile_flag, comparable_stores, pivot_metrics, rank_within)
 
 # Fixed default periods of the published queries.
 CURRENT_HALF = ("2025-01-01", "2025-06-30")
@@ -168,21 +168,24 @@ def stockout_gaps(daily: DataFrame, min_gap: int = 3, min_days: int = 7) -> Data
 
 
 def stockout_gaps_calendar(daily: DataFrame, min_gap: int = 3, min_days: int = 7) -> DataFrame:
-    """The same gaps by building every calendar day of every pair; a cross-check of ``stockout_gaps``."""
-    ranges = daily.groupBy("store_id", "item_id").agg(
-        F.min("fecha_venta").alias("_first"), F.max("fecha_venta").alias("_last"),
-        F.count("fecha_venta").alias("dias_con_venta"), line_total("unidades").alias("_u"), line_total("gmv_dia").alias("_g"),
+    """The same gaps by laying out every calendar day of every pair; a cross-check of ``stockout_gaps``.
+
+    A pair's calendar less its sale days stays one array of dates, so idle days need neither a join nor a
+    second shuffle; a day minus its position is constant inside a run of days.
+    """
+    pairs = daily.groupBy("store_id", "item_id").agg(
+        F.collect_set("fecha_venta").alias("_sold"), F.count("fecha_venta").alias("dias_con_venta"),
+        (line_total("unidades") / F.count("fecha_venta")).alias("avg_unidades_dia"),
+        (line_total("gmv_dia") / F.count("fecha_venta")).alias("avg_gmv_dia"),
     ).filter(F.col("dias_con_venta") >= min_days)
-    calendar = ranges.select(
-        "store_id", "item_id", F.explode(F.sequence("_first", "_last", F.expr("interval 1 day"))).alias("fecha_venta"))
-    idle = calendar.join(
-        daily.select("store_id", "item_id", "fecha_venta"), ["store_id", "item_id", "fecha_venta"], "left_anti")
-    runs = islands(idle, ["store_id", "item_id"], "fecha_venta").filter(F.col("run_days") >= min_gap)
-    return runs.join(ranges, ["store_id", "item_id"]).select(
-        "store_id", "item_id", F.col("run_start").alias("gap_inicio"), F.col("run_end").alias("gap_fin"),
-        F.col("run_days").cast("int").alias("duracion_dias"), "dias_con_venta",
-        (F.col("_u") / F.col("dias_con_venta")).alias("avg_unidades_dia"),
-        (F.col("_g") / F.col("dias_con_venta")).alias("avg_gmv_dia"))
+    averages = ["dias_con_venta", "avg_unidades_dia", "avg_gmv_dia"]
+    calendar = F.sequence(F.array_min("_sold"), F.array_max("_sold"), F.expr("interval 1 day"))
+    idle = pairs.select(
+        "store_id", "item_id", *averages, F.posexplode(F.array_except(calendar, "_sold")).alias("_pos", "_day"))
+    runs = idle.groupBy("store_id", "item_id", *averages, F.date_sub("_day", F.col("_pos")).alias("_run")).agg(
+        F.min("_day").alias("gap_inicio"), F.max("_day").alias("gap_fin"),
+        F.count(F.lit(1)).cast("int").alias("duracion_dias")).filter(F.col("duracion_dias") >= min_gap)
+    return runs.select("store_id", "item_id", "gap_inicio", "gap_fin", "duracion_dias", *averages)
 
 
 def _lost_sales(gaps: DataFrame, stores: DataFrame, products: DataFrame, n: int | None) -> DataFrame:
