@@ -26,7 +26,8 @@ def upsert_facts(spark: SparkSession, path: str, staging: DataFrame, key: str =
 
     Per key the newest staged row wins, and a staged row older than the stored one is ignored, so replays
     and batches out of order do no harm. A correction may move a row to another date: the partitions
-    rewritten are those of the new dates and of the dates the keys had before.
+    rewritten are those of the new dates and of the dates the keys had before. Finding the latter reads three
+    columns of the table, other partitions are not touched.
 
     The rewritten partitions are first completed in the shared scratch folder and then put in place. A run
     that dies in between is repeated with its ``run_id`` and finishes from there.

@@ -11,11 +11,7 @@ from .schemas import TABLES
 
 
 def load_table(spark: SparkSession, path: str, schema: T.StructType, fmt: str = "csv") -> DataFrame:
-    """One table in the column order of its schema.
-
-    CSV columns are matched by position, so a file without the optional columns is read by its own header
-    through ``header_schema``.
-    """
+    """One table by a given schema; a CSV header must name the same columns in the same order."""
     reader = spark.read.schema(schema)
     if fmt == "csv":
         reader = reader.option("header", True).option("enforceSchema", False)
