@@ -25,16 +25,16 @@ def total(c: str | Column) -> Column:
 
 
 def units(c: str | Column) -> Column:
-    """A double amount of one sale line in ten-thousandths, as a whole decimal.
+    """The amount or quantity of one sale line in ten-thousandths, as a whole decimal.
 
     Equal to ``money`` but several times cheaper per row: casting a double to a decimal with a scale goes
     through its text. Sums stay exact and cannot overflow.
     """
-    return F.rint(col(c) * 10000).cast("bigint").cast("decimal(18,0)")
+    return F.rint(col(c).cast("double") * 10000).cast("bigint").cast("decimal(18,0)")
 
 
 def line_total(c: str | Column) -> Column:
-    """``total`` for double amounts of single sale lines or days."""
+    """``total`` for the amounts and quantities of single sale lines or days."""
     return F.sum(units(c)).cast("double") / 10000
 
 

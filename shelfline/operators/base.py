@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
-from ..functions.columns import count_when, is_completed, line_revenue, money, pct, total
+from ..functions.columns import count_when, is_completed, line_revenue, line_total, money, pct
 
 
 def clean_transactions(txn: DataFrame, stores: DataFrame) -> DataFrame:
@@ -45,21 +45,29 @@ def sales_base(txn: DataFrame, stores: DataFrame, items: DataFrame, products: Da
         .withColumn("revenue", line_revenue()))
 
 
-def analysis_summary(txn: DataFrame, stores: DataFrame, gmv: DataFrame | None = None) -> DataFrame:
-    """One row: transactions, GMV, loyalty rate, countries and formats.
+def with_line_amount(txn: DataFrame, items: DataFrame) -> DataFrame:
+    """Headers whose ``total_amount`` is the sum of their lines, zero without lines.
 
-    ``txn`` are clean headers. Headers are combined per store before the store join. GMV is the header amount
-    unless a one-column ``gmv`` frame of line revenue is given.
+    Operators take the header amount as GMV; pass these headers to run them on line revenue instead.
     """
+    lines = items.groupBy("transaction_id").agg(line_total(line_revenue()).alias("_lines"))
+    return txn.join(lines, "transaction_id", "left").select(*[
+        money(F.coalesce("_lines", F.lit(0.0))).alias(c) if c == "total_amount" else F.col(c) for c in txn.columns])
+
+
+def analysis_summary(txn: DataFrame, stores: DataFrame, items: DataFrame | None = None) -> DataFrame:
+    """One row: transactions, GMV, loyalty rate, countries and formats of clean headers.
+
+    GMV is line revenue when ``items`` are given, else the header amount. Headers combine per store before the
+    store join.
+    """
+    if items is not None:
+        txn = with_line_amount(txn, items)
     per_store = txn.groupBy("store_id").agg(
         F.count(F.lit(1)).alias("n"), F.sum(money("total_amount")).alias("amount"),
         count_when(F.col("loyalty_card")).alias("loyal"))
-    summary = per_store.join(stores.select("store_id", "country", "format"), "store_id", "left").agg(
+    return per_store.join(stores.select("store_id", "country", "format"), "store_id", "left").agg(
         F.sum("n").alias("total_tx"), F.sum("amount").cast("double").alias("total_gmv"),
         pct(F.sum("loyal"), F.sum("n")).alias("loyalty_rate"),
         F.array_join(F.sort_array(F.collect_set("country")), ",").alias("countries"),
         F.array_join(F.sort_array(F.collect_set("format")), ",").alias("formats"))
-    if gmv is not None:
-        lines = gmv.agg(total(gmv.columns[0]).alias("v"))
-        summary = summary.withColumn("total_gmv", lines.scalar())
-    return summary

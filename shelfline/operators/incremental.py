@@ -34,33 +34,30 @@ def upsert_facts(spark: SparkSession, path: str, staging: DataFrame, key: str =
     """
     root = f"{scratch_path(spark, 'upsert').rsplit('/', 1)[0]}/upsert-{run_id}" if run_id else scratch_path(spark, "upsert")
     rewritten, touched_path = f"{root}/rows", f"{root}/touched"
+    part = F.col(by).cast("string").alias("part")
+    newest = first_row(staging, [key], [order], last=True)
+    if not path_exists(spark, path):
+        write_partitioned(newest, path, by)
+        return sorted(r.part for r in spark.read.schema(staging.schema).parquet(path).select(part).distinct().collect())
     if not path_exists(spark, f"{rewritten}/_SUCCESS"):
-        newest = first_row(staging, [key], [order], last=True)
-        first_load = not path_exists(spark, path)
-        if first_load:
-            fresh = newest.withColumn("_old", F.array().cast("array<string>"))
-        else:
-            target = spark.read.schema(staging.schema).parquet(path)
-            hits = (
-                target.select(key, by, order).join(newest.select(key), key, "left_semi").groupBy(key)
-                .agg(F.max(order).alias("_stored"), F.collect_set(F.col(by).cast("string")).alias("_old")))
-            fresh = newest.join(hits, key, "left").filter(
-                F.col("_stored").isNull() | (F.col("_stored") <= F.col(order))).drop("_stored")
+        target = spark.read.schema(staging.schema).parquet(path)
+        hits = (
+            target.select(key, by, order).join(newest.select(key), key, "left_semi").groupBy(key)
+            .agg(F.max(order).alias("_stored"), F.collect_set(F.col(by).cast("string")).alias("_old")))
+        fresh = newest.join(hits, key, "left").filter(
+            F.col("_stored").isNull() | (F.col("_stored") <= F.col(order))).drop("_stored")
         fresh.write.mode("overwrite").parquet(f"{root}/fresh")
         fresh = spark.read.parquet(f"{root}/fresh")
         old = F.coalesce("_old", F.array().cast("array<string>"))
         # One value per calendar day at most.
         fresh.select(F.explode(F.array_union(old, F.array(F.col(by).cast("string")))).alias("part")).distinct(
         ).coalesce(1).write.mode("overwrite").parquet(touched_path)
-        rows = fresh.select(*staging.columns)
-        if not first_load:
-            parts = [r.part for r in spark.read.parquet(touched_path).collect()]
-            kept = target.filter(F.col(by).cast("string").isin(parts)) if parts else target.limit(0)
-            rows = kept.join(fresh.select(key), key, "left_anti").unionByName(rows)
-        write_partitioned(rows, rewritten, by)
+        parts = [r.part for r in spark.read.parquet(touched_path).collect()]
+        kept = target.filter(F.col(by).cast("string").isin(parts)).join(fresh.select(key), key, "left_anti")
+        kept.unionByName(fresh.select(*staging.columns)).write.mode("overwrite").parquet(rewritten)
     touched = sorted(r.part for r in spark.read.parquet(touched_path).collect())
     done = spark.read.schema(staging.schema).parquet(rewritten)
-    filled = {r.part for r in done.select(F.col(by).cast("string").alias("part")).distinct().collect()}
+    filled = {r.part for r in done.select(part).distinct().collect()}
     if filled:
         (done.hint("rebalance", by).write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
          .partitionBy(by).parquet(path))

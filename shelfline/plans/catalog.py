@@ -128,6 +128,11 @@ def write_partitioned(spark, d):
 
 @query
 def analysis_summary(spark, d):
+    return base.analysis_summary(_clean(spark, d), adapter.stores(spark, d), adapter.transaction_items(spark, d))
+
+
+@query
+def analysis_summary_headers(spark, d):
     return base.analysis_summary(_clean(spark, d), adapter.stores(spark, d))
 
 
@@ -413,7 +418,7 @@ def _shelf_lines(spark, d):
     """Supplier and brand sales with the brand's category: dense enough for sale days to vary."""
     t = adapter.shelf(spark, d)
     return (
-        t["transaction_items"].join(t["transactions"], "transaction_id")
+        business.lines_with_headers(t["transaction_items"], t["transactions"])
         .join(t["products"].select("item_id", "category"), "item_id").withColumn("revenue", line_revenue()))
 
 

@@ -232,8 +232,11 @@ add("write_result", "SELECT * FROM weekly_format")
 add("write_partitioned", f"""
 SELECT {month('date_id')} AS month_id, count(*) AS lines, {total('gross_revenue')} AS revenue FROM facts
 WHERE date_id BETWEEN DATE '{PRIOR[0]}' AND DATE '{CUR[1]}' GROUP BY 1""")
-add("analysis_summary", f"""
-SELECT count(*) AS total_tx, {total('total_amount')} AS total_gmv, {N_PCT('loyalty_card')} AS loyalty_rate,
+for _name, _gmv in (
+    ("analysis_summary", f"(SELECT {total('revenue')} FROM base)"), ("analysis_summary_headers", total("total_amount")),
+):
+    add(_name, f"""
+SELECT count(*) AS total_tx, {_gmv} AS total_gmv, {N_PCT('loyalty_card')} AS loyalty_rate,
        string_agg(DISTINCT country, ',' ORDER BY country) AS countries,
        string_agg(DISTINCT format, ',' ORDER BY format) AS formats
 FROM clean LEFT JOIN stores USING (store_id)""")

@@ -95,6 +95,11 @@ def test_weeks_start_on_monday(spark):
     assert rows(df.select(week_start("d"))) == [(day("2024-08-26"),), (day("2024-09-02"),)]
 
 
+def test_large_whole_quantities_do_not_overflow(spark):
+    df = spark.createDataFrame([(2_000_000_000,)] * 3, "q int")
+    assert df.agg(line_total("q")).first()[0] == 6e9
+
+
 def test_sums_do_not_depend_on_order(spark):
     values = [0.1, 1e11, -1e11, 0.2, 12345.6789] * 50
     one = spark.createDataFrame([(v,) for v in values], "v double").coalesce(1).agg(total("v"), line_total("v")).first()
