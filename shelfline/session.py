@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import SparkSession
@@ -23,8 +22,8 @@ PARTITION_BYTES = 128 * 1024 * 1024
 
 
 def shuffle_partitions(input_bytes: int) -> int:
-    """Partitions to start a shuffle of ``input_bytes`` with: 100 TB gives some 800,000, kept to 200,000."""
-    return max(200, min(200_000, -(-input_bytes // PARTITION_BYTES)))
+    """Partitions to start a shuffle of ``input_bytes`` with: 100 TB gives some 800,000."""
+    return max(1, -(-input_bytes // PARTITION_BYTES))
 
 
 def build_session(app_name: str = "shelfline", master: str | None = None, input_bytes: int | None = None,
@@ -48,14 +47,8 @@ def build_session(app_name: str = "shelfline", master: str | None = None, input_
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:
-    """A fresh folder under ``spark.checkpoint.dir``.
-
-    The cluster names a folder that every executor sees. Only a local master may run without it, and then
-    a temporary folder of this machine is used.
-    """
+    """A fresh folder under ``spark.checkpoint.dir``, else under the session's warehouse; executors see both."""
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError("set spark.checkpoint.dir to a folder all executors share")
-        root = tempfile.mkdtemp(prefix="shelfline-")
+        root = f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/_scratch"
     return f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex}"
