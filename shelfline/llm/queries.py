@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from .ngram_join import op9_ngram_join
+from .packing import op7_packing
 
-QUERIES = {f.__name__: f for f in (op9_ngram_join,)}
+QUERIES = {f.__name__: f for f in (op7_packing, op9_ngram_join)}
 ORACLE: dict[str, str] = {}
