@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+from .line_dedup import OP4_SQL, op4_line_dedup
 from .ngram_join import op9_ngram_join
 from .packing import op7_packing
+from .quality import op8_quality_neighbours
 
-QUERIES = {f.__name__: f for f in (op7_packing, op9_ngram_join)}
-ORACLE: dict[str, str] = {}
+QUERIES = {f.__name__: f for f in (op4_line_dedup, op7_packing, op8_quality_neighbours, op9_ngram_join)}
+ORACLE = {"op4_line_dedup": OP4_SQL}
