@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
+from .decontaminate import OP5_SQL, op5_decontamination
 from .line_dedup import OP4_SQL, op4_line_dedup
 from .ngram_join import op9_ngram_join
 from .packing import op7_packing
 from .quality import op8_quality_neighbours
 
-QUERIES = {f.__name__: f for f in (op4_line_dedup, op7_packing, op8_quality_neighbours, op9_ngram_join)}
-ORACLE = {"op4_line_dedup": OP4_SQL}
+QUERIES = {f.__name__: f for f in (op4_line_dedup, op5_decontamination, op7_packing, op8_quality_neighbours, op9_ngram_join)}
+ORACLE = {"op4_line_dedup": OP4_SQL, "op5_decontamination": OP5_SQL}
