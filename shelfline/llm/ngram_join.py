@@ -2,13 +2,17 @@
 
 A document's tokens are its distinct word shingles. Two sets whose Jaccard similarity reaches the threshold share at
 least one token in their prefixes under *any* total order of the tokens; with prefixes longer by ``l - 1`` they share
-at least ``l``. The join uses three orders, each by another hash:
+at least ``l``. The join intersects the filters of four orders:
 
-1. Under the first order, prefixes that are longer by a fifth of the set are posted by token. A document stays a
-   candidate only while enough of its posted tokens are shared with other candidates (repeated until hardly any
-   goes), which removes documents that merely share passages.
-2. A pair that shares posted tokens must also share prefix tokens under the second **and** the third order.
-3. What is left is verified on the whole sets.
+1. Under the first, by hash, prefixes that are longer by a fifth of the set are posted by token. A document stays a
+   candidate only while enough of its posted tokens are shared with other candidates, which removes documents that
+   merely share passages without looking at any pair.
+2. The candidates' whole sets are posted, and a document stays only while 80 % of its tokens are shared. What is left
+   is ordered from rare to frequent by exact counts; pairs must share a token of that order's prefixes, and the shared
+   tokens of either must suffice for the overlap of both.
+3. Pairs must also share prefix tokens under a third **and** a fourth order, by other hashes.
+
+The remaining pairs are verified on the whole sets.
 
 Equal texts form one class before anything is posted, and links are looked for between classes. Large groups of near
 copies are linked through one pivot per token first; pairs are then built only between documents of *different*
@@ -23,7 +27,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from .common import components, encoded, mixed, steps, stored, string_hashes, table, window_hashes, words
 
@@ -92,48 +96,22 @@ def _signer(width: int, percent: int):
 
 def _ordered(width: int, percent: int):
     def order(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Prefixes of whole sets under the second and third order."""
+        """Whole sets, and their prefixes under the two other hash orders."""
         for batch in steps(batches):
-            prefixes: list[list[np.ndarray]] = [[], []]
-            own = []
+            sets, prefixes, own = [], ([], []), []
             for tokens, one, _ in _sets(batch.column("text"), width):
                 length = len(tokens) - min_overlap(len(tokens), percent) + 1
-                for k in (0, 1):
-                    key = np.sort(mixed(tokens, 2 + k))[:length]
-                    prefixes[k].append(key.astype(np.uint32).copy())
+                for k, out in enumerate(prefixes):
+                    out.append(np.sort(mixed(tokens, 2 + k))[:length].astype(np.uint32))
+                sets.append(tokens)
                 own.append(int(np.uint64(one).astype(np.int64)))
             same = pc.equal(pa.array(own, pa.int64()), batch.column("cls"))
-            out = pa.RecordBatch.from_arrays(
-                [batch.column("cls"), batch.column("n"), batch.column("text"), _lists(prefixes[0], np.int32),
-                 _lists(prefixes[1], np.int32)], ["cls", "n", "text", "second", "third"])
-            yield out.filter(same)
+            yield pa.RecordBatch.from_arrays(
+                [batch.column("cls"), batch.column("n"), _lists(sets, np.int64), _lists(prefixes[0], np.int32),
+                 _lists(prefixes[1], np.int32)], ["cls", "n", "tokens", "third", "fourth"]).filter(same)
     return order
 
 
-def _verifier(width: int, percent: int):
-    def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known: dict[int, np.ndarray] = {}
-        held = 0
-        for batch in steps(batches, "text_b"):
-            a, b = batch.column("a").to_pylist(), batch.column("b").to_pylist()
-            for ids, texts in ((a, batch.column("text_a")), (b, batch.column("text_b"))):
-                first = {c: i for i, c in enumerate(ids) if c not in known}
-                for part in steps([pa.RecordBatch.from_arrays(
-                        [pa.array(first.keys(), pa.int64()), texts.take(pa.array(first.values(), pa.int64()))],
-                        ["cls", "text"])]):
-                    for c, (tokens, _, _) in zip(part.column("cls").to_pylist(), _sets(part.column("text"), width)):
-                        known[c] = tokens
-                        held += len(tokens)
-            keep = []
-            for x, y in zip(a, b):
-                both = len(np.intersect1d(known[x], known[y], assume_unique=True))
-                keep.append(100 * both >= percent * (len(known[x]) + len(known[y]) - both))
-            if held > 6_000_000:
-                known, held = {}, 0
-            yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
-    return verify
-
-
 def ngram_components(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
     """``docs`` (doc_id, text) -> one row per input row: doc_id, n_shingles, component_id.
 
@@ -155,45 +133,63 @@ def ngram_components(docs: DataFrame, width: int = 5, percent: int = 80) -> Data
     by_token = Window.partitionBy("token")
 
     def shared(postings: DataFrame) -> DataFrame:
-        ends = postings.select("cls", "token", F.min("cls").over(by_token).alias("low"),
-                               F.max("cls").over(by_token).alias("high"))
-        return ends.where("low <> high").select("cls", "token")
+        """Postings of tokens that several classes have; repeats inside a class don't count."""
+        ends = postings.select("*", F.min("cls").over(by_token).alias("low"), F.max("cls").over(by_token).alias("high"))
+        return ends.where("low <> high").drop("low", "high")
 
+    def cored(live: DataFrame, needed: Column) -> DataFrame:
+        """Postings of the classes that share as many tokens as ``needed``, an expression of n."""
+        enough = live.groupBy("cls").agg(F.count("*").alias("shared")).join(classes, "cls") \
+            .where(F.col("shared") >= needed).select("cls")
+        return stored(shared(live.join(stored(enough, "enough"), "cls")), "live")
+
+    least_overlap = F.expr(f"(n * {percent} + 99) DIV 100")
     live = stored(shared(ids.select("cls", F.explode("prefix").alias("token"))).distinct(), "live")
     for _ in range(2):
-        enough = live.groupBy("cls").count().join(classes, "cls").where(
-            F.col("count") >= shared_needed_column(F.expr(f"(n * {percent} + 99) DIV 100"))).select("cls")
-        live = stored(shared(live.join(stored(enough, "enough"), "cls")), "live")
+        live = cored(live, F.lit(1) + F.floor(least_overlap / 5))
     survivors = stored(live.select("cls").distinct().join(classes, "cls"), "survivors")
 
     texts = docs.select("doc_id", "text").join(survivors.withColumnRenamed("rep", "doc_id"), "doc_id") \
         .select("cls", "n", "text")
-    texts = stored(texts.mapInArrow(
-        _ordered(width, percent), "cls long, n long, text string, second array<int>, third array<int>")
-        .dropDuplicates(["cls"]), "texts")
+    sets = stored(texts.mapInArrow(
+        _ordered(width, percent), "cls long, n long, tokens array<long>, third array<int>, fourth array<int>")
+        .dropDuplicates(["cls"]), "sets")
+
+    live = stored(shared(sets.select("cls", F.explode("tokens").alias("token"))), "live")
+    for _ in range(3):
+        live = cored(live, least_overlap)
+    counted = live.withColumn("times", F.count("*").over(by_token))
+    of_class = Window.partitionBy("cls")
+    ranked = counted.withColumn("shared", F.count("*").over(of_class)).withColumn(
+        "place", F.row_number().over(of_class.orderBy("times", "token"))).join(classes, "cls")
+    # Tokens that nobody shares come first in this order, so the prefix is that much shorter.
+    live = stored(ranked.where(F.col("place") <= F.col("shared") - least_overlap + 1)
+                  .select("cls", "token", "n", "shared"), "prefixes")
 
     def verified(pairs: DataFrame) -> DataFrame:
-        one = texts.select(F.col("cls").alias("a"), F.col("text").alias("text_a"), F.col("second").alias("second_a"),
-                           F.col("third").alias("third_a"))
-        two = texts.select(F.col("cls").alias("b"), F.col("text").alias("text_b"), F.col("second").alias("second_b"),
-                           F.col("third").alias("third_b"))
+        one, two = (sets.select(F.col("cls").alias(x), *[F.col(c).alias(f"{c}_{x}") for c in
+                                                         ("n", "tokens", "third", "fourth")]) for x in "ab")
         both = pairs.join(one, "a").join(two, "b").where(
-            F.arrays_overlap("second_a", "second_b") & F.arrays_overlap("third_a", "third_b"))
-        return stored(both.select("a", "b", "text_a", "text_b").mapInArrow(
-            _verifier(width, percent), "a long, b long"), "links")
+            F.arrays_overlap("third_a", "third_b") & F.arrays_overlap("fourth_a", "fourth_b"))
+        common = F.size(F.array_intersect("tokens_a", "tokens_b"))
+        return stored(both.where(100 * common >= percent * (F.col("n_a") + F.col("n_b") - common))
+                      .select("a", "b"), "links")
 
-    def near(x: str, y: str):
-        return F.expr(f"100 * least({x}, {y}) >= {percent} * greatest({x}, {y})")
+    def possible(n: str, shared_n: str, m: str, shared_m: str) -> Column:
+        """Sizes and shared tokens that allow the overlap."""
+        return F.expr(f"100 * least({n}, {m}) >= {percent} * greatest({n}, {m}) AND "
+                      f"{100 + percent} * least({shared_n}, {shared_m}) >= {percent} * ({n} + {m})")
 
-    comps = survivors.select("cls", "n", F.col("cls").alias("comp"))
+    comps = survivors.select("cls", F.col("cls").alias("comp"))
     links = tested = None
     while True:
         held = stored(live.join(comps, "cls"), "held")
         pivots = stored(held.groupBy("token").agg(
-            F.min(F.struct("comp", "cls", "n")).alias("p"), F.max("comp").alias("last"))
+            F.min(F.struct("comp", "cls", "n", "shared")).alias("p"), F.max("comp").alias("last"))
             .where("p.comp <> last").select("token", "p.*")
-            .toDF("token", "pivot_comp", "pivot", "pivot_n"), "pivots")
-        pairs = held.join(pivots, "token").where((F.col("comp") != F.col("pivot_comp")) & near("n", "pivot_n")) \
+            .toDF("token", "pivot_comp", "pivot", "pivot_n", "pivot_shared"), "pivots")
+        pairs = held.join(pivots, "token").where(
+            (F.col("comp") != F.col("pivot_comp")) & possible("n", "shared", "pivot_n", "pivot_shared")) \
             .select(F.least("pivot", "cls").alias("a"), F.greatest("pivot", "cls").alias("b")).distinct()
         pairs = stored(pairs if tested is None else pairs.join(tested, ["a", "b"], "left_anti"), "pairs")
         tried = pairs.count()
@@ -207,17 +203,17 @@ def ngram_components(docs: DataFrame, width: int = 5, percent: int = 80) -> Data
         if not tried or n_found * 10 < tried:
             break
 
-    # Every pair of different components that shares enough posted tokens, except those tried already.
+    # Every possible pair of different components, except those tried already.
     held = stored(live.join(comps, "cls"), "held")
-    mixed_tokens = stored(held.groupBy("token").agg(F.min("comp").alias("x"), F.max("comp").alias("y"))
-                          .where("x <> y").select("token"), "mixed")
-    sides = stored(held.join(mixed_tokens, "token"), "sides")
-    left = sides.select("token", *[F.col(c).alias(f"{c}_a") for c in ("cls", "n", "comp")])
-    right = sides.select("token", *[F.col(c).alias(f"{c}_b") for c in ("cls", "n", "comp")])
-    pairs = left.join(right, "token").where((F.col("comp_a") != F.col("comp_b")) & (F.col("cls_a") < F.col("cls_b"))
-                                            & near("n_a", "n_b"))
-    pairs = pairs.groupBy(F.col("cls_a").alias("a"), F.col("cls_b").alias("b"), "n_a", "n_b").count().where(
-        F.col("count") >= shared_needed_column(F.least("n_a", "n_b"))).select("a", "b")
+    several = stored(held.groupBy("token").agg(F.min("comp").alias("x"), F.max("comp").alias("y"))
+                     .where("x <> y").select("token"), "several")
+    sides = stored(held.join(several, "token"), "sides")
+    left, right = (sides.select("token", *[F.col(c).alias(f"{c}_{x}") for c in ("cls", "n", "shared", "comp")])
+                   for x in "ab")
+    pairs = left.join(right, "token").where(
+        (F.col("comp_a") != F.col("comp_b")) & (F.col("cls_a") < F.col("cls_b"))
+        & possible("n_a", "shared_a", "n_b", "shared_b")) \
+        .select(F.col("cls_a").alias("a"), F.col("cls_b").alias("b")).distinct()
     if tested is not None:
         pairs = pairs.join(tested, ["a", "b"], "left_anti")
     pairs = stored(pairs, "pairs")
@@ -236,13 +232,9 @@ def ngram_components(docs: DataFrame, width: int = 5, percent: int = 80) -> Data
         .alias("component_id"))
 
 
-def shared_needed_column(n):
-    return F.lit(1) + F.floor(n / 5)
-
-
 def _relabelled(survivors: DataFrame, links: DataFrame) -> DataFrame:
     comps = components(links).withColumnRenamed("node", "cls")
-    return stored(survivors.select("cls", "n").join(comps, "cls", "left")
+    return stored(survivors.select("cls").join(comps, "cls", "left")
                   .withColumn("comp", F.coalesce("comp", "cls")), "comps")
 
 
