@@ -14,11 +14,13 @@ from __future__ import annotations
 
 import heapq
 import zlib
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, functions as F
 
 from .common import encoded, steps, stored, table, words
@@ -28,6 +30,9 @@ END_ID = 1
 # Windows per group: the group's last, partly filled window costs at most this fraction's inverse.
 GROUP_WINDOWS = 256
 
+# Marks after which the vocabulary starts a new piece when they follow a letter.
+MARKS = ".,!?;:*$%&#|"
+
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long"
 PACKED = f"{PIECES}, sequence_id long, offset long"
 
@@ -41,7 +46,8 @@ class Words:
     """Token ids by white-space separated word, each different word encoded once.
 
     The vocabulary drops white space and never joins what stands on its two sides, so a text's ids are those of its
-    words in a row.
+    words in a row. It also starts a new piece where one of ``MARKS`` follows a letter, and lowers capitals; a word
+    that ends so is encoded as the part up to its last letter, lowered if it is ASCII, and the marks.
     """
 
     def __init__(self, path: str) -> None:
@@ -49,29 +55,39 @@ class Words:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
         self.tokenizer = Tokenizer.from_file(path)
-        self.known: dict[str, np.ndarray] = {}
+        self.known: dict[str, bytes] = {"": b""}
+
+    def parts(self, values: list[str]) -> list[bytes]:
+        """The ids of each part as bytes."""
+        if len(self.known) > 300_000:
+            self.known = {"": b""}
+        missing = [v for v in values if v not in self.known]
+        for k in range(0, len(missing), 20_000):
+            some = missing[k:k + 20_000]
+            for part, e in zip(some, self.tokenizer.encode_batch_fast(some, add_special_tokens=False)):
+                self.known[part] = array("I", e.ids).tobytes()
+        return [self.known[v] for v in values]
 
     def texts(self, text: pa.Array) -> Iterator[np.ndarray]:
         """The ids of each text as unsigned 32-bit integers."""
         flat, offsets = words(text)
-        codes, vocabulary = encoded(flat)
-        if len(self.known) > 300_000:
-            self.known = {}
-        new = [w for w in vocabulary if w not in self.known]
-        for k in range(0, len(new), 20_000):
-            part = new[k:k + 20_000]
-            for word, e in zip(part, self.tokenizer.encode_batch_fast(part, add_special_tokens=False)):
-                self.known[word] = np.array(e.ids, np.uint32)
-        ids = [self.known[w] for w in vocabulary]
-        lengths = np.array([len(i) for i in ids], np.int64)
-        flat_ids = np.concatenate(ids) if ids else np.zeros(0, np.uint32)
+        both = flat.dictionary_encode()
+        vocabulary = both.dictionary
+        split = pc.extract_regex(vocabulary, rf"(?s)^(?P<body>.*\p{{L}})(?P<marks>[{MARKS}]+)$")
+        body = pc.coalesce(pc.struct_field(split, 0), vocabulary)
+        marks = pc.fill_null(pc.struct_field(split, 1), "")
+        body = pc.if_else(pc.string_is_ascii(body), pc.ascii_lower(body), body)
+        codes, different = encoded(pa.chunked_array([body, marks]))
+        ids = self.parts(different)
+        lengths = np.fromiter(map(len, ids), np.int64, len(ids)) // 4
+        flat_ids = np.frombuffer(b"".join(ids), np.uint32)
         first = np.cumsum(lengths) - lengths
-        for start, stop in zip(offsets[:-1], offsets[1:]):
-            c = codes[start:stop]
-            n = lengths[c]
-            ends = np.cumsum(n)
-            total = int(ends[-1]) if len(n) else 0
-            yield flat_ids[np.arange(total) + np.repeat(first[c] - (ends - n), n)]
+        of_word = codes.reshape(2, -1).T[both.indices.to_numpy(zero_copy_only=False)].ravel()
+        n = lengths[of_word]
+        ends = np.concatenate([[0], np.cumsum(n)])
+        everything = flat_ids[np.arange(ends[-1]) + np.repeat(first[of_word] - ends[:-1], n)]
+        for start, stop in zip(ends[2 * offsets[:-1]], ends[2 * offsets[1:]]):
+            yield everything[start:stop]
 
 
 def _cutter(path: str, window: int, end_id: int):
