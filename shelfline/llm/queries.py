@@ -9,9 +9,10 @@ from .ngram_join import op9_ngram_join
 from .packing import op7_packing
 from .quality import op8_quality_neighbours
 from .secrets import op1_secret_scan
+from .substring_dedup import op6_substring_dedup
 from .url_filter import op3_url_filter
 
 QUERIES = {f.__name__: f for f in (
-    op1_secret_scan, op2_embedding_dedup, op3_url_filter, op4_line_dedup, op5_decontamination, op7_packing,
-    op8_quality_neighbours, op9_ngram_join)}
+    op1_secret_scan, op2_embedding_dedup, op3_url_filter, op4_line_dedup, op5_decontamination, op6_substring_dedup,
+    op7_packing, op8_quality_neighbours, op9_ngram_join)}
 ORACLE = {"op4_line_dedup": OP4_SQL, "op5_decontamination": OP5_SQL}
