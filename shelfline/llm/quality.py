@@ -199,6 +199,17 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
         scored, "doc_id long, held_out boolean, score double, predicted int")
 
 
+def kept(docs: DataFrame, model: Model, threshold: float = 0.5) -> DataFrame:
+    """The rows of ``docs`` whose text scores at least ``threshold``, with all their columns."""
+    shared = docs.sparkSession.sparkContext.broadcast(model)
+
+    def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in steps(batches):
+            yield batch.filter(pa.array(shared.value.score(batch.column("text")) >= threshold))
+
+    return docs.mapInArrow(keep, docs.schema)
+
+
 def op8_quality_neighbours(spark, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     return score(docs, fit(docs, table(spark, sf_dir, "labels")))
