@@ -2,22 +2,19 @@
 
 A document's tokens are its distinct word shingles. Two sets whose Jaccard similarity reaches the threshold share at
 least one token in their prefixes under *any* total order of the tokens; with prefixes longer by ``l - 1`` they share
-at least ``l``. The join intersects the filters of four orders:
+at least ``l``. The join intersects the filters of three orders, each by another hash:
 
-1. Under the first, by hash, prefixes that are longer by a fifth of the set are posted by token. A document stays a
-   candidate only while enough of its posted tokens are shared with other candidates, which removes documents that
-   merely share passages without looking at any pair.
-2. The candidates' whole sets are posted, and a document stays only while 80 % of its tokens are shared. What is left
-   is ordered from rare to frequent by exact counts; pairs must share a token of that order's prefixes, and the shared
-   tokens of either must suffice for the overlap of both.
-3. Pairs must also share prefix tokens under a third **and** a fourth order, by other hashes.
-
-The remaining pairs are verified on the whole sets.
+1. Under the first, prefixes that are longer by a fifth of the set are posted by token. A document stays a candidate
+   only while enough of its posted tokens are shared with other candidates, which removes documents that merely share
+   passages without looking at any pair.
+2. A pair that shares posted tokens must also share prefix tokens under the second **and** the third order.
+3. What is left is verified on the whole sets.
 
 Equal texts form one class before anything is posted, and links are looked for between classes. Large groups of near
-copies are linked through one pivot per token first; pairs are then built only between documents of *different*
-components, so a group is never expanded into all its pairs. The last round builds every such pair, hence no link
-between components is lost.
+copies are linked through one pivot per token first; after that only documents of *different* components are compared.
+For tokens of up to ``HOT`` documents such pairs are joined and their shared tokens counted. Documents that share a
+more frequent token are compared in blocks of bounded size inside tasks, which return at most a link per document and
+other component; so no pair of components is missed and no group is expanded into its pairs.
 """
 
 from __future__ import annotations
@@ -25,12 +22,16 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from .common import components, encoded, mixed, steps, stored, string_hashes, table, window_hashes, words
 
+# Documents of a token up to which its pairs are joined, and documents in a block beyond that.
+HOT, BLOCK = 64, 1024
+
 SIGNATURE = "doc_id long, cls long, chk long, n long, prefix array<long>"
 
 
@@ -108,10 +109,42 @@ def _ordered(width: int, percent: int):
             same = pc.equal(pa.array(own, pa.int64()), batch.column("cls"))
             yield pa.RecordBatch.from_arrays(
                 [batch.column("cls"), batch.column("n"), _lists(sets, np.int64), _lists(prefixes[0], np.int32),
-                 _lists(prefixes[1], np.int32)], ["cls", "n", "tokens", "third", "fourth"]).filter(same)
+                 _lists(prefixes[1], np.int32)], ["cls", "n", "tokens", "second", "third"]).filter(same)
     return order
 
 
+def _block(percent: int):
+    def compare(pdf: pd.DataFrame) -> pd.DataFrame:
+        """Links of the asking documents to documents of other components: one for each pair of components at most."""
+        pdf = pdf.sort_values(["asks", "cls"], ignore_index=True)
+        members, asking = pdf[~pdf["asks"]], pdf[pdf["asks"]]
+        if not len(members):
+            return pd.DataFrame({"a": [], "b": []}, dtype=np.int64)
+        sizes = members["tokens"].map(len).to_numpy()
+        tokens = np.concatenate(members["tokens"].to_list())
+        order = np.argsort(tokens, kind="stable")
+        owner = np.repeat(np.arange(len(members)), sizes)[order]
+        known, first = np.unique(tokens[order], return_index=True)
+        last = np.r_[first[1:], len(tokens)]
+        names, comp = np.unique(pdf["comp"].to_numpy(), return_inverse=True)
+        comp_of, root = comp[:len(members)], np.arange(len(names))
+        cls, out = members["cls"].to_numpy(), []
+        for mine, own, name in zip(asking["tokens"], comp[len(members):], asking["cls"]):
+            at = np.searchsorted(known, mine)
+            at = at[known[np.minimum(at, len(known) - 1)] == mine]
+            n = last[at] - first[at]
+            both = np.bincount(owner[np.arange(n.sum()) + np.repeat(first[at] - (np.cumsum(n) - n), n)],
+                               minlength=len(cls))
+            near = np.flatnonzero((100 + percent) * both >= percent * (len(mine) + sizes))
+            for k in near[root[comp_of[near]] != root[own]].tolist():
+                x, y = root[comp_of[k]], root[own]
+                if x != y:
+                    root[root == max(x, y)] = min(x, y)
+                    out.append((name, cls[k]))
+        return pd.DataFrame(out, columns=["a", "b"], dtype=np.int64)
+    return compare
+
+
 def ngram_components(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
     """``docs`` (doc_id, text) -> one row per input row: doc_id, n_shingles, component_id.
 
@@ -137,59 +170,41 @@ def ngram_components(docs: DataFrame, width: int = 5, percent: int = 80) -> Data
         ends = postings.select("*", F.min("cls").over(by_token).alias("low"), F.max("cls").over(by_token).alias("high"))
         return ends.where("low <> high").drop("low", "high")
 
-    def cored(live: DataFrame, needed: Column) -> DataFrame:
-        """Postings of the classes that share as many tokens as ``needed``, an expression of n."""
-        enough = live.groupBy("cls").agg(F.count("*").alias("shared")).join(classes, "cls") \
-            .where(F.col("shared") >= needed).select("cls")
-        return stored(shared(live.join(stored(enough, "enough"), "cls")), "live")
-
     least_overlap = F.expr(f"(n * {percent} + 99) DIV 100")
     live = stored(shared(ids.select("cls", F.explode("prefix").alias("token"))).distinct(), "live")
     for _ in range(2):
-        live = cored(live, F.lit(1) + F.floor(least_overlap / 5))
+        enough = live.groupBy("cls").agg(F.count("*").alias("shared")).join(classes, "cls") \
+            .where(F.col("shared") >= 1 + F.floor(least_overlap / 5)).select("cls", "n")
+        live = stored(shared(live.select("cls", "token").join(stored(enough, "enough"), "cls")), "live")
     survivors = stored(live.select("cls").distinct().join(classes, "cls"), "survivors")
 
     texts = docs.select("doc_id", "text").join(survivors.withColumnRenamed("rep", "doc_id"), "doc_id") \
         .select("cls", "n", "text")
     sets = stored(texts.mapInArrow(
-        _ordered(width, percent), "cls long, n long, tokens array<long>, third array<int>, fourth array<int>")
+        _ordered(width, percent), "cls long, n long, tokens array<long>, second array<int>, third array<int>")
         .dropDuplicates(["cls"]), "sets")
 
-    live = stored(shared(sets.select("cls", F.explode("tokens").alias("token"))), "live")
-    for _ in range(3):
-        live = cored(live, least_overlap)
-    counted = live.withColumn("times", F.count("*").over(by_token))
-    of_class = Window.partitionBy("cls")
-    ranked = counted.withColumn("shared", F.count("*").over(of_class)).withColumn(
-        "place", F.row_number().over(of_class.orderBy("times", "token"))).join(classes, "cls")
-    # Tokens that nobody shares come first in this order, so the prefix is that much shorter.
-    live = stored(ranked.where(F.col("place") <= F.col("shared") - least_overlap + 1)
-                  .select("cls", "token", "n", "shared"), "prefixes")
-
     def verified(pairs: DataFrame) -> DataFrame:
         one, two = (sets.select(F.col("cls").alias(x), *[F.col(c).alias(f"{c}_{x}") for c in
-                                                         ("n", "tokens", "third", "fourth")]) for x in "ab")
+                                                         ("n", "tokens", "second", "third")]) for x in "ab")
         both = pairs.join(one, "a").join(two, "b").where(
-            F.arrays_overlap("third_a", "third_b") & F.arrays_overlap("fourth_a", "fourth_b"))
+            F.arrays_overlap("second_a", "second_b") & F.arrays_overlap("third_a", "third_b"))
         common = F.size(F.array_intersect("tokens_a", "tokens_b"))
         return stored(both.where(100 * common >= percent * (F.col("n_a") + F.col("n_b") - common))
                       .select("a", "b"), "links")
 
-    def possible(n: str, shared_n: str, m: str, shared_m: str) -> Column:
-        """Sizes and shared tokens that allow the overlap."""
-        return F.expr(f"100 * least({n}, {m}) >= {percent} * greatest({n}, {m}) AND "
-                      f"{100 + percent} * least({shared_n}, {shared_m}) >= {percent} * ({n} + {m})")
+    def near(n: str, m: str) -> Column:
+        return F.expr(f"100 * least({n}, {m}) >= {percent} * greatest({n}, {m})")
 
     comps = survivors.select("cls", F.col("cls").alias("comp"))
     links = tested = None
     while True:
         held = stored(live.join(comps, "cls"), "held")
         pivots = stored(held.groupBy("token").agg(
-            F.min(F.struct("comp", "cls", "n", "shared")).alias("p"), F.max("comp").alias("last"))
+            F.min(F.struct("comp", "cls", "n")).alias("p"), F.max("comp").alias("last"))
             .where("p.comp <> last").select("token", "p.*")
-            .toDF("token", "pivot_comp", "pivot", "pivot_n", "pivot_shared"), "pivots")
-        pairs = held.join(pivots, "token").where(
-            (F.col("comp") != F.col("pivot_comp")) & possible("n", "shared", "pivot_n", "pivot_shared")) \
+            .toDF("token", "pivot_comp", "pivot", "pivot_n"), "pivots")
+        pairs = held.join(pivots, "token").where((F.col("comp") != F.col("pivot_comp")) & near("n", "pivot_n")) \
             .select(F.least("pivot", "cls").alias("a"), F.greatest("pivot", "cls").alias("b")).distinct()
         pairs = stored(pairs if tested is None else pairs.join(tested, ["a", "b"], "left_anti"), "pairs")
         tried = pairs.count()
@@ -203,24 +218,38 @@ def ngram_components(docs: DataFrame, width: int = 5, percent: int = 80) -> Data
         if not tried or n_found * 10 < tried:
             break
 
-    # Every possible pair of different components, except those tried already.
+    # Every possible pair of different components: those of rare tokens joined, those of frequent tokens in blocks.
     held = stored(live.join(comps, "cls"), "held")
-    several = stored(held.groupBy("token").agg(F.min("comp").alias("x"), F.max("comp").alias("y"))
-                     .where("x <> y").select("token"), "several")
-    sides = stored(held.join(several, "token"), "sides")
-    left, right = (sides.select("token", *[F.col(c).alias(f"{c}_{x}") for c in ("cls", "n", "shared", "comp")])
-                   for x in "ab")
+    several = stored(held.groupBy("token").agg(
+        F.count("*").alias("times"), F.min("comp").alias("cluster"), F.max("comp").alias("last"))
+        .where("cluster <> last").select("token", "times", "cluster"), "several")
+    sides = stored(held.join(several.where(F.col("times") <= HOT).select("token"), "token"), "sides")
+    left, right = (sides.select("token", *[F.col(c).alias(f"{c}_{x}") for c in ("cls", "n", "comp")]) for x in "ab")
+    # A pair that shares no frequent token shares all its posted tokens here.
     pairs = left.join(right, "token").where(
-        (F.col("comp_a") != F.col("comp_b")) & (F.col("cls_a") < F.col("cls_b"))
-        & possible("n_a", "shared_a", "n_b", "shared_b")) \
-        .select(F.col("cls_a").alias("a"), F.col("cls_b").alias("b")).distinct()
+        (F.col("comp_a") != F.col("comp_b")) & (F.col("cls_a") < F.col("cls_b")) & near("n_a", "n_b")) \
+        .groupBy(F.col("cls_a").alias("a"), F.col("cls_b").alias("b"), "n_a", "n_b").agg(F.count("*").alias("shared")) \
+        .where(F.col("shared") >= 1 + F.floor(F.least("n_a", "n_b") / 5)).select("a", "b")
     if tested is not None:
         pairs = pairs.join(tested, ["a", "b"], "left_anti")
-    pairs = stored(pairs, "pairs")
-    if pairs.limit(1).count():
-        found = verified(pairs)
-        links = found if links is None else links.union(found)
-        comps = _relabelled(survivors, links)
+    found = [verified(stored(pairs, "pairs"))]
+
+    clusters = stored(held.join(several.where(F.col("times") > HOT).select("token", "cluster"), "token")
+                      .select("cluster", "cls", "comp").distinct(), "clusters")
+    sizes = clusters.groupBy("cluster").agg(
+        F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"),
+        F.greatest(F.ceil(F.count_if(F.col("comp") != F.col("cluster")) / BLOCK), F.lit(1)).cast("int").alias("others"))
+    dealt = clusters.join(stored(sizes, "sizes"), "cluster")
+    every = dealt.select("cluster", "cls", "comp", F.lit(False).alias("asks"), F.expr("int(pmod(cls, blocks))").alias("j"),
+                         F.explode(F.expr("sequence(0, others - 1)")).alias("i"))
+    asking = dealt.where("comp <> cluster").select(
+        "cluster", "cls", "comp", F.lit(True).alias("asks"), F.explode(F.expr("sequence(0, blocks - 1)")).alias("j"),
+        F.expr("int(pmod(cls, others))").alias("i"))
+    found.append(stored(every.unionByName(asking).join(sets.select("cls", "tokens"), "cls").groupBy("cluster", "i", "j")
+                        .applyInPandas(_block(percent), "a long, b long"), "links"))
+    for more in found:
+        links = more if links is None else links.union(more)
+    comps = _relabelled(survivors, links)
 
     least = classes.join(comps.select("cls", "comp"), "cls", "left") \
         .withColumn("comp", F.coalesce("comp", "cls"))

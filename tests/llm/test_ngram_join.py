@@ -1,7 +1,9 @@
+import random
 import re
 
 import pytest
 
+from shelfline.llm import ngram_join
 from shelfline.llm.ngram_join import ngram_components
 
 
@@ -54,6 +56,21 @@ def test_small_cases(spark):
     assert run(spark, rows) == brute(rows)
 
 
+def test_frequent_tokens_in_blocks(spark, monkeypatch):
+    """Subsets and edits of one text, most of them in components of their own."""
+    monkeypatch.setattr(ngram_join, "HOT", 4)
+    monkeypatch.setattr(ngram_join, "BLOCK", 16)
+    rng = random.Random(5)
+    base = [f"w{i}" for i in range(80)]
+    rows = []
+    for k in range(90):
+        words = base[rng.randint(0, 25):rng.randint(55, 80)]
+        for _ in range(rng.randint(0, 2)):
+            words[rng.randrange(len(words))] = f"x{k}"
+        rows.append((k, " ".join(words)))
+    assert run(spark, rows) == brute(rows)
+
+
 def test_empty_table(spark):
     assert run(spark, []) == []
 
