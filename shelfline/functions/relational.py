@@ -115,7 +115,8 @@ def exact_quantile(df: DataFrame, value: str, p: float, by: Sequence[str] = (),
 
     ``df`` has ``by``, ``value`` and a count ``n`` per distinct value (see ``value_counts``). Values fall in
     ordered log-width bins; the bin totals (a few thousand rows) tell which bins hold the two wanted
-    positions, and only those bins are ordered.
+    positions. Those bins are split again at approximate percentiles of their values, and only the parts that
+    hold the positions, some 1/256 of a bin each, are ordered.
     """
     v = F.col(value).cast("double")
     binned = df.filter(F.col(value).isNotNull()).select(
@@ -130,11 +131,20 @@ def exact_quantile(df: DataFrame, value: str, p: float, by: Sequence[str] = (),
         .withColumn("_pos", (F.col("_all") - 1) * F.lit(float(p)))
         .filter((F.col("_start") <= F.ceil("_pos")) & (F.col("_end") > F.floor("_pos")))
     )
-    in_bin = W.partitionBy(*by, "_bin").orderBy("_v").rowsBetween(W.unboundedPreceding, W.currentRow)
-    placed = (
-        binned.join(bins.select(*by, "_bin", "_start", "_pos"), [*by, "_bin"])
-        .withColumn("_upto", F.sum("_n").over(in_bin) + F.col("_start"))
-    )
+    inside = binned.join(bins.select(*by, "_bin", "_start", "_pos"), [*by, "_bin"])
+    cuts = inside.groupBy(*by, "_bin").agg(
+        F.percentile_approx("_v", [k / 256 for k in range(1, 256)], 10_000).alias("_cuts"))
+    split = inside.join(cuts, [*by, "_bin"]).withColumn(
+        "_part", F.size(F.filter("_cuts", lambda c: c < F.col("_v")))).drop("_cuts")
+    over = W.partitionBy(*by, "_bin").orderBy("_part").rowsBetween(W.unboundedPreceding, W.currentRow)
+    parts = (
+        split.groupBy(*by, "_bin", "_part", "_start", "_pos").agg(F.sum("_n").alias("_in_part"))
+        .withColumn("_end", F.col("_start") + F.sum("_in_part").over(over))
+        .withColumn("_before", F.col("_end") - F.col("_in_part"))
+        .filter((F.col("_before") <= F.ceil("_pos")) & (F.col("_end") > F.floor("_pos"))))
+    in_part = W.partitionBy(*by, "_bin", "_part").orderBy("_v").rowsBetween(W.unboundedPreceding, W.currentRow)
+    placed = split.join(parts.select(*by, "_bin", "_part", "_before"), [*by, "_bin", "_part"]).withColumn(
+        "_upto", F.sum("_n").over(in_part) + F.col("_before"))
     low = F.min(F.when(F.col("_upto") > F.floor("_pos"), F.col("_v")))
     high = F.min(F.when(F.col("_upto") > F.ceil("_pos"), F.col("_v")))
     frac = F.max(F.col("_pos") - F.floor("_pos"))

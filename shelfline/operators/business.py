@@ -131,12 +131,12 @@ def q4_gmroi(items: DataFrame, txn: DataFrame, products: DataFrame, vendors: Dat
 
 
 def lines_with_headers(items: DataFrame, headers: DataFrame, how: str = "inner") -> DataFrame:
-    """Sale lines with their header. Both are fact tables, so the join is a sort-merge join at any scale.
+    """Sale lines with their header.
 
-    Nothing is sent to every task, work on the lines spreads over the cluster however few files they come in,
-    and adaptive execution splits a transaction that holds too many rows.
+    Adaptive execution chooses the join by the measured sizes: a day's few headers are broadcast, larger ones are
+    merged, and a transaction that holds too many rows is split.
     """
-    return items.join(headers.hint("merge"), "transaction_id", how)
+    return items.join(headers, "transaction_id", how)
 
 
 def daily_item_sales(items: DataFrame, txn: DataFrame) -> DataFrame:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
@@ -9,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from ..functions.columns import as_date, col, line_revenue, line_total, money, month_start
 from ..functions.relational import first_row
 from ..session import scratch_path
-from ..sources.writers import drop_partitions, path_exists, write_partitioned
+from ..sources.writers import drop_partitions, path_exists, remove_path, write_partitioned
 
 
 def route_late(df: DataFrame, days: int = 3, event_day: str = "transaction_date",
@@ -30,9 +31,14 @@ def upsert_facts(spark: SparkSession, path: str, staging: DataFrame, key: str =
     columns of the table, other partitions are not touched.
 
     The rewritten partitions are first completed in the shared scratch folder and then put in place. A run
-    that dies in between is repeated with its ``run_id`` and finishes from there.
+    that dies in between is repeated with its ``run_id``, which must be unique for the table, and finishes from
+    there; the scratch folder goes once all is in place. ``by`` must have few values, such as dates: those of the
+    touched partitions are listed on the driver.
     """
-    root = f"{scratch_path(spark, 'upsert').rsplit('/', 1)[0]}/upsert-{run_id}" if run_id else scratch_path(spark, "upsert")
+    root = scratch_path(spark, "upsert")
+    if run_id:
+        target_id = hashlib.sha256(path.rstrip("/").encode()).hexdigest()[:16]
+        root = f"{root.rsplit('/', 1)[0]}/upsert-{target_id}-{run_id}"
     rewritten, touched_path = f"{root}/rows", f"{root}/touched"
     part = F.col(by).cast("string").alias("part")
     newest = first_row(staging, [key], [order], last=True)
@@ -49,9 +55,8 @@ def upsert_facts(spark: SparkSession, path: str, staging: DataFrame, key: str =
         fresh.write.mode("overwrite").parquet(f"{root}/fresh")
         fresh = spark.read.parquet(f"{root}/fresh")
         old = F.coalesce("_old", F.array().cast("array<string>"))
-        # One value per calendar day at most.
         fresh.select(F.explode(F.array_union(old, F.array(F.col(by).cast("string")))).alias("part")).distinct(
-        ).coalesce(1).write.mode("overwrite").parquet(touched_path)
+        ).write.mode("overwrite").parquet(touched_path)
         parts = [r.part for r in spark.read.parquet(touched_path).collect()]
         kept = target.filter(F.col(by).cast("string").isin(parts)).join(fresh.select(key), key, "left_anti")
         kept.unionByName(fresh.select(*staging.columns)).write.mode("overwrite").parquet(rewritten)
@@ -62,6 +67,7 @@ def upsert_facts(spark: SparkSession, path: str, staging: DataFrame, key: str =
         (done.hint("rebalance", by).write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
          .partitionBy(by).parquet(path))
     drop_partitions(spark, path, by, [p for p in touched if p not in filled])
+    remove_path(spark, root)
     return touched
 
 

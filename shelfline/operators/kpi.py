@@ -12,7 +12,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from ..functions.columns import (
-    count_when, growth_pct, is_completed, line_total, money, month_number, month_start, pct, period_start,
+    as_date, count_when, growth_pct, is_completed, line_total, money, month_number, month_start, pct, period_start,
     quarter_start, ratio, total, week_start)
 from ..functions.relational import dense_periods
 from .business import cohort_activity
@@ -20,6 +20,13 @@ from .business import cohort_activity
 # Fixed targets of the framework.
 TICKET_TARGETS = {"HIPERMERCADO": 350.0, "SUPERMERCADO": 250.0, "DESCUENTO": 150.0, "EXPRESS": 80.0}
 GMROI_TARGETS = {"A": 1.5, "B": 1.2, "C": 1.0}
+GROWTH_TARGET, RETENTION_TARGET, RETURN_TARGET, LOYALTY_TARGET, OOS_TARGET = 5.0, 35.0, 2.5, 45.0, 5.0
+
+
+def _against(df: DataFrame, value: str, target: float, at_least: bool = True) -> DataFrame:
+    """``target`` and whether ``value`` meets it, null where there is no value."""
+    met = F.col(value) >= F.lit(target) if at_least else F.col(value) <= F.lit(target)
+    return df.withColumn("target", F.lit(target)).withColumn("cumple", met)
 
 
 def _lookup(table: Mapping[str, float], key: str) -> Column:
@@ -40,7 +47,7 @@ def kpi_north_star(facts: DataFrame, stores: DataFrame) -> DataFrame:
         "comp_gmv_m2", ratio(F.col("gmv"), space.scalar()))
 
 
-def kpi1_comp_growth(facts: DataFrame, stores: DataFrame) -> DataFrame:
+def kpi1_comp_growth(facts: DataFrame, stores: DataFrame, target: float = GROWTH_TARGET) -> DataFrame:
     """Monthly and year-to-date growth of comparable stores over the year before.
 
     Months without sales count as zero, so twelve rows back is the same month a year ago.
@@ -55,7 +62,8 @@ def kpi1_comp_growth(facts: DataFrame, stores: DataFrame) -> DataFrame:
         summed.withColumn("gmv_prior", F.lag("gmv", 12).over(by_month))
         .withColumn("ytd_prior", F.lag("ytd", 12).over(by_month))
         .withColumn("growth_pct", growth_pct(F.col("gmv"), F.col("gmv_prior")))
-        .withColumn("ytd_growth_pct", growth_pct(F.col("ytd"), F.col("ytd_prior"))))
+        .withColumn("ytd_growth_pct", growth_pct(F.col("ytd"), F.col("ytd_prior")))
+        .transform(_against, "growth_pct", float(target)))
 
 
 def kpi2_gmv_sqm(facts: DataFrame, stores: DataFrame, period: str = "week") -> DataFrame:
@@ -89,29 +97,37 @@ def kpi3_ticket(txn: DataFrame, stores: DataFrame, targets: Mapping[str, float]
         .withColumn("cumple", F.col("ticket") >= F.col("target")))
 
 
-def kpi4_retention_m1(txn: DataFrame, by: Sequence[str] = ()) -> DataFrame:
+def kpi4_retention_m1(txn: DataFrame, by: Sequence[str] = (), as_of=None, target: float = RETENTION_TARGET) -> DataFrame:
     """Share of each month's new loyal customers who buy in the month after.
 
-    With ``by=['store_id']`` a customer belongs to the store of the first purchase.
+    Measured once that month is over: while it ends after ``as_of``, by default the last sale day, the figures are
+    null. With ``by=['store_id']`` a customer belongs to the store of the first purchase.
     """
+    last = txn.agg(F.max("transaction_date")).scalar() if as_of is None else as_date(as_of)
+    over = F.last_day(F.add_months("cohort", 1)) <= last
     next_month = F.max(F.when(F.col("month_offset") == 1, F.col("customers")))
     return cohort_activity(txn, by).groupBy(*by, "cohort").agg(
-        F.max("cohort_size").alias("cohort_size"), F.coalesce(next_month, F.lit(0)).alias("active_m1"),
-    ).withColumn("retencion_m1_pct", pct(F.col("active_m1"), F.col("cohort_size")))
+        F.max("cohort_size").alias("cohort_size"), F.coalesce(next_month, F.lit(0)).alias("_active"),
+    ).withColumn("active_m1", F.when(over, F.col("_active"))).drop("_active").withColumn(
+        "retencion_m1_pct", pct(F.col("active_m1"), F.col("cohort_size"))).transform(
+        _against, "retencion_m1_pct", float(target))
 
 
-def kpi5_return_rate(txn: DataFrame, by: Sequence[str] = ("store_id",)) -> DataFrame:
+def kpi5_return_rate(txn: DataFrame, by: Sequence[str] = ("store_id",), target: float = RETURN_TARGET) -> DataFrame:
     """Weekly share of returned transactions."""
     return txn.groupBy(*by, week_start("transaction_date").alias("week")).agg(
         F.count(F.lit(1)).alias("n"), count_when(F.col("status") == "RETURNED").alias("devueltas"),
-    ).withColumn("tasa_devolucion_pct", pct(F.col("devueltas"), F.col("n")))
+    ).withColumn("tasa_devolucion_pct", pct(F.col("devueltas"), F.col("n"))).transform(
+        _against, "tasa_devolucion_pct", float(target), False)
 
 
-def kpi6_loyalty_rate(txn: DataFrame, by: Sequence[str] = ("store_id",), period: str = "month") -> DataFrame:
+def kpi6_loyalty_rate(txn: DataFrame, by: Sequence[str] = ("store_id",), period: str = "month",
+                      target: float = LOYALTY_TARGET) -> DataFrame:
     """Share of transactions with a loyalty card, monthly or per day."""
     return txn.groupBy(*by, period_start("transaction_date", period).alias(period)).agg(
         F.count(F.lit(1)).alias("n"), count_when(F.col("loyalty_card")).alias("con_lealtad"),
-    ).withColumn("penetracion_pct", pct(F.col("con_lealtad"), F.col("n")))
+    ).withColumn("penetracion_pct", pct(F.col("con_lealtad"), F.col("n"))).transform(
+        _against, "penetracion_pct", float(target))
 
 
 def kpi7_gmroi_vendor(facts: DataFrame, products: DataFrame, vendors: DataFrame,
@@ -130,7 +146,8 @@ def kpi7_gmroi_vendor(facts: DataFrame, products: DataFrame, vendors: DataFrame,
         .withColumn("target", _lookup(targets, "tier")).withColumn("cumple", F.col("gmroi") >= F.col("target")))
 
 
-def kpi8_oos_rate(daily: DataFrame, by: Sequence[str] = (), min_gap: int = 3, min_days: int = 7) -> DataFrame:
+def kpi8_oos_rate(daily: DataFrame, by: Sequence[str] = (), min_gap: int = 3, min_days: int = 7,
+                  target: float = OOS_TARGET) -> DataFrame:
     """Share of active store-items with a gap of ``min_gap`` days or more touching the month.
 
     A store-item is active from the month of its first sale to that of its last. ``daily`` is the result of
@@ -148,7 +165,8 @@ def kpi8_oos_rate(daily: DataFrame, by: Sequence[str] = (), min_gap: int = 3, mi
     broken = F.exists("_gaps", lambda g: (g["lo"] <= F.col("month")) & (g["hi"] >= F.col("month")))
     return active.groupBy(*by, "month").agg(
         F.count(F.lit(1)).alias("activos"), F.count_if(broken).alias("con_quiebre"),
-    ).withColumn("oos_pct", pct(F.col("con_quiebre"), F.col("activos")))
+    ).withColumn("oos_pct", pct(F.col("con_quiebre"), F.col("activos"))).transform(
+        _against, "oos_pct", float(target), False)
 
 
 def zscore(value: str, part: Sequence[str]) -> Column:
@@ -187,9 +205,12 @@ def _network() -> Column:
     return F.lit("RED")
 
 
-def kpi_checks(kpis: Mapping[str, DataFrame]) -> DataFrame:
+def kpi_checks(kpis: Mapping[str, DataFrame], large_cohort: int = 100) -> DataFrame:
     """Every sign of bad data in the given KPI frames, one row per unit, period and rule.
 
+    No retention at all counts for cohorts of ``large_cohort`` customers or more only, a GMROI above 10 for vendors
+    with at least the quarter's mean revenue.
+
     Recognised keys: ``kpi1`` ... ``kpi9``; ``kpi6_day`` is the daily form of KPI 6, ``kpi8_store`` the form of
     KPI 8 per store. Frames that are not given are not checked.
     """
@@ -229,7 +250,7 @@ def kpi_checks(kpis: Mapping[str, DataFrame]) -> DataFrame:
     if "kpi4" in kpis:
         frame, rate = kpis["kpi4"], F.col("retencion_m1_pct")
         unit = store if "store_id" in frame.columns else _network()
-        found.append(_flagged(frame, "kpi4", "retencion_100_o_0", unit, "cohort", rate, (rate == 100) | (rate == 0)))
+        found.append(_flagged(frame, "kpi4", "retencion_100_o_0", unit, "cohort", rate, (rate == 100) | ((rate == 0) & (F.col("cohort_size") >= large_cohort))))
 
     if "kpi5" in kpis:
         frame, rate = kpis["kpi5"], F.col("tasa_devolucion_pct")
@@ -256,7 +277,9 @@ def kpi_checks(kpis: Mapping[str, DataFrame]) -> DataFrame:
         frame, unit = kpis["kpi7"], F.col("vendor_id")
         found += [
             _flagged(frame, "kpi7", "gmroi_negativo", unit, "quarter", F.col("gmroi"), F.col("gmroi") < 0),
-            _flagged(frame, "kpi7", "gmroi_mayor_10", unit, "quarter", F.col("gmroi"), F.col("gmroi") > 10)]
+            _flagged(frame.withColumn("_usual", F.avg("revenue").over(W.partitionBy("quarter"))), "kpi7",
+                     "gmroi_mayor_10", unit, "quarter", F.col("gmroi"),
+                     (F.col("gmroi") > 10) & (F.col("revenue") >= F.col("_usual")))]
 
     if "kpi8_store" in kpis:
         found.append(_flagged(kpis["kpi8_store"], "kpi8", "tienda_100pct", store, "month", F.col("oos_pct"),

@@ -57,12 +57,14 @@ def audit_header_vs_lines(txn: DataFrame, items: DataFrame, tol=0.02) -> DataFra
     ).withColumn("diferencia_mediana", median.scalar())
 
 
-def audit_top_discrepancies(txn: DataFrame, items: DataFrame, tol=0.02, n: int = 5) -> DataFrame:
-    return (
+def audit_top_discrepancies(txn: DataFrame, items: DataFrame, tol=0.02, n: int | None = 5) -> DataFrame:
+    """The ``n`` largest discrepancies; all of them for None."""
+    found = (
         header_line_differences(txn, items, ["store_id"]).filter(F.col("diferencia") > _tolerance(tol))
-        .orderBy(F.desc("diferencia"), "transaction_id").limit(n)
+        .orderBy(F.desc("diferencia"), "transaction_id")
         .select("transaction_id", "store_id",
                 *[F.col(c).cast("double").alias(c) for c in ("total_amount", "suma_items", "diferencia")]))
+    return found if n is None else found.limit(n)
 
 
 def audit_uniqueness(tables: Mapping[str, tuple[DataFrame, Sequence[str]]]) -> DataFrame:
@@ -81,11 +83,12 @@ def audit_uniqueness(tables: Mapping[str, tuple[DataFrame, Sequence[str]]]) -> D
     return reduce(DataFrame.unionByName, [one(name, df, keys) for name, (df, keys) in tables.items()])
 
 
-def audit_duplicate_keys(df: DataFrame, keys: Sequence[str], n: int = 10) -> DataFrame:
-    """The keys seen most often, more than once."""
-    return (
+def audit_duplicate_keys(df: DataFrame, keys: Sequence[str], n: int | None = 10) -> DataFrame:
+    """The ``n`` keys seen most often, more than once; all of them for None."""
+    found = (
         df.groupBy(*keys).agg(F.count(F.lit(1)).alias("veces")).filter(F.col("veces") > 1)
-        .orderBy(F.desc("veces"), *keys).limit(n))
+        .orderBy(F.desc("veces"), *keys))
+    return found if n is None else found.limit(n)
 
 
 def dedupe_keep_last(df: DataFrame, keys: Sequence[str], order: Sequence[str]) -> DataFrame:
@@ -224,28 +227,23 @@ def audit_scorecard(txn: DataFrame) -> DataFrame:
     ).withColumn("transaction_id_duplicados", F.col("_n") - ids.scalar()).drop("_n")
 
 
-# Fixed decisions per dimension of the audit.
-DECISIONS = {
-    "Completitud": "ACEPTAR",
-    "Consistencia": "ALERTA",
-    "Unicidad": "IGNORAR si = 0",
-    "Validez": "EXCLUIR",
-    "Integridad Referencial": "EXCLUIR",
-    "Frescura": "INVESTIGAR",
-    "Integridad Temporal": "EXCLUIR",
-    "A/B Test": "EXCLUIR",
-}
-
-# Fixed severities per dimension when something was found.
-SEVERITIES = {
-    "Completitud": "Normal",
-    "Consistencia": "Media",
-    "Unicidad": "Alta",
-    "Validez": "Alta",
-    "Integridad Referencial": "Media",
-    "Frescura": "Media",
-    "Integridad Temporal": "Alta",
-    "A/B Test": "Crítica",
+# Fixed severities and decisions of the faults; every other metric of the audit is a measure and has neither.
+FINDINGS = {
+    "sin_customer_id": ("Normal", "ACEPTAR"),
+    "diferencia": ("Normal", "ACEPTAR"),
+    "con_discrepancia": ("Media", "ALERTA"),
+    "duplicados_transactions": ("Alta", "CONSERVAR ULTIMO"),
+    "duplicados_transaction_items": ("Alta", "CONSERVAR ULTIMO"),
+    "montos_invalidos": ("Alta", "EXCLUIR"),
+    "montos_negativos": ("Alta", "EXCLUIR"),
+    "montos_cero": ("Alta", "EXCLUIR"),
+    "precio_cero_sin_promo": ("Media", "EXCLUIR"),
+    "store_id_filas": ("Media", "EXCLUIR"),
+    "vendor_id_filas": ("Media", "EXCLUIR"),
+    "item_id_filas": ("Media", "EXCLUIR"),
+    "gaps_mayores_6": ("Media", "INVESTIGAR"),
+    "transacciones_pre_apertura": ("Alta", "EXCLUIR"),
+    "asignaciones_dobles": ("Crítica", "EXCLUIR"),
 }
 
 
@@ -256,7 +254,7 @@ def _long(df: DataFrame, dimension: str, prefix: str = "") -> DataFrame:
 
 
 def audit_findings(tables: Mapping[str, DataFrame], tol=0.02) -> DataFrame:
-    """All eight checks as one long table with severity and decision."""
+    """All eight checks as one long table; faults that were found have a severity and a decision."""
     txn, items = tables["transactions"], tables["transaction_items"]
     stores, products, vendors = tables["stores"], tables["products"], tables["vendors"]
 
@@ -283,9 +281,12 @@ def audit_findings(tables: Mapping[str, DataFrame], tol=0.02) -> DataFrame:
               "A/B Test"),
     ]
     found = reduce(DataFrame.unionByName, parts)
-    decide = F.create_map(*[F.lit(x) for pair in DECISIONS.items() for x in pair])
-    grade = F.create_map(*[F.lit(x) for pair in SEVERITIES.items() for x in pair])
+    fault, clean = F.col("metrica").isin(*FINDINGS), F.col("valor") == 0
+
+    def graded(place: int) -> Column:
+        table = F.create_map(*[F.lit(x) for name, entry in FINDINGS.items() for x in (name, entry[place])])
+        return F.try_element_at(table, F.col("metrica"))
+
     return found.select(
-        "dimension", "metrica", "valor",
-        F.when(F.col("valor") == 0, "Limpio").otherwise(grade[F.col("dimension")]).alias("severidad"),
-        decide[F.col("dimension")].alias("decision"))
+        "dimension", "metrica", "valor", F.when(fault & clean, "Limpio").otherwise(graded(0)).alias("severidad"),
+        F.when(~(fault & clean), graded(1)).alias("decision"))

@@ -25,13 +25,24 @@ def dim_promotion(promos: DataFrame) -> DataFrame:
                          "start_date", "end_date")
 
 
-def promotion_days(promos: DataFrame) -> DataFrame:
+def reversed_promotions(promos: DataFrame) -> DataFrame:
+    """Promotions that end before they start or have no start: they are in force on no day."""
+    return promos.filter(F.col("start_date").isNull() | (F.col("end_date") < F.col("start_date")))
+
+
+def promotion_days(promos: DataFrame, txn: DataFrame) -> DataFrame:
     """The one promotion in force per store and day: the earliest by start, name and variant.
 
-    Ranges become store-days, so facts find their promotion by equality and cannot multiply.
+    Ranges become store-days inside the span of the sales, so facts find their promotion by equality and cannot
+    multiply. A null end is open; see ``reversed_promotions`` for ranges without days.
     """
-    days = dim_promotion(promos).select(
-        "store_id", F.explode(F.sequence("start_date", "end_date", F.expr("interval 1 day"))).alias("date_id"),
+    span = txn.agg(F.min("transaction_date").alias("lo"), F.max("transaction_date").alias("hi"))
+    first = F.greatest("start_date", span.select("lo").scalar())
+    last = F.least("end_date", span.select("hi").scalar())
+    ranges = dim_promotion(promos).filter(
+        F.col("start_date").isNotNull() & (F.col("end_date").isNull() | (F.col("end_date") >= F.col("start_date"))))
+    days = ranges.withColumn("_lo", first).withColumn("_hi", last).filter(F.col("_lo") <= F.col("_hi")).select(
+        "store_id", F.explode(F.sequence("_lo", "_hi", F.expr("interval 1 day"))).alias("date_id"),
         "start_date", "promo_name", "variant", "promo_id")
     return first_row(days, ["store_id", "date_id"], ["start_date", "promo_name", "variant"]).select(
         "store_id", "date_id", "promo_id")
@@ -45,7 +56,7 @@ def fact_sales(items: DataFrame, txn: DataFrame, products: DataFrame, promos: Da
     """
     headers = txn.select(
         "transaction_id", F.col("transaction_date").alias("date_id"), "store_id", "customer_id", "status",
-    ).join(promotion_days(promos), ["store_id", "date_id"], "left")
+    ).join(promotion_days(promos, txn), ["store_id", "date_id"], "left")
     costs = products.select("item_id", F.col("cost").alias("unit_cost"))
     joined = lines_with_headers(items, headers, "left").join(costs, "item_id", "left")
     revenue = line_revenue()

@@ -376,16 +376,16 @@ FINDINGS = [
     long("A/B Test", "SELECT count(*) AS asignaciones_dobles FROM dual", ["asignaciones_dobles"]),
 ]
 add("audit_findings", """
-SELECT dimension, c.k AS metrica, c.v AS valor,
-  CASE WHEN c.v = 0 THEN 'Limpio' ELSE CASE dimension
-    WHEN 'Completitud' THEN 'Normal' WHEN 'Consistencia' THEN 'Media' WHEN 'Unicidad' THEN 'Alta'
-    WHEN 'Validez' THEN 'Alta' WHEN 'Integridad Referencial' THEN 'Media' WHEN 'Frescura' THEN 'Media'
-    WHEN 'Integridad Temporal' THEN 'Alta' WHEN 'A/B Test' THEN 'Crítica' END END AS severidad,
-  CASE dimension
-    WHEN 'Completitud' THEN 'ACEPTAR' WHEN 'Consistencia' THEN 'ALERTA' WHEN 'Unicidad' THEN 'IGNORAR si = 0'
-    WHEN 'Validez' THEN 'EXCLUIR' WHEN 'Integridad Referencial' THEN 'EXCLUIR' WHEN 'Frescura' THEN 'INVESTIGAR'
-    WHEN 'Integridad Temporal' THEN 'EXCLUIR' WHEN 'A/B Test' THEN 'EXCLUIR' END AS decision
-FROM (""" + "\nUNION ALL ".join(FINDINGS) + ")")
+SELECT dimension, c.k AS metrica, c.v AS valor, CASE WHEN severity IS NOT NULL AND c.v = 0 THEN 'Limpio' ELSE severity END AS severidad,
+  CASE WHEN c.v = 0 THEN NULL WHEN c.k LIKE 'duplicados%' THEN 'CONSERVAR ULTIMO' WHEN severity = 'Normal' THEN 'ACEPTAR'
+       WHEN c.k = 'con_discrepancia' THEN 'ALERTA' WHEN c.k = 'gaps_mayores_6' THEN 'INVESTIGAR'
+       WHEN severity IS NOT NULL THEN 'EXCLUIR' END AS decision
+FROM (SELECT *, CASE
+    WHEN c.k IN ('sin_customer_id', 'diferencia') THEN 'Normal'
+    WHEN c.k IN ('con_discrepancia', 'precio_cero_sin_promo', 'gaps_mayores_6') OR c.k LIKE '%_id_filas' THEN 'Media'
+    WHEN c.k LIKE 'duplicados%' OR c.k LIKE 'montos%' OR c.k = 'transacciones_pre_apertura' THEN 'Alta'
+    WHEN dimension = 'A/B Test' THEN 'Crítica' END AS severity
+FROM (""" + "\nUNION ALL ".join(FINDINGS) + "))")
 
 # --- business queries ------------------------------------------------------------------------------------
 
@@ -542,10 +542,19 @@ def integral(point: str, lower: str, upper: str) -> str:
     return f"(list_sum(list_transform(range(0, 401), lambda k: {SIMPSON} * {here})) * {step} / 3)"
 
 
-def student_p(start: str, df: str, end: str = "e") -> str:
-    """Two-sided p-value from the angle ``start`` = atan(|t| / sqrt(df)) and the cut-off angle."""
-    point = f"pow(greatest(cos(x), 0.0), {df} - 1)"
-    return f"({integral(point, f'least({start}, {end})', end)} / {integral(point, '0.0', end)})"
+def beta_series(x: str, a: str, b: str) -> str:
+    """Regularised incomplete beta function for ``x`` up to 1/2, by its series of positive terms."""
+    scale = f"exp({a} * ln({x}) + {b} * ln(1 - {x}) + lgamma({a} + {b}) - lgamma({a} + 1) - lgamma({b}))"
+    term = (f"exp(lgamma({a} + {b} + k) - lgamma({a} + {b}) - lgamma({a} + 1 + k) + lgamma({a} + 1) "
+            f"+ k * ln({x}))")
+    return f"({scale} * list_sum(list_transform(range(0, 200), lambda k: {term})))"
+
+
+def student_p(t: str, df: str) -> str:
+    """Two-sided p-value: the incomplete beta function at df / (df + t^2)."""
+    x = f"({df} / ({df} + pow({t}, 2)))"
+    return f"""(CASE WHEN {t} = 0 THEN 1.0 WHEN {x} <= 0.5 THEN {beta_series(x, f'({df} / 2)', '0.5')}
+        ELSE 1 - {beta_series(f'(1 - {x})', '0.5', f'({df} / 2)')} END)"""
 
 
 def welch(source: str, by: str = "") -> str:
@@ -555,8 +564,8 @@ def welch(source: str, by: str = "") -> str:
     return f"""(
 SELECT {keys}n_control, n_treatment, mean_control, mean_treatment, diff_abs,
        diff_abs / nullif(mean_control, 0) * 100 AS lift_pct, se, t_stat, df,
-       CASE WHEN df IS NOT NULL THEN {student_p('atan(abs(t_stat) / sqrt(df))', 'df')} END AS p_value
-FROM (SELECT *, least(pi() / 2, 40.0 / sqrt(df)) AS e FROM (
+       CASE WHEN df IS NOT NULL THEN {student_p('t_stat', 'df')} END AS p_value
+FROM (
   SELECT *, mean_treatment - mean_control AS diff_abs, sqrt(pc + pt) AS se,
          (mean_treatment - mean_control) / nullif(sqrt(pc + pt), 0) AS t_stat,
          pow(pc + pt, 2) / nullif(pow(pc, 2) / (n_control - 1) + pow(pt, 2) / (n_treatment - 1), 0) AS df
@@ -568,7 +577,7 @@ FROM (SELECT *, least(pi() / 2, 40.0 / sqrt(df)) AS e FROM (
                  avg(avg_gmv_week) FILTER (WHERE variant = 'TREATMENT') AS mean_treatment,
                  var_samp(avg_gmv_week) FILTER (WHERE variant = 'CONTROL') AS vc,
                  var_samp(avg_gmv_week) FILTER (WHERE variant = 'TREATMENT') AS vt
-          FROM {source} {group})))))"""
+          FROM {source} {group}))))"""
 
 
 WELCH_OUT = """n_control, n_treatment, round(mean_control, 4) AS mean_control, round(mean_treatment, 4) AS mean_treatment,
@@ -590,11 +599,11 @@ SELECT n_control, n_treatment, round(mean_control, 4) AS mean_control, round(mea
        p_value < 0.05 AS significativo FROM {welch('store_avg')}""")
 add("ab_ci_t", f"""
 SELECT n_control, n_treatment, round(diff_abs - hi * se, 2) AS ci_low, round(diff_abs + hi * se, 2) AS ci_high
-FROM (WITH RECURSIVE s AS (SELECT *, least(pi() / 2, 40.0 / sqrt(df)) AS e FROM {welch('store_avg')}),
-      b AS (SELECT 0 AS i, CAST(0.0 AS DOUBLE) AS lo, CAST(1000.0 AS DOUBLE) AS hi, n_control, n_treatment, diff_abs, se, df, e FROM s
+FROM (WITH RECURSIVE s AS (SELECT * FROM {welch('store_avg')}),
+      b AS (SELECT 0 AS i, CAST(0.0 AS DOUBLE) AS lo, 1 / tan(pi() * 0.025) AS hi, n_control, n_treatment, diff_abs, se, df FROM s
             UNION ALL SELECT i + 1, CASE WHEN p > 0.05 THEN mid ELSE lo END, CASE WHEN p > 0.05 THEN hi ELSE mid END,
-                             n_control, n_treatment, diff_abs, se, df, e
-            FROM (SELECT *, (lo + hi) / 2 AS mid, {student_p('atan((lo + hi) / 2 / sqrt(df))', 'df')} AS p FROM b WHERE i < 60))
+                             n_control, n_treatment, diff_abs, se, df
+            FROM (SELECT *, (lo + hi) / 2 AS mid, {student_p('((lo + hi) / 2)', 'df')} AS p FROM b WHERE i < 60))
       SELECT * FROM b WHERE i = 60)""")
 add("ab_box_stats", """
 SELECT variant, count(*) AS n, round(min(avg_gmv_week), 4) AS minimo, round(quantile_cont(avg_gmv_week, 0.25), 4) AS q1,
@@ -749,7 +758,7 @@ FROM (SELECT *, lag(gmv, 12) OVER s AS gmv_prior, lag(ytd, 12) OVER s AS ytd_pri
                    CAST(sum({m('gmv')}) OVER (PARTITION BY store_id, year(p) ORDER BY p) AS DOUBLE) AS ytd
             FROM {periods('month')} JOIN dim_store USING (store_id) WHERE is_comparable)
       WINDOW s AS (PARTITION BY store_id ORDER BY month)))"""
-add("kpi1_comp_growth", f"SELECT * FROM {KPI1}")
+add("kpi1_comp_growth", f"SELECT *, 5.0::DOUBLE AS target, growth_pct >= 5 AS cumple FROM {KPI1}")
 
 
 def kpi2(step: str) -> str:
@@ -776,12 +785,14 @@ add("kpi3_ticket", f"SELECT * FROM {KPI3}")
 
 
 def kpi4(by: str = "") -> str:
-    keys, home = (f"{by}, ", "home AS store_id, ") if by else ("", "")
+    keys, home, group = (f"{by}, ", "home AS store_id, ", "home, ") if by else ("", "", "")
     return f"""(
-SELECT {keys}cohort, cohort_size, active_m1, {pct('active_m1', 'cohort_size')} AS retencion_m1_pct
+SELECT {keys}cohort, cohort_size, active_m1, {pct('active_m1', 'cohort_size')} AS retencion_m1_pct,
+       35.0::DOUBLE AS target, {pct('active_m1', 'cohort_size')} >= 35 AS cumple
 FROM (SELECT {home}cohort, count(DISTINCT customer_id) AS cohort_size,
-             count(DISTINCT customer_id) FILTER (WHERE {DONE} AND {OFFSET} = 1) AS active_m1
-      FROM loyal GROUP BY ALL))"""
+             CASE WHEN cohort + INTERVAL 2 MONTH <= (SELECT max(transaction_date) + INTERVAL 1 DAY FROM transactions)
+                  THEN count(DISTINCT customer_id) FILTER (WHERE {DONE} AND {OFFSET} = 1) END AS active_m1
+      FROM loyal GROUP BY {group}cohort))"""
 
 
 add("kpi4_retention_m1", f"SELECT * FROM {kpi4()}")
@@ -790,7 +801,7 @@ KPI5 = f"""(
 SELECT store_id, {week('transaction_date')} AS week, count(*) AS n, count(*) FILTER (WHERE status = 'RETURNED') AS devueltas,
        {pct("count(*) FILTER (WHERE status = 'RETURNED')", 'count(*)')} AS tasa_devolucion_pct
 FROM transactions GROUP BY 1, 2)"""
-add("kpi5_return_rate", f"SELECT * FROM {KPI5}")
+add("kpi5_return_rate", f"SELECT *, 2.5::DOUBLE AS target, tasa_devolucion_pct <= 2.5 AS cumple FROM {KPI5}")
 
 
 def kpi6(step: str) -> str:
@@ -800,7 +811,7 @@ SELECT store_id, CAST(date_trunc('{step}', transaction_date) AS DATE) AS {step},
 FROM transactions GROUP BY 1, 2)"""
 
 
-add("kpi6_loyalty_rate", f"SELECT * FROM {kpi6('month')}")
+add("kpi6_loyalty_rate", f"SELECT *, 45.0::DOUBLE AS target, penetracion_pct >= 45 AS cumple FROM {kpi6('month')}")
 KPI7 = f"""(
 SELECT vendor_id, quarter, revenue, cost, vendor_name, tier, gmroi, target, gmroi >= target AS cumple
 FROM (SELECT *, (revenue - cost) / nullif(cost, 0) AS gmroi,
@@ -826,8 +837,8 @@ LEFT JOIN (SELECT DISTINCT store_id, item_id, CAST(unnest(generate_series(date_t
 GROUP BY {keys}month)"""
 
 
-add("kpi8_oos_rate", f"SELECT * FROM {kpi8()}")
-add("kpi8_oos_rate_by_store", f"SELECT * FROM {kpi8('store_id')}")
+for _name, _by in (("kpi8_oos_rate", ""), ("kpi8_oos_rate_by_store", "store_id")):
+    add(_name, f"SELECT *, 5.0::DOUBLE AS target, oos_pct <= 5 AS cumple FROM {kpi8(_by)}")
 
 
 def z(value: str, part: str) -> str:
@@ -878,7 +889,8 @@ add("kpi_checks", "\nUNION ALL".join([
     check("kpi2", "store_id", "week", "diez_veces_el_formato", "gmv_m2", KPI2_PEERS, "gmv_m2 > 10 * usual"),
     check("kpi3", "format", "week", "ticket_fuera_de_rango", "ticket", KPI3, "ticket < 5 OR ticket > 5000"),
     check("kpi3", "format", "week", "varia_mas_30pct", "variacion_pct", KPI3, "abs(variacion_pct) > 30"),
-    check("kpi4", "'RED'", "cohort", "retencion_100_o_0", "retencion_m1_pct", kpi4(), "retencion_m1_pct IN (0, 100)"),
+    check("kpi4", "'RED'", "cohort", "retencion_100_o_0", "retencion_m1_pct", kpi4(),
+          "retencion_m1_pct = 100 OR retencion_m1_pct = 0 AND cohort_size >= 100"),
     check("kpi5", "store_id", "week", "devolucion_mayor_10", "tasa_devolucion_pct", KPI5, "tasa_devolucion_pct > 10"),
     check("kpi5", "store_id", "week", "igual_4_semanas", "tasa_devolucion_pct", KPI5_RUNS, "c = 4 AND lo = hi"),
     check("kpi6", "store_id", "month", "salto_a_100", "penetracion_pct", kpi6_before("month"),
@@ -887,7 +899,8 @@ add("kpi_checks", "\nUNION ALL".join([
     check("kpi6", "store_id", "day", "salto_a_100", "penetracion_pct", kpi6_before("day"),
           "penetracion_pct = 100 AND before < 100"),
     check("kpi7", "vendor_id", "quarter", "gmroi_negativo", "gmroi", KPI7, "gmroi < 0"),
-    check("kpi7", "vendor_id", "quarter", "gmroi_mayor_10", "gmroi", KPI7, "gmroi > 10"),
+    check("kpi7", "vendor_id", "quarter", "gmroi_mayor_10", "gmroi",
+          f"(SELECT *, avg(revenue) OVER (PARTITION BY quarter) AS usual FROM {KPI7})", "gmroi > 10 AND revenue >= usual"),
     check("kpi8", "store_id", "month", "tienda_100pct", "oos_pct", kpi8("store_id"), "oos_pct = 100"),
     check("kpi8", "'RED'", "month", "cero_2_meses", "oos_pct", KPI8_RUNS,
           "oos_pct = 0 AND prev = 0 AND month = prev_month + INTERVAL 1 MONTH"),

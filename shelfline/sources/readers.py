@@ -7,7 +7,7 @@ from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
-from .schemas import TABLES
+from .schemas import OPTIONAL, TABLES
 
 
 def load_table(spark: SparkSession, path: str, schema: T.StructType, fmt: str = "csv") -> DataFrame:
@@ -27,18 +27,38 @@ def header_schema(spark: SparkSession, path: str, schema: T.StructType) -> T.Str
 
 def load_tables(spark: SparkSession, directory: str, fmt: str = "csv",
                 extension: str | None = None) -> dict[str, DataFrame]:
-    """The six tables; columns a file lacks come back as nulls of their type."""
-    loaded = {}
+    """The six tables. A missing column raises, with all missing names, unless it is one of ``OPTIONAL``, which
+    comes back as nulls of its type."""
+    loaded, missing = {}, []
     for name, schema in TABLES.items():
         path = f"{directory}/{name}.{extension or fmt}"
+        columns = (spark.read.option("header", True) if fmt == "csv" else spark.read).format(fmt).load(path).columns
         found = header_schema(spark, path, schema) if fmt == "csv" else schema
         df = load_table(spark, path, found, fmt)
+        missing += [f"{name}.{f.name}" for f in schema.fields
+                    if f.name not in columns and f.name not in OPTIONAL.get(name, ())]
         loaded[name] = df.select(*[
-            (F.col(f.name) if f.name in df.columns else F.lit(None)).cast(f.dataType).alias(f.name)
+            (F.col(f.name) if f.name in columns else F.lit(None)).cast(f.dataType).alias(f.name)
             for f in schema.fields])
+    if missing:
+        raise ValueError(f"columns missing in {directory}: {', '.join(missing)}")
     return loaded
 
 
+def malformed_values(spark: SparkSession, directory: str, extension: str = "csv") -> DataFrame:
+    """Per table and column of CSV files: values that are there but do not have the column's type."""
+    parts = []
+    for name, schema in TABLES.items():
+        text = spark.read.option("header", True).csv(f"{directory}/{name}.{extension}")
+        known = [f for f in schema.fields if f.name in text.columns]
+        bad = [F.count_if(F.col(f.name).isNotNull() & F.col(f.name).try_cast(f.dataType).isNull()).alias(f.name)
+               for f in known]
+        cells = [F.struct(F.lit(name).alias("tabla"), F.lit(f.name).alias("columna"), F.col(f.name).alias("n"))
+                 for f in known]
+        parts.append(text.agg(*bad).select(F.inline(F.array(*cells))))
+    return reduce(DataFrame.unionByName, parts)
+
+
 def register_views(tables: Mapping[str, DataFrame]) -> None:
     for name, df in tables.items():
         df.createOrReplaceTempView(name)

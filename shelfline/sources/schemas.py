@@ -41,6 +41,11 @@ TABLES = {
     "store_promotions": STORE_PROMOTIONS,
 }
 
+# Columns that no operator needs: files may lack them.
+OPTIONAL = {
+    "stores": {"store_name", "city", "region"}, "products": {"item_name", "brand", "department"},
+    "vendors": {"country", "is_shared_catalog"}, "store_promotions": {"promo_type"}}
+
 # The hourly feed: a flattened sale line with the header columns.
 STAGING = T.StructType(
     TRANSACTION_ITEMS.fields

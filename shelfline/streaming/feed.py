@@ -63,7 +63,9 @@ def load_stream(stream: DataFrame, facts_path: str, quarantine_path: str, checkp
     """Upsert rows on time or corrected in time into the facts, put later ones in quarantine.
 
     The split comes before anything stateful, so a watermark never drops a late row. Both writes are safe to
-    repeat: quarantine files go to a folder per batch, upserts are keyed and resume by batch.
+    repeat: the stream's own id, kept in its checkpoint, and the batch name the quarantine folder and the run of the
+    upsert. A second stream, or one started anew on a fresh checkpoint, has another id and never meets the first
+    one's files.
     """
     def put(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
@@ -71,10 +73,11 @@ def load_stream(stream: DataFrame, facts_path: str, quarantine_path: str, checkp
         try:
             routed = route_late(batch, late_days, event_day)
             late = routed.filter(F.col("ruta") == "cuarentena")
-            late.write.mode("overwrite").parquet(f"{quarantine_path}/batch_id={batch_id}")
+            stream_id = spark.read.text(f"{checkpoint.rstrip('/')}/metadata").select(
+                F.get_json_object("value", "$.id")).first()[0]
+            late.write.mode("overwrite").parquet(f"{quarantine_path}/stream_id={stream_id}/batch_id={batch_id}")
             good = routed.filter(F.col("ruta") == "corregir").drop("dias_retraso", "ruta")
-            run = f"{checkpoint.rstrip('/').rsplit('/', 1)[-1]}-{batch_id}"
-            upsert_facts(spark, facts_path, good, key, by, run_id=run)
+            upsert_facts(spark, facts_path, good, key, by, run_id=f"{stream_id}-{batch_id}")
         finally:
             batch.unpersist()
 

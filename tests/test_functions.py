@@ -1,3 +1,4 @@
+import math
 import random
 import statistics
 
@@ -20,7 +21,31 @@ def test_student_p_values(spark, t, df, p):
 
 def test_student_quantile_inverts_the_p_value(spark):
     got = spark.range(1).select(student_t_quantile(0.05, F.lit(20.0)), student_t_quantile(0.05, F.lit(1.0))).first()
-    assert got[0] == pytest.approx(2.085963, abs=1e-5) and got[1] == pytest.approx(12.7062, abs=1e-3)
+    assert got[0] == pytest.approx(2.0859634473, abs=1e-8) and got[1] == pytest.approx(12.7062047362, abs=1e-8)
+
+
+@pytest.mark.parametrize("t, df, p", [
+    (2.0, 1.0, 1 - 2 / math.pi * math.atan(2.0)), (2.0, 2.0, 1 - 2 / math.sqrt(6)), (2.0, 1.1, 0.2771059),
+    (1e6, 1.0, 2 / math.pi * math.atan(1e-6)), (1e4, 2.0, 1 - 1e4 / math.sqrt(2 + 1e8)), (0.0, 1.5, 1.0)])
+def test_student_closed_forms(spark, t, df, p):
+    got = spark.range(1).select(student_t_p(F.lit(t), F.lit(df))).first()[0]
+    assert got == pytest.approx(p, rel=2e-7 if df == 1.1 else 1e-7 if t == 1e4 else 1e-9)
+
+
+@pytest.mark.parametrize("df", [1.0, 1.1, 1.5, 2.0, 35.75])
+@pytest.mark.parametrize("alpha", [0.05, 0.0001])
+def test_student_quantile_has_no_ceiling(spark, alpha, df):
+    q, back = spark.range(1).select(student_t_quantile(alpha, F.lit(df)).alias("q")).select(
+        "q", student_t_p(F.col("q"), F.lit(df))).first()
+    assert back == pytest.approx(alpha, rel=1e-9)
+    exact = {1.0: 1 / math.tan(math.pi * alpha / 2), 2.0: (1 - alpha) * math.sqrt(2 / (1 - (1 - alpha) ** 2))}.get(df)
+    assert exact is None or q == pytest.approx(exact, rel=1e-9)
+
+
+def test_normal_far_tail(spark):
+    got = spark.range(1).select(*[normal_p(F.lit(z)) for z in (1.0, 6.0, 20.0)]).first()
+    for z, p in zip((1.0, 6.0, 20.0), got):
+        assert p == pytest.approx(math.erfc(z / math.sqrt(2)), rel=1e-9)
 
 
 def test_normal_p(spark):

@@ -116,5 +116,5 @@ def test_first_row_combines_before_the_shuffle(spark):
 
 
 def test_shuffle_partitions_follow_the_input():
-    assert shuffle_partitions(1) == 200 and shuffle_partitions(10 * 2 ** 40) == 81_920
-    assert shuffle_partitions(100 * 2 ** 40) == 200_000
+    assert shuffle_partitions(1) == 1 and shuffle_partitions(10 * 2 ** 40) == 81_920
+    assert shuffle_partitions(100 * 2 ** 40) == 819_200
