@@ -230,8 +230,7 @@ SELECT transaction_id, store_id, transaction_date, format, country, item_id, cat
 FROM base""")
 add("write_result", "SELECT * FROM weekly_format")
 add("write_partitioned", f"""
-SELECT {month('date_id')} AS month_id, count(*) AS lines, {total('gross_revenue')} AS revenue FROM facts
-WHERE date_id BETWEEN DATE '{PRIOR[0]}' AND DATE '{CUR[1]}' GROUP BY 1""")
+SELECT {month('date_id')} AS month_id, count(*) AS lines, {total('gross_revenue')} AS revenue FROM facts GROUP BY 1""")
 for _name, _gmv in (
     ("analysis_summary", f"(SELECT {total('revenue')} FROM base)"), ("analysis_summary_headers", total("total_amount")),
 ):
@@ -692,6 +691,9 @@ SELECT transaction_item_id, store_id, CAST(ts AS DATE) AS transaction_date, amou
        CAST(ts AS DATE) + CAST(transaction_item_id % 6 AS INTEGER) AS _ingested_at,
        CAST(transaction_item_id % 6 AS INTEGER) AS dias_retraso,
        CASE WHEN transaction_item_id % 6 <= 3 THEN 'corregir' ELSE 'cuarentena' END AS ruta FROM {PURCHASES}""")
+add("load_stream", f"""
+SELECT transaction_item_id, store_id, CAST(ts AS DATE) AS transaction_date, amount,
+       CASE WHEN transaction_item_id % 6 <= 3 THEN 'facts' ELSE 'late' END AS destino FROM {PURCHASES}""")
 add("upsert_facts", """
 SELECT *, CAST(CAST(date_trunc('month', sale_day) AS DATE) AS VARCHAR) AS month_id FROM (
   SELECT o_orderkey AS transaction_id, o_custkey AS customer_id,

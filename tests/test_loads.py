@@ -69,6 +69,39 @@ def test_late_rows_are_split_before_the_load(spark, staged, tmp_path):
     assert rows(spark.read.parquet(late), "transaction_item_id") == [("four",)]
 
 
+def test_streams_never_meet_each_others_files(spark, staged, tmp_path):
+    """Checkpoints that share their last folder name, and a fresh checkpoint at the same path for the same tables."""
+    def load(name, n, checkpoint, table=None):
+        table = table or name
+        source = str(tmp_path / "in" / f"{name}{n}")
+        staged((f"{name}{n}", "2024-01-04", n, "2024-01-04T00:00"), (f"late-{name}{n}", "2024-01-01", n, "2024-01-09T00:00")) \
+            .write.parquet(source)
+        stream = spark.readStream.schema(FACTS).parquet(source)
+        feed.load_stream(stream, str(tmp_path / f"facts-{table}"), str(tmp_path / f"late-{table}"), str(checkpoint)).awaitTermination()
+
+    for n in (0, 1):
+        for name in "ab":
+            load(name, n, tmp_path / name / str(n) / "checkpoint")
+    load("c", 2, tmp_path / "fresh" / "checkpoint", "b")
+    for table, want in (("a", ["a0", "a1"]), ("b", ["b0", "b1", "c2"])):
+        assert [r[0] for r in _read(spark, str(tmp_path / f"facts-{table}"))] == want
+        late = spark.read.parquet(str(tmp_path / f"late-{table}"))
+        assert rows(late, "transaction_item_id") == [(f"late-{k}",) for k in want]
+
+
+def test_missing_columns_are_named(spark, tmp_path):
+    from shelfline.sources import schemas
+    for name, schema in schemas.TABLES.items():
+        names = ["store" if (name, f.name) == ("transactions", "store_id") else f.name for f in schema.fields
+                 if f.name not in schemas.OPTIONAL.get(name, ())]
+        (tmp_path / f"{name}.csv").write_text(",".join(names) + "\n" + ",".join("x" for _ in names) + "\n")
+    with pytest.raises(ValueError, match="transactions.store_id"):
+        readers.load_tables(spark, str(tmp_path))
+    bad = {(r.tabla, r.columna): r.n for r in readers.malformed_values(spark, str(tmp_path)).collect()}
+    assert bad["transactions", "total_amount"] == 1 and bad["transactions", "transaction_id"] == 0
+    assert bad["transactions", "loyalty_card"] == 1
+
+
 def test_freshness_sees_silent_stores(make, sales):
     stores = make("stores", *[dict(store_id=s) for s in ("fresh", "yesterday", "old", "silent")])
     txn = sales(("1", "fresh", "2024-01-10", 1), ("2", "yesterday", "2024-01-09", 1), ("3", "old", "2024-01-07", 1))

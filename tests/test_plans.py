@@ -12,7 +12,7 @@ from shelfline.plans.catalog import QUERIES
 from shelfline.session import shuffle_partitions
 
 WRITES = {"load_tables", "upsert_facts", "write_result", "write_partitioned", "kpi_checks",
-          "stream_ingest", "stream_dedupe", "stream_weekly_gmv"}
+          "load_stream", "stream_ingest", "stream_dedupe", "stream_weekly_gmv"}
 
 
 def plan(df):

@@ -97,7 +97,29 @@ def test_ticket_change_needs_the_week_before(make, sales):
 def test_retention_belongs_to_the_first_store(sales):
     loyal = dict(loyalty_card=True, customer_id="c")
     txn = sales(("1", "A", "2024-01-20", 1, loyal), ("2", "B", "2024-02-20", 1, loyal), ("3", "B", "2024-01-21", 1, loyal))
-    assert rows(kpi.kpi4_retention_m1(txn, ["store_id"])) == [("A", day("2024-01-01"), 1, 1, 100.0)]
+    assert rows(kpi.kpi4_retention_m1(txn, ["store_id"], as_of="2024-02-29")) == [
+        ("A", day("2024-01-01"), 1, 1, 100.0, 35.0, True)]
+
+
+def test_retention_waits_for_the_end_of_the_next_month(sales):
+    loyal = dict(loyalty_card=True)
+    txn = sales(("1", "A", "2024-04-03", 1, loyal | {"customer_id": "a"}), ("2", "A", "2024-05-20", 1, loyal | {"customer_id": "b"}),
+                ("3", "A", "2024-06-20", 1, loyal | {"customer_id": "c"}))
+    got = rows(kpi.kpi4_retention_m1(txn), "cohort", "active_m1", "retencion_m1_pct", "cumple")
+    assert got == [(day("2024-04-01"), 0, 0.0, False), (day("2024-05-01"), None, None, None), (day("2024-06-01"), None, None, None)]
+    got = rows(kpi.kpi4_retention_m1(txn, as_of="2024-06-30"), "cohort", "active_m1")
+    assert got == [(day("2024-04-01"), 0), (day("2024-05-01"), 0), (day("2024-06-01"), None)]
+
+
+def test_open_reversed_and_endless_promotions(make, sales):
+    promos = make("store_promotions", *[
+        dict(store_id=s, promo_name="P", variant="CONTROL", promo_type="E", start_date=a, end_date=b) for s, a, b in (
+            ("open", "2024-01-05", None), ("reversed", "2024-01-05", "2024-01-01"), ("endless", "1900-01-01", "9999-12-31"),
+            ("later", "2024-02-01", None), ("unknown", None, "2024-01-03"))])
+    txn = sales(("1", "open", "2024-01-04", 1), ("2", "open", "2024-01-06", 1))
+    days = rows(star.promotion_days(promos, txn), "store_id", "date_id")
+    assert days == [("endless", day(f"2024-01-0{d}")) for d in (4, 5, 6)] + [("open", day("2024-01-05")), ("open", day("2024-01-06"))]
+    assert rows(star.reversed_promotions(promos), "store_id") == [("reversed",), ("unknown",)]
 
 
 def test_oos_rate_by_month(spark):
@@ -105,7 +127,7 @@ def test_oos_rate_by_month(spark):
     data = [("S", "gap", day(d), 1.0, 1.0) for d in days]
     data += [("S", "ok", day("2024-01-%02d" % d), 1.0, 1.0) for d in range(1, 9)] + [("S", "rare", day("2024-01-01"), 1.0, 1.0)]
     daily = spark.createDataFrame(data, "store_id string, item_id string, fecha_venta date, unidades double, gmv_dia double")
-    assert rows(kpi.kpi8_oos_rate(daily)) == [
+    assert rows(kpi.kpi8_oos_rate(daily), "month", "activos", "con_quiebre", "oos_pct") == [
         (day("2024-01-01"), 2, 1, 50.0), (day("2024-02-01"), 1, 1, 100.0), (day("2024-03-01"), 1, 0, 0.0)]
 
 
