@@ -21,7 +21,7 @@ HEADLINE = [
     "q5_stockouts_calendar", "q6_promo_uplift", "audit_header_vs_lines", "audit_uniqueness", "audit_sales_gaps",
     "audit_findings", "p1_weekly_gmv", "p2_pareto", "p3_cohort_matrix", "p4_low_rotation", "p5_payment_mix",
     "ab_ci", "fact_sales", "dim_customer", "gmv_reconciliation", "kpi1_comp_growth", "kpi8_oos_rate",
-    "kpi9_store_score",
+    "kpi9_store_score", "kpi_checks",
 ]
 
 
