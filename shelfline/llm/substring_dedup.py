@@ -20,6 +20,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window, functions as F
 
 from .common import encoded, mixed, steps, stored, string_hashes, table, window_hashes, words
@@ -65,10 +66,19 @@ def _fingerprints(window: int):
 SEGMENT = "mark long, segment long, doc long, text_hash long, start long, windows int, text string"
 
 
+def _joined(flat: pa.Array, low: np.ndarray, high: np.ndarray) -> list[str]:
+    """The words from ``low`` to ``high`` of each range, joined by one space."""
+    ends = np.concatenate([[0], np.cumsum(high - low)])
+    places = np.arange(ends[-1]) + np.repeat(low - ends[:-1], high - low)
+    lists = pa.LargeListArray.from_arrays(pa.array(ends), flat.take(pa.array(places)))
+    return pc.binary_join(lists, pa.scalar(" ", flat.type)).to_pylist()
+
+
 def _segments(window: int):
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Places of shared segments (without text), then each different segment once with its smallest document."""
-        texts: dict[tuple[int, int], list] = {}
+        texts: dict[tuple[int, int], str] = {}
+        smallest: dict[tuple[int, int], int] = {}
         for batch in steps(batches):
             flat, h, offsets, rows, starts, place, best = _minimisers(batch.column("text"), window)
             if not len(rows):
@@ -94,13 +104,16 @@ def _segments(window: int):
             name = name.view(np.int64)
             docs = batch.column("doc_id").to_numpy(zero_copy_only=False)[row]
             hashes = batch.column("text_hash").to_numpy(zero_copy_only=False)[row]
-            pieces = flat.to_pylist()
-            for m, s, d, a, b in zip(mark.tolist(), name.tolist(), docs.tolist(), low.tolist(), high.tolist()):
-                old = texts.get((m, s))
-                if old is None:
-                    texts[m, s] = [d, " ".join(pieces[a:b])]
-                elif d < old[0]:
-                    old[0] = d
+            # Each different segment once, with its smallest document.
+            order = np.lexsort((docs, name, mark))
+            new = np.flatnonzero(np.r_[True, (mark[order][1:] != mark[order][:-1]) | (name[order][1:] != name[order][:-1])]) \
+                if len(order) else order
+            one = order[new]
+            for key, d in zip(zip(mark[one].tolist(), name[one].tolist()), docs[one].tolist()):
+                smallest[key] = min(smallest.get(key, d), d)
+            one = np.array([i for i, key in zip(one.tolist(), zip(mark[one].tolist(), name[one].tolist()))
+                            if key not in texts], np.int64)
+            texts.update(zip(zip(mark[one].tolist(), name[one].tolist()), _joined(flat, low[one], high[one])))
             n = int(asks.sum())
             yield pa.RecordBatch.from_arrays(
                 [pa.array(mark[asks]), pa.array(name[asks]), pa.array(docs[asks]), pa.array(hashes[asks]),
@@ -112,8 +125,8 @@ def _segments(window: int):
             n = len(part)
             yield pa.RecordBatch.from_arrays(
                 [pa.array([k[0] for k, _ in part], pa.int64()), pa.array([k[1] for k, _ in part], pa.int64()),
-                 pa.array([v[0] for _, v in part], pa.int64()), pa.nulls(n, pa.int64()), pa.nulls(n, pa.int64()),
-                 pa.nulls(n, pa.int32()), pa.array([v[1] for _, v in part], pa.string())],
+                 pa.array([smallest[k] for k, _ in part], pa.int64()), pa.nulls(n, pa.int64()), pa.nulls(n, pa.int64()),
+                 pa.nulls(n, pa.int32()), pa.array([v for _, v in part], pa.string())],
                 ["mark", "segment", "doc", "text_hash", "start", "windows", "text"])
     return cut
 
@@ -177,23 +190,25 @@ def _remover(window: int):
     def remove(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in steps(batches):
             flat, offsets = words(batch.column("text"))
-            pieces = flat.to_pylist()
-            out, gone = [], []
-            for row, found in enumerate(batch.column("found").to_pylist()):
-                mine = pieces[offsets[row]:offsets[row + 1]]
-                drop = np.zeros(len(mine) + 1, np.int64)
-                for f in found or ():
-                    for k in range(f["windows"]):
-                        if f["hits"] >> k & 1:
-                            drop[f["start"] + k] += 1
-                            drop[f["start"] + k + window] -= 1
-                covered = np.cumsum(drop[:-1]) > 0
-                out.append(" ".join(mine if not covered.any() else
-                                    [w for w, c in zip(mine, covered.tolist()) if not c]))
-                gone.append(int(covered.sum()))
+            lists = batch.column("found")
+            found = lists.flatten()
+            owner = np.repeat(np.arange(batch.num_rows), pc.fill_null(lists.value_lengths(), 0).to_numpy(
+                zero_copy_only=False))
+            start = offsets[owner] + found.field("start").to_numpy(zero_copy_only=False).astype(np.int64)
+            hits = found.field("hits").to_numpy(zero_copy_only=False).astype(np.int64)
+            change = np.zeros(len(flat) + 1, np.int64)
+            for k in range(int(hits.max(initial=0)).bit_length()):
+                at = start[hits >> k & 1 == 1] + k
+                np.add.at(change, at, 1)
+                np.add.at(change, at + window, -1)
+            keep = np.cumsum(change[:-1]) == 0
+            ends = np.concatenate([[0], np.cumsum(keep)])[offsets]
+            kept = pa.LargeListArray.from_arrays(pa.array(ends), flat.filter(pa.array(keep)))
+            text = pc.binary_join(kept, pa.scalar(" ", flat.type)).cast(pa.string())
+            words_in = np.diff(offsets)
             yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id").cast(pa.int64()), pa.array(np.diff(offsets), pa.int64()),
-                 pa.array(gone, pa.int64()), pa.array(out, pa.string())], ["doc_id", "n_words", "n_removed", "kept"])
+                [batch.column("doc_id").cast(pa.int64()), pa.array(words_in), pa.array(words_in - np.diff(ends)), text],
+                ["doc_id", "n_words", "n_removed", "kept"])
     return remove
 
 
