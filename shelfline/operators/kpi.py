@@ -33,7 +33,8 @@ def _lookup(table: Mapping[str, float], key: str) -> Column:
     return F.try_element_at(F.create_map(*[F.lit(x) for pair in table.items() for x in pair]), F.col(key))
 
 
-def _store_periods(facts: DataFrame, period: str) -> DataFrame:
+def store_periods(facts: DataFrame, period: str) -> DataFrame:
+    """Revenue per store and period, without returned sales."""
     return facts.filter(~F.col("is_returned")).groupBy("store_id", period_start("date_id", period).alias(period)).agg(
         line_total("gross_revenue").alias("gmv"))
 
@@ -42,19 +43,22 @@ def kpi_north_star(facts: DataFrame, stores: DataFrame) -> DataFrame:
     """Weekly revenue of comparable stores over the floor space of all comparable stores."""
     comparable = stores.filter("is_comparable").select("store_id", "size_sqm")
     space = comparable.agg(F.sum("size_sqm").cast("double").alias("m2"))
-    weekly = _store_periods(facts, "week").join(comparable.select("store_id"), "store_id")
+    weekly = store_periods(facts, "week").join(comparable.select("store_id"), "store_id")
     return weekly.groupBy("week").agg(F.sum(money("gmv")).cast("double").alias("gmv")).withColumn(
         "comp_gmv_m2", ratio(F.col("gmv"), space.scalar()))
 
 
-def kpi1_comp_growth(facts: DataFrame, stores: DataFrame, target: float = GROWTH_TARGET) -> DataFrame:
+def kpi1_comp_growth(facts: DataFrame, stores: DataFrame, target: float = GROWTH_TARGET,
+                     monthly: DataFrame | None = None) -> DataFrame:
     """Monthly and year-to-date growth of comparable stores over the year before.
 
-    Months without sales count as zero, so twelve rows back is the same month a year ago.
+    Months without sales count as zero, so twelve rows back is the same month a year ago. ``monthly``, the facts'
+    ``store_periods``, saves reading the facts again.
     """
     comparable = stores.filter("is_comparable").select("store_id")
+    sold = store_periods(facts, "month") if monthly is None else monthly
     monthly = dense_periods(
-        _store_periods(facts, "month").join(comparable, "store_id"), ["store_id"], "month", ["gmv"], "1 month")
+        sold.join(comparable, "store_id"), ["store_id"], "month", ["gmv"], "1 month")
     by_month = W.partitionBy("store_id").orderBy("month")
     ytd = W.partitionBy("store_id", F.year("month")).orderBy("month").rowsBetween(W.unboundedPreceding, W.currentRow)
     summed = monthly.withColumn("ytd", F.sum(money("gmv")).over(ytd).cast("double"))
@@ -66,12 +70,14 @@ def kpi1_comp_growth(facts: DataFrame, stores: DataFrame, target: float = GROWTH
         .transform(_against, "growth_pct", float(target)))
 
 
-def kpi2_gmv_sqm(facts: DataFrame, stores: DataFrame, period: str = "week") -> DataFrame:
+def kpi2_gmv_sqm(facts: DataFrame, stores: DataFrame, period: str = "week",
+                 sums: DataFrame | None = None) -> DataFrame:
     """Revenue per square metre and store; under the format's median, or in its lowest quarter.
 
-    A store's silent periods between its first and last sale appear with zero.
+    A store's silent periods between its first and last sale appear with zero. ``sums``, the facts'
+    ``store_periods``, saves reading the facts again.
     """
-    sold = dense_periods(_store_periods(facts, period), ["store_id"], period, ["gmv"], f"1 {period}")
+    sold = dense_periods(store_periods(facts, period) if sums is None else sums, ["store_id"], period, ["gmv"], f"1 {period}")
     per_m2 = sold.join(stores.select("store_id", "format", "size_sqm"), "store_id").withColumn(
         "gmv_m2", ratio(F.col("gmv"), F.col("size_sqm"))).drop("size_sqm")
     peers = W.partitionBy("format", period)

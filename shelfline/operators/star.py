@@ -158,12 +158,15 @@ def scd2_dim_store(history: DataFrame, snapshot: DataFrame, as_of,
     return closed.unionByName(opened)
 
 
-def fact_promo_impact(facts: DataFrame) -> DataFrame:
+def fact_promo_impact(facts: DataFrame, items: DataFrame | None = None) -> DataFrame:
     """Discount given by each promoted line against the item's average price off promotion.
 
-    The reference price is off-promotion revenue over units; it is null for items never sold off promotion.
+    The reference price is off-promotion revenue over units; it is null for items never sold off promotion. Given
+    the ``items`` the facts were made of, it is taken from them alone, without headers, stores and promotions.
     """
-    usual = facts.filter(~F.col("was_on_promo")).groupBy("product_id").agg(
+    lines = facts if items is None else items.select(
+        F.col("item_id").alias("product_id"), "quantity", line_revenue().alias("gross_revenue"), "was_on_promo")
+    usual = lines.filter(~F.col("was_on_promo")).groupBy("product_id").agg(
         ratio(line_total("gross_revenue"), line_total("quantity")).alias("list_price"))
     return facts.filter(F.col("was_on_promo")).join(usual, "product_id", "left").select(
         "fact_sale_id", "transaction_id", "date_id", "store_id", "product_id", "promo_id", "quantity", "unit_price",

@@ -560,7 +560,7 @@ def scd2_dim_store(spark, d):
 
 @query
 def fact_promo_impact(spark, d):
-    return star.fact_promo_impact(_facts(spark, d))
+    return star.fact_promo_impact(_facts(spark, d), adapter.transaction_items(spark, d))
 
 
 @query
@@ -691,8 +691,9 @@ def complete_days(spark, d):
 def pseudonymize(spark, d):
     txn = adapter.headers(spark, d).select("transaction_id", "customer_id", "transaction_date")
     months = txn.select(F.trunc("transaction_date", "month").alias("month")).distinct()
+    # A stored table has a known size: Spark sends it to the headers instead of shuffling them by month.
     salts = months.withColumn("salt", F.concat(F.lit("sal-"), F.col("month")))
-    return incremental.pseudonymize(txn, salts)
+    return incremental.pseudonymize(txn, _stored(spark, salts))
 
 
 @query
@@ -771,15 +772,16 @@ def _stored(spark, df):
     return spark.read.schema(df.schema).parquet(path)
 
 
-def _score(facts, stores, txn):
+def _score(spark, facts, stores, txn):
+    monthly = _stored(spark, kpi.store_periods(facts, "month"))
     return kpi.kpi9_store_score(
-        kpi.kpi1_comp_growth(facts, stores), kpi.kpi2_gmv_sqm(facts, stores, "month"),
+        kpi.kpi1_comp_growth(facts, stores, monthly=monthly), kpi.kpi2_gmv_sqm(facts, stores, "month", monthly),
         kpi.kpi4_retention_m1(txn, ["store_id"]))
 
 
 @query
 def kpi9_store_score(spark, d):
-    score = _score(_facts(spark, d), _dim_store(spark, d), adapter.transactions(spark, d))
+    score = _score(spark, _facts(spark, d), _dim_store(spark, d), adapter.transactions(spark, d))
     return rel.rounded(score, z_gmv_m2=6, z_retencion=6, z_crecimiento=6, score=6)
 
 
@@ -800,5 +802,5 @@ def kpi_checks(spark, d):
         "kpi7": kpi.kpi7_gmroi_vendor(facts, adapter.products(spark, d), adapter.vendors(spark, d)),
         "kpi8": kpi.kpi8_oos_rate(daily),
         "kpi8_store": kpi.kpi8_oos_rate(daily, ["store_id"]),
-        "kpi9": _score(facts, stores, txn),
+        "kpi9": _score(spark, facts, stores, txn),
     })

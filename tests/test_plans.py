@@ -11,7 +11,7 @@ from shelfline.operators import business, explore, quality
 from shelfline.plans.catalog import QUERIES
 from shelfline.session import shuffle_partitions
 
-WRITES = {"load_tables", "upsert_facts", "write_result", "write_partitioned", "kpi_checks",
+WRITES = {"load_tables", "upsert_facts", "write_result", "write_partitioned", "kpi_checks", "kpi9_store_score", "pseudonymize",
           "load_stream", "stream_ingest", "stream_dedupe", "stream_weekly_gmv"}
 
 
