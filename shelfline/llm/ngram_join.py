@@ -30,7 +30,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from .common import components, encoded, mixed, steps, stored, string_hashes, table, window_hashes, words
 
 # Documents of a token up to which its pairs are joined, and documents in a block beyond that.
-HOT, BLOCK = 64, 1024
+HOT, BLOCK = 64, 256
 
 SIGNATURE = "doc_id long, cls long, chk long, n long, prefix array<long>"
 
