@@ -113,7 +113,11 @@ def test_findings_cover_all_dimensions(make, sales):
         "products": make("products", {"item_id": "I", "vendor_id": "V9"}), "vendors": make("vendors", {"vendor_id": "V"}),
         "store_promotions": _promos(make, ("S", "P", "CONTROL", "2024-01-01", "2024-02-01"))}
     found = quality.audit_findings(tables).collect()
-    assert {f.dimension for f in found} == set(quality.DECISIONS)
+    assert {f.dimension for f in found} == {"Completitud", "Consistencia", "Unicidad", "Validez", "Integridad Referencial",
+                                            "Frescura", "Integridad Temporal", "A/B Test"}
     by = {f.metrica: f for f in found}
     assert by["vendor_id_filas"].valor == 1.0 and by["vendor_id_filas"].decision == "EXCLUIR"
-    assert by["con_discrepancia"].severidad == "Limpio"
+    assert by["con_discrepancia"].severidad == "Limpio" and by["con_discrepancia"].decision is None
+    measures = [f for f in found if f.metrica not in quality.FINDINGS]
+    assert measures and all(f.severidad is None and f.decision is None for f in measures)
+    assert set(quality.FINDINGS) <= by.keys()
