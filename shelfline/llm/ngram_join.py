@@ -75,14 +75,15 @@ def _lists(parts: list[np.ndarray], kind) -> pa.Array:
 
 def _signer(width: int, percent: int):
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen: set[int] = set()  # a class repeated inside a task posts its tokens once
+        seen: set[int] = set()  # a class repeated inside a task posts its tokens once; rows without doc_id post none
         for batch in steps(batches):
             cls, chk, sizes, prefixes = [], [], [], []
-            for tokens, one, two in _sets(batch.column("text"), width):
+            named = batch.column("doc_id").is_valid().to_pylist()
+            for has_id, (tokens, one, two) in zip(named, _sets(batch.column("text"), width)):
                 n = len(tokens)
                 length = n - min_overlap(n, percent) + shared_needed(n)
-                prefixes.append(tokens[:0] if one in seen else tokens[:length].copy())
-                if len(seen) < 2_000_000:
+                prefixes.append(tokens[:length].copy() if has_id and one not in seen else tokens[:0])
+                if has_id and len(seen) < 2_000_000:
                     seen.add(one)
                 cls.append(one if n else None)
                 chk.append(two)

@@ -56,6 +56,15 @@ def test_small_cases(spark):
     assert run(spark, rows) == brute(rows)
 
 
+def test_row_without_id_comes_first(spark):
+    """In one task, a text's first row has no doc_id; the text still posts its tokens."""
+    base = [f"w{i}" for i in range(60)]
+    rows = [(None, " ".join(base)), (1, " ".join(base)), (2, " ".join(base[:30] + ["other"] + base[31:]))]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").coalesce(1)
+    assert sorted((tuple(r) for r in ngram_components(docs).select("doc_id", "n_shingles", "component_id").collect()),
+                  key=str) == brute(rows)
+
+
 def test_frequent_tokens_in_blocks(spark, monkeypatch):
     """Subsets and edits of one text, most of them in components of their own."""
     monkeypatch.setattr(ngram_join, "HOT", 4)
