@@ -47,7 +47,8 @@ class Words:
 
     The vocabulary drops white space and never joins what stands on its two sides, so a text's ids are those of its
     words in a row. It also starts a new piece where one of ``MARKS`` follows a letter, and lowers capitals; a word
-    that ends so is encoded as the part up to its last letter, lowered if it is ASCII, and the marks.
+    that ends so is encoded as the part up to its last letter, lowered if it is ASCII, and the marks. Added tokens
+    such as <|endoftext|> are found in the text as it stands, so a part with "<|" keeps its capitals.
     """
 
     def __init__(self, path: str) -> None:
@@ -76,7 +77,8 @@ class Words:
         split = pc.extract_regex(vocabulary, rf"(?s)^(?P<body>.*\p{{L}})(?P<marks>[{MARKS}]+)$")
         body = pc.coalesce(pc.struct_field(split, 0), vocabulary)
         marks = pc.fill_null(pc.struct_field(split, 1), "")
-        body = pc.if_else(pc.string_is_ascii(body), pc.ascii_lower(body), body)
+        lowered = pc.and_not(pc.string_is_ascii(body), pc.match_substring(body, "<|"))
+        body = pc.if_else(lowered, pc.ascii_lower(body), body)
         codes, different = encoded(pa.chunked_array([body, marks]))
         ids = self.parts(different)
         lengths = np.fromiter(map(len, ids), np.int64, len(ids)) // 4

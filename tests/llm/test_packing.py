@@ -48,6 +48,12 @@ def test_small_cases(spark):
     assert run(spark, []) == []
 
 
+def test_added_tokens_in_capitals(spark):
+    rows = [(1, "<|ENDOFTEXT|> a"), (2, "b <|StartOfText|>"), (3, "X<|EndOfText|>Y."), (4, "<|endoftext|> <|startoftext|>"),
+            (5, "A<|ENDOFTEXT|>."), (6, "<|ENDOFTEXT|")]
+    check(rows, run(spark, rows))
+
+
 def test_documents_fill(spark):
     docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("doc_id", "text")
     rows = [tuple(r) for r in docs.collect()]
