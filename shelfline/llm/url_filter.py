@@ -1,7 +1,7 @@
 """URL filter: host and path rules, and gradient-boosted trees on lexical features where no rule fits.
 
-The URLs that rules decide are the labelled ones; trees are trained on a bounded sample of them (``TRAIN_ROWS`` of
-smallest hash). Suffix statistics are counted over all URLs. Everything is DataFrame functions and Spark's own boosted
+The URLs that rules decide are the labelled ones; trees are trained on a bounded sample of different ones of both
+labels (``TRAIN_ROWS`` of smallest hash), weighted by their rows. Suffix statistics are counted over all URLs. Everything is DataFrame functions and Spark's own boosted
 trees; nothing runs in Python on the executors.
 """
 
@@ -88,15 +88,33 @@ def features(urls: DataFrame) -> DataFrame:
     return VectorAssembler(inputCols=FEATURES, outputCol="features").transform(out)
 
 
+def sampled(data: DataFrame, rows: int = TRAIN_ROWS) -> DataFrame | None:
+    """Different labelled URLs of smallest hash, half of ``rows`` for each label; a label with fewer leaves its places
+    to the other. A URL weighs its rows, times what makes each label weigh all its rows. None without both labels."""
+    urls = stored(data.where("label IS NOT NULL").groupBy("label", "url").agg(F.count("*").alias("times"))
+                  .withColumn("h", F.xxhash64("url")), "labelled-urls")
+    all_of = {r.label: r for r in urls.groupBy("label").agg(F.count("*").alias("urls"), F.sum("times").alias("rows"))
+              .collect()}
+    if len(all_of) < 2:
+        return None
+    chosen = None
+    for label, row in all_of.items():
+        places = max(1, rows // 2, rows - all_of[1 - label].urls)
+        some = stored(urls.where(F.col("label") == label).orderBy("h", "url").limit(places), "chosen")
+        some = some.withColumn("weight", F.col("times") * (row.rows / some.agg(F.sum("times")).first()[0]))
+        chosen = some if chosen is None else chosen.union(some)
+    return stored(data.where("label IS NOT NULL").select("url", "features").join(chosen, "url")
+                  .select("url", "features", F.col("label").cast("double").alias("label"), "weight")
+                  .dropDuplicates(["url"]), "labelled")
+
+
 def trained(data: DataFrame, rows: int = TRAIN_ROWS):
-    """Boosted trees on the ``rows`` labelled URLs of smallest hash; None without both labels."""
-    sample = data.where("label IS NOT NULL").select("label", "features", F.xxhash64("url").alias("h"), "url") \
-        .orderBy("h", "url").limit(rows).select(F.col("label").cast("double").alias("label"), "features")
-    sample = stored(sample, "labelled")
-    if sample.select("label").distinct().count() < 2:
+    """Boosted trees on ``sampled`` URLs; None without both labels."""
+    sample = sampled(data, rows)
+    if sample is None:
         return None
     return GBTClassifier(maxIter=ROUNDS, maxDepth=DEPTH, seed=1, labelCol="label", featuresCol="features",
-                         cacheNodeIds=False).fit(sample)
+                         weightCol="weight", cacheNodeIds=False).fit(sample)
 
 
 def judged(pages: DataFrame, rules: list[tuple[str, str]] = RULES, train_rows: int = TRAIN_ROWS) -> DataFrame:

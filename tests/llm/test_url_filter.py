@@ -2,6 +2,8 @@ import collections
 import math
 import random
 
+from pyspark.sql import functions as F
+
 from shelfline.llm import url_filter
 
 RULES = url_filter.RULES
@@ -75,6 +77,22 @@ def test_held_out_urls(spark):
     assert sum(out[k] == ("block" if k % 2 else "allow") for k, _ in new) >= 90
 
 
+def test_rare_label_and_repeated_url_in_the_sample(spark):
+    """One blocked URL among many allowed ones, and an allowed URL with most rows: both labels are sampled."""
+    rows = [(i, f"http://a.example.net/en/{i}") for i in range(60)] + [(100, "http://x.net/1"), (101, "http://new.info/")]
+    rows += [(200 + i, "http://a.example.net/en/0") for i in range(300)]
+    df = spark.createDataFrame(rows, "page_id long, url string")
+    data = url_filter.features(
+        df.withColumn("host", url_filter.host("url")).withColumn("path", url_filter.path("url"))
+        .withColumn("label", F.when(F.col("host") == "x.net", 1).when(F.col("host") == "a.example.net", 0)))
+    sample = url_filter.sampled(data, 20).collect()
+    assert len({r.url for r in sample}) == len(sample) == 20 and sum(r.label for r in sample) == 1
+    weigh = lambda label: sum(r.weight for r in sample if r.label == label)
+    assert abs(weigh(1) - 1) < 1e-9 and abs(weigh(0) - 360) < 1e-6
+    out = url_filter.judged(df, train_rows=20).collect()
+    assert len(out) == len(rows) and all(r.score is not None for r in out)
+
+
 def test_pages_plan_has_no_python(spark):
     df = url_filter.op3_url_filter(spark, "/root/testdata/sf0.001")
     plan = df._jdf.queryExecution().toString()
