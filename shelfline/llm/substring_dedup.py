@@ -6,7 +6,8 @@ windows with the same minimiser form a segment, and equal windows always fall un
 1. minimisers that several documents have are found by one grouped pass over (minimiser, document) pairs;
 2. only segments under those are cut out; equal ones inside a task are one row with their smallest document;
 3. segments are dealt by minimiser into shards of bounded number, each shard is indexed, and backward search extends
-   a match from a segment's right end as long as a smaller document has it, which answers all its windows;
+   a match from a segment's right end as long as a smaller document has it, which answers all its windows; segments
+   of a minimiser with more than ``MARK_SEGMENTS`` are dealt window by window instead, by the window's words;
 4. the answers go back to the places of the segments, and every document's text is read once more to drop its words.
 
 A document whose minimisers are all its own never enters steps 2 to 4 with its text's segments.
@@ -29,6 +30,8 @@ from .fm_index import FmIndex
 WINDOW = 13
 GRAM = 5
 SHARD_SEGMENTS = 60_000
+# Segments of one minimiser up to which they stay together in a shard.
+MARK_SEGMENTS = 10_000
 
 
 def _minimisers(text: pa.Array, window: int):
@@ -186,6 +189,18 @@ def _searcher(window: int):
     return search
 
 
+def _by_window(texts: DataFrame, window: int) -> DataFrame:
+    """The answers of ``_searcher`` for segments (mark, segment, doc, text), each window a key of its own."""
+    split = texts.groupBy("mark", "segment").agg(F.min("doc").alias("doc"), F.min("text").alias("text")) \
+        .select("mark", "segment", "doc", F.split("text", " ").alias("w"))
+    one = F.expr(f"transform(sequence(0, size(w) - {window}), k -> array_join(slice(w, k + 1, {window}), ' '))")
+    each = stored(split.select("mark", "segment", "doc", F.posexplode(one).alias("k", "words")), "windows")
+    first = each.groupBy("words").agg(F.min("doc").alias("first"))
+    bit = F.when(F.col("first") < F.col("doc"), F.expr("shiftleft(1L, k)")).otherwise(0)
+    return each.join(first, "words").groupBy("mark", "segment").agg(F.min("doc").alias("least"),
+                                                                    F.bit_or(bit).alias("hits"))
+
+
 def _remover(window: int):
     def remove(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in steps(batches):
@@ -212,7 +227,8 @@ def _remover(window: int):
     return remove
 
 
-def remove_repeats(docs: DataFrame, window: int = WINDOW, shard_segments: int = SHARD_SEGMENTS) -> DataFrame:
+def remove_repeats(docs: DataFrame, window: int = WINDOW, shard_segments: int = SHARD_SEGMENTS,
+                   mark_segments: int = MARK_SEGMENTS) -> DataFrame:
     """``docs`` (doc_id, text) -> doc_id, n_words, n_removed, kept (the words left, joined by one space).
 
     One row per input row. A null or empty text has no words. Rows with a null doc_id lose nothing and take nothing
@@ -232,9 +248,14 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, shard_segments: int =
                  .select("doc_id", "text", "text_hash", "marks", "asks").mapInArrow(_segments(window), SEGMENT),
                  "segments")
     texts = cut.where("text IS NOT NULL").select("mark", "segment", "doc", "text")
+    crowded = stored(texts.groupBy("mark").count().where(F.col("count") > mark_segments).select("mark"), "crowded")
+    some = crowded.count() > 0
+    few = texts.join(crowded, "mark", "left_anti") if some else texts
     shards = max(1, -(-texts.count() // shard_segments))
-    answers = stored(texts.groupBy(F.pmod(F.xxhash64("mark"), F.lit(shards)).alias("shard"))
+    answers = stored(few.groupBy(F.pmod(F.xxhash64("mark"), F.lit(shards)).alias("shard"))
                      .applyInPandas(_searcher(window), "mark long, segment long, least long, hits long"), "answers")
+    if some:
+        answers = answers.union(stored(_by_window(texts.join(crowded, "mark", "left_semi"), window), "answers"))
     every = F.expr("shiftleft(1L, windows) - 1")
     found = cut.where("text IS NULL").drop("text").join(answers, ["mark", "segment"]).select(
         "doc", "text_hash", "start", "windows",

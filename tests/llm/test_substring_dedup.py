@@ -44,6 +44,33 @@ def test_small_cases(spark):
     assert run(spark, []) == []
 
 
+def test_one_gram_in_very_many_contexts(spark, monkeypatch):
+    """The segments of a frequent 5-gram of least hash are not one group; equal windows of them still meet."""
+    rng = random.Random(7)
+    grams = [[f"g{k}_{i}" for i in range(5)] for k in range(5000)]
+    hashes = substring_dedup.window_hashes(substring_dedup.string_hashes(sum(grams, [])), 5)[::5]
+    hot = grams[int(np.argmin(hashes))]
+    near = [[f"n{k}_{i}" for i in range(8)] for k in range(6)]
+    rows = []
+    for k in range(150):
+        left, right = ([f"u{k}_{i}{s}" for i in range(8)] for s in "lr")
+        if k % 3 == 0:
+            left, right = left[:rng.randint(0, 4)] + rng.choice(near)[:4], rng.choice(near)
+        rows.append((k, " ".join(left + hot + right)))
+    searcher = substring_dedup._searcher
+
+    def small_groups(window):
+        search = searcher(window)
+
+        def checked(pdf):
+            assert len(pdf) <= 60, f"{len(pdf)} segments in one group"
+            return search(pdf)
+        return checked
+    monkeypatch.setattr(substring_dedup, "_searcher", small_groups)
+    out = run(spark, rows, shard_segments=20, mark_segments=20)
+    assert out == brute(rows) and any(r[2] for r in out)
+
+
 @pytest.mark.parametrize("seed", range(2))
 def test_few_words(spark, seed):
     """Texts over a tiny vocabulary share windows everywhere, also inside themselves."""
