@@ -5,9 +5,9 @@ own, the others share classes by hash. A network with one hidden layer predicts
 the tokens around it; inside a class a code has its share of the counts. A document's score is the sum of the
 logarithms of these conditional probabilities over its tokens.
 
-Training runs on all documents: each task masks a part of the positions of its documents, trains from the common
-parameters, and its result is averaged with the others' by a grouped sum; the next round starts from the average. What
-the driver collects is bounded by ``BUCKETS`` and the number of parameters.
+Training runs on all positions of all documents: the rounds' masks part them, so that each token is predicted in one
+round. In a round each task trains on its masked positions from the common parameters, and its result is averaged with
+the others' by a grouped sum; the next round starts from the average. What the driver collects is bounded by ``BUCKETS`` and the number of parameters.
 """
 
 from __future__ import annotations
@@ -28,8 +28,8 @@ CLASSES = FREQUENT + SHARED
 REACH = 2                # tokens seen on either side
 PLACES = [*range(-REACH, 0), *range(1, REACH + 1)]
 HIDDEN = 32
-ROUNDS = 2
 MASKED = 8               # one position in so many is predicted in a round of training
+ROUNDS = MASKED
 RATE, BATCH = 0.1, 512
 
 
@@ -142,16 +142,20 @@ def _texts(batch: pa.RecordBatch) -> Iterator[tuple[int, int, np.ndarray, np.nda
         row = stop
 
 
-def _trainer(shared, number: int):
+def masked_in(codes: np.ndarray, number: int, rounds: int) -> np.ndarray:
+    """Places that are predicted in round ``number``; over ``rounds`` each place is once."""
+    place = np.arange(len(codes), dtype=np.uint64)
+    return np.flatnonzero(mixed(codes.astype(np.uint64) ^ (place << np.uint64(20))) % np.uint64(rounds) == number)
+
+
+def _trainer(shared, number: int, rounds: int):
     def train(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = shared.value.with_parameters(shared.value.parameters())
         squares = [np.zeros_like(x) for x in (m.inputs, m.hidden, m.output, m.bias)]
         seen = 0
         for batch in batches:
             for _, _, codes, lengths in _texts(batch):
-                place = np.arange(len(codes), dtype=np.uint64)
-                masked = np.flatnonzero(mixed(codes.astype(np.uint64) ^ (place << np.uint64(20)), number)
-                                        % np.uint64(MASKED) == 0)
+                masked = masked_in(codes, number, rounds)
                 classes = m.of_code[codes].astype(np.int64)
                 trained(m, surroundings(classes, lengths)[masked], classes[masked], squares)
                 seen += len(masked)
@@ -168,7 +172,7 @@ def encode(docs: DataFrame) -> DataFrame:
 
 
 def fit(codes: DataFrame, rounds: int = ROUNDS) -> Model:
-    """Counts over all documents, then rounds of training on all documents with averaged parameters."""
+    """Counts over all documents, then rounds of training with averaged parameters; each token is a target in one."""
     context = codes.sparkSession.sparkContext
     counted = codes.select(F.explode("codes").alias("code")).groupBy("code").count().toPandas()
     counts = np.zeros(BUCKETS)
@@ -176,7 +180,7 @@ def fit(codes: DataFrame, rounds: int = ROUNDS) -> Model:
     m = started(counts)
     for number in range(rounds):
         shared = context.broadcast(m)
-        mean = codes.select("codes").mapInArrow(_trainer(shared, number), "i int, weighed double, seen long") \
+        mean = codes.select("codes").mapInArrow(_trainer(shared, number, rounds), "i int, weighed double, seen long") \
             .groupBy("i").agg((F.sum("weighed") / F.sum("seen")).alias("v")).toPandas()
         if len(mean):
             m = m.with_parameters(mean.sort_values("i")["v"].to_numpy())

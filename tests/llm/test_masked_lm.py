@@ -1,5 +1,7 @@
 import math
+import os
 import random
+import uuid
 
 import numpy as np
 
@@ -54,5 +56,25 @@ def test_gradient():
     assert loss(m) < before / 2
 
 
+def test_each_token_is_a_target_once(spark, tmp_path, monkeypatch):
+    rng = random.Random(2)
+    rows = [(k, " ".join(f"t{rng.randint(0, 30)}" for _ in range(rng.randint(0, 400)))) for k in range(20)]
+    codes = lm.encode(spark.createDataFrame(rows, "doc_id long, text string"))
+    targets, trained = str(tmp_path), lm.trained
+
+    def noted(m, around, target, squares):
+        with open(os.path.join(targets, uuid.uuid4().hex), "w") as f:
+            f.write(str(len(target)))
+        trained(m, around, target, squares)
+
+    monkeypatch.setattr(lm, "trained", noted)
+    lm.fit(codes)
+    assert sum(int(f.read_text()) for f in tmp_path.iterdir()) == sum(len(t.split()) for _, t in rows)
+    flat = np.random.default_rng(0).integers(0, lm.BUCKETS, 5000)
+    for rounds in (1, 2, lm.ROUNDS):
+        places = np.concatenate([lm.masked_in(flat, k, rounds) for k in range(rounds)])
+        assert (np.sort(places) == np.arange(5000)).all()
+
+
 def x_log(m, around, target):
     return lm.forward(m, around)[1][np.arange(len(target)), target].mean()
