@@ -123,7 +123,7 @@ def with_matches(docs: DataFrame, benchmark: DataFrame, width: int = WINDOW, slo
 
 def op5_decontamination(spark, sf_dir: str) -> DataFrame:
     out = with_matches(table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "benchmark"))
-    return out.select("row.doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated", "n_near")
+    return out.select("row.doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated")
 
 
 _PATTERN = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
