@@ -154,15 +154,14 @@ class Counter:
 
     def _count(self, words: pa.Array, piece: np.ndarray, starts: int) -> None:
         coded = words.dictionary_encode()
-        fresh = []
-        local = np.empty(len(coded.dictionary), np.int64)
-        for i, w in enumerate(coded.dictionary.to_pylist()):
-            k = self.ids.get(w)
-            if k is None:
-                k = self.ids[w] = len(self.words)
-                self.words.append(w)
-                fresh.append(w)
-            local[i] = k
+        listed = coded.dictionary.to_pylist()
+        known = list(map(self.ids.get, listed))
+        fresh = [w for w, k in zip(listed, known) if k is None]
+        if fresh:
+            self.ids.update(zip(fresh, range(len(self.words), len(self.words) + len(fresh))))
+            self.words += fresh
+            known = list(map(self.ids.get, listed))
+        local = np.array(known, np.int64)
         if fresh:
             self.hashes = np.concatenate([self.hashes, phrase_hashes(self.lang, [fresh])])
         ids = local[coded.indices.to_numpy(zero_copy_only=False)]
