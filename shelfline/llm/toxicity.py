@@ -233,13 +233,30 @@ def _row_sums(rows: np.ndarray, values: np.ndarray) -> tuple[np.ndarray, np.ndar
     return different, np.add.reduceat(values[order], first, axis=0)
 
 
-def _lean(rows: np.ndarray, texts: np.ndarray, labels: np.ndarray, size: int) -> np.ndarray:
-    """How much more often each row's words stand in toxic texts, as shrunken log-odds from -1 to 1."""
-    pair = np.unique(texts * size + rows)
-    toxic = labels[pair // size] == 1
-    n = [np.bincount(pair[toxic == k] % size, minlength=size) + 2.0 for k in (False, True)]
-    total = [(labels == k).sum() + 4.0 for k in (0, 1)]
-    return (np.log(n[1] / total[1] * total[0] / n[0]) / 4).clip(-1, 1).astype(np.float32)
+def _lean(v: Vocabulary, codes: np.ndarray, lengths: np.ndarray, labels: np.ndarray,
+          texts: int = 50) -> tuple[np.ndarray, np.ndarray]:
+    """How much more often the words of each row of either table stand in toxic texts: log-odds from -1 to 1.
+
+    Some ``texts`` at a time are counted, a row once in each.
+    """
+    tables = WORD_ROWS, CHARACTER_ROWS
+    n = [np.full((2, size), 2.0) for size in tables]
+    ends = np.concatenate([[0], np.cumsum(lengths)])
+    per_word = np.cumsum(v.counts) - v.counts
+    for a in range(0, len(labels), texts):
+        size = lengths[a:a + texts]
+        owner = np.repeat(np.arange(len(size)), size)
+        pair = np.unique(owner * len(v.counts) + codes[ends[a]:ends[a] + size.sum()])
+        owner, word = pair // len(v.counts), pair % len(v.counts)
+        many = v.counts[word]
+        rows = v.rows[np.arange(many.sum()) + np.repeat(per_word[word] - (np.cumsum(many) - many), many)]
+        for k, (o, r) in enumerate(((owner, v.words[word]), (np.repeat(owner, many), rows))):
+            once = np.unique(o * tables[k] + r)
+            toxic = labels[a:a + texts][once // tables[k]]
+            for y in (0, 1):
+                n[k][y] += np.bincount(once[toxic == y] % tables[k], minlength=tables[k])
+    total = np.bincount(labels, minlength=2) + 4.0
+    return tuple((np.log(x[1] / total[1] * total[0] / x[0]) / 4).clip(-1, 1).astype(np.float32) for x in n)
 
 
 def trained(text: pa.Array, labels: np.ndarray, rows: tuple[int, int] = (1, 1), epochs: int = EPOCHS) -> Network:
@@ -254,12 +271,7 @@ def trained(text: pa.Array, labels: np.ndarray, rows: tuple[int, int] = (1, 1),
     weight = (np.asarray(rows) / np.maximum(np.bincount(labels, minlength=2), 1)).astype(np.float32)
     weight *= len(labels) / weight[labels].sum()
     # The first number of each vector starts from how its words lean, which tells the first worst windows.
-    owner = np.repeat(np.arange(len(lengths)), lengths)
-    p["words"][:, 0] = _lean(v.words[codes], owner, labels, WORD_ROWS)
-    per_word = np.cumsum(v.counts) - v.counts
-    spread = np.repeat(per_word[codes] - (np.cumsum(v.counts[codes]) - v.counts[codes]), v.counts[codes])
-    p["characters"][:, 0] = _lean(v.rows[np.arange(len(spread)) + spread], np.repeat(owner, v.counts[codes]), labels,
-                                  CHARACTER_ROWS)
+    p["words"][:, 0], p["characters"][:, 0] = _lean(v, codes, lengths, labels)
     squares = {k: np.full_like(x, 1e-3) for k, x in p.items()}
     of, first, size = windows(lengths)
     lean = (p["words"][v.words, 0] + v.mean(p["characters"][:, :1])[:, 0])[codes]
