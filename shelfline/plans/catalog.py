@@ -4,11 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
 from ..functions import relational as rel
 from ..functions.columns import as_date, line_revenue, total
-from ..operators import abtest, base, business, explore, incremental, kpi, quality, star
+from ..operators import abtest, aggregates, base, business, explore, incremental, kpi, quality, star, temporal
 from ..session import scratch_path
 from ..sources import adapter, readers, writers
 from ..streaming import feed
@@ -558,6 +558,15 @@ def scd2_dim_store(spark, d):
     return star.scd2_dim_store(history, snapshot, CUR[0])
 
 
+@query
+def fact_sales_asof(spark, d):
+    """All lines with the store's version of ``scd2_dim_store`` on their day."""
+    history = _stored(spark, scd2_dim_store(spark, d))
+    return temporal.fact_sales_asof(
+        _facts(spark, d).select("fact_sale_id", "date_id", "store_id", "gross_revenue"), history,
+        span=adapter.headers(spark, d).select(F.col("transaction_date").alias("date_id")))
+
+
 @query
 def fact_promo_impact(spark, d):
     return star.fact_promo_impact(_facts(spark, d), adapter.transaction_items(spark, d))
@@ -606,6 +615,44 @@ def stream_weekly_gmv(spark, d):
     return _drain(spark, feed.stream_weekly_gmv(_sales_stream(spark, d)), "weekly")
 
 
+@query
+def stream_weekly_corrected(spark, d):
+    """The feed of ``_late_feed`` in two runs: rows of weeks already summed arrive after a restart."""
+    root = scratch_path(spark, "weekly-corrected")
+    files = "transaction_item_id long, store_id long, event_time timestamp, amount double, _ingested_at timestamp"
+    sales = adapter.raw(spark, d, "events").filter(F.col("event_type") == "purchase").select(
+        F.col("event_id").alias("transaction_item_id"), F.col("user_id").alias("store_id"),
+        F.col("ts").cast("timestamp").alias("event_time"), F.col("value").alias("amount"),
+        F.date_add(F.col("ts").cast("date"), (F.col("event_id") % 6).cast("int")).cast("timestamp")
+        .alias("_ingested_at"))
+    for part in ("transaction_item_id % 6 < 2", "transaction_item_id % 6 >= 2"):
+        sales.filter(part).write.mode("append").parquet(f"{root}/feed")
+        stream = spark.readStream.schema(files).parquet(f"{root}/feed")
+        feed.weekly_partials(stream, f"{root}/sums", f"{root}/late", f"{root}/checkpoint").awaitTermination()
+    return feed.weekly_totals(spark.read.schema("store_id long, week date, gmv decimal(38,4), n_txn long")
+                              .parquet(f"{root}/sums"))
+
+
+@query
+def stream_rescue(spark, d):
+    """Events sent as CSV, every 50th without a number for its value and every 70th cut off; both sinks together."""
+    root = scratch_path(spark, "rescue")
+    key = F.col("event_id")
+    value = F.when(key % 50 == 0, "n/a").otherwise(F.col("value").cast("decimal(18,4)").cast("string"))
+    line = F.concat_ws(",", key.cast("string"), F.col("event_type"), value)
+    adapter.raw(spark, d, "events").select(F.when(key % 70 == 0, F.concat(key.cast("string"), F.lit(",cut")))
+                                           .otherwise(line)).write.text(f"{root}/feed")
+    schema = T.StructType.fromDDL("event_id long, event_type string, value decimal(18,4)")
+    feed.rescue_stream(spark, f"{root}/feed", schema, f"{root}/good", f"{root}/bad", f"{root}/checkpoint",
+                       header=False).awaitTermination()
+    good = spark.read.schema(schema).parquet(f"{root}/good").select(
+        "event_id", "event_type", F.col("value").cast("double").alias("value"), F.lit(None).cast("string").alias("raw"))
+    bad = spark.read.schema("_raw string").parquet(f"{root}/bad").select(
+        F.lit(None).cast("long").alias("event_id"), F.lit(None).cast("string").alias("event_type"),
+        F.lit(None).cast("double").alias("value"), F.col("_raw").alias("raw"))
+    return good.unionByName(bad)
+
+
 def _late_feed(spark, d):
     """Purchases arriving zero to five days after the sale."""
     events = adapter.raw(spark, d, "events").filter(F.col("event_type") == "purchase")
@@ -664,6 +711,29 @@ def upsert_facts(spark, d):
     return spark.read.schema(second.schema).parquet(path).drop("_ingested_at")
 
 
+def _corrections(spark, d):
+    """The batches of ``upsert_facts``: a first load, then new and corrected orders, some on another day."""
+    rows = _order_rows(spark, d)
+    moved = F.when(F.col("status") == "P", F.date_add("sale_day", 35)).otherwise(F.col("sale_day"))
+    dearer = F.when(F.col("status") == "P", F.col("amount") + 1).otherwise(F.col("amount"))
+    second = rows.filter(F.col("status") != "O").withColumns({"sale_day": moved, "amount": dearer})
+    return [df.withColumn("month_id", F.trunc("sale_day", "month").cast("string"))
+            .withColumn("_ingested_at", F.lit(at).cast("timestamp"))
+            for df, at in ((rows.filter(F.col("status") != "F"), "2001-09-01"), (second, "2001-09-02"))]
+
+
+@query
+def daily_aggregates_delta(spark, d):
+    """Stored daily sums after a load, its corrections and a repeat of these, by deltas alone."""
+    root = scratch_path(spark, "delta")
+    group, (first, second) = ("sale_day", "status"), _corrections(spark, d)
+    for run, batch in (("load", first), ("correct", second), ("correct", second), ("again", second)):
+        aggregates.upsert_with_aggregates(
+            spark, f"{root}/facts", f"{root}/sums", batch, "transaction_id", "month_id", group, ("amount",), run)
+    return spark.read.schema("month_id string, sale_day date, status string, amount decimal(38,4), lines long") \
+        .parquet(f"{root}/sums").withColumn("amount", F.col("amount").cast("double"))
+
+
 @query
 def freshness_alerts(spark, d):
     facts = incremental.complete_days(adapter.transactions(spark, d), AS_OF)

@@ -667,6 +667,10 @@ SELECT store_id, country, CASE WHEN country = 'ASIA' AND v = 2 THEN 'EXPRESS' EL
 FROM stores, (SELECT unnest([1, 2]) AS v)
 WHERE (v = 1 AND country <> 'AFRICA')
    OR (v = 2 AND (country = 'AFRICA' OR (country = 'ASIA' AND format <> 'EXPRESS')))""")
+add("fact_sales_asof", f"""
+SELECT fact_sale_id, date_id, f.store_id, gross_revenue, format, size_sqm, country, valid_from AS store_valid_from
+FROM facts f LEFT JOIN ({ORACLE["scd2_dim_store"]}) v
+  ON f.store_id = v.store_id AND date_id >= valid_from AND (valid_to IS NULL OR date_id < valid_to)""")
 add("fact_promo_impact", f"""
 SELECT fact_sale_id, transaction_id, date_id, store_id, f.product_id, promo_id, quantity, unit_price, list_price,
        list_price * quantity - gross_revenue AS discount_value
@@ -686,6 +690,14 @@ add("stream_dedupe", f"SELECT DISTINCT transaction_item_id, store_id, amount FRO
 add("stream_weekly_gmv", f"""
 SELECT store_id, {week('ts')} AS week, {total('amount')} AS gmv, count(*) AS n_txn FROM {PURCHASES}
 WHERE date_trunc('week', ts) + INTERVAL 7 DAY <= (SELECT max(ts) - INTERVAL 3 DAY FROM {PURCHASES}) GROUP BY 1, 2""")
+add("stream_weekly_corrected", f"""
+SELECT store_id, {week('ts')} AS week, {total('amount')} AS gmv, count(*) AS n_txn FROM {PURCHASES}
+WHERE transaction_item_id % 6 <= 3 GROUP BY 1, 2""")
+add("stream_rescue", """
+SELECT CASE WHEN bad IS NULL THEN event_id END AS event_id, CASE WHEN bad IS NULL THEN event_type END AS event_type,
+       CASE WHEN bad IS NULL THEN CAST(CAST(value AS DECIMAL(18,4)) AS DOUBLE) END AS value, bad AS raw
+FROM (SELECT *, CASE WHEN event_id % 70 = 0 THEN event_id || ',cut'
+                     WHEN event_id % 50 = 0 THEN event_id || ',' || event_type || ',n/a' END AS bad FROM events)""")
 add("route_late", f"""
 SELECT transaction_item_id, store_id, CAST(ts AS DATE) AS transaction_date, amount,
        CAST(ts AS DATE) + CAST(transaction_item_id % 6 AS INTEGER) AS _ingested_at,
@@ -700,6 +712,9 @@ SELECT *, CAST(CAST(date_trunc('month', sale_day) AS DATE) AS VARCHAR) AS month_
          CAST(o_orderdate AS DATE) + CASE WHEN o_orderstatus = 'P' THEN 35 ELSE 0 END AS sale_day,
          CASE WHEN o_orderstatus = 'P' THEN o_totalprice + 1 ELSE o_totalprice END AS amount, o_orderstatus AS status
   FROM orders)""")
+add("daily_aggregates_delta", f"""
+SELECT month_id, sale_day, status, {total('amount')} AS amount, count(*) AS lines
+FROM ({ORACLE["upsert_facts"]}) GROUP BY 1, 2, 3""")
 LAST = f"""(SELECT store_id, last_date FROM stores LEFT JOIN (
         SELECT store_id, max(transaction_date) AS last_date FROM transactions
         WHERE transaction_date < DATE '{AS_OF}' GROUP BY 1) USING (store_id))"""

@@ -57,6 +57,76 @@ def stream_weekly_gmv(stream: DataFrame, by: Sequence[str] = ("store_id",), ts:
     ).select(*by, F.col("w.start").cast("date").alias("week"), "gmv", "n_txn")
 
 
+def _stream_id(spark: SparkSession, checkpoint: str) -> str:
+    """The id that a stream keeps in its checkpoint."""
+    return spark.read.text(f"{checkpoint.rstrip('/')}/metadata").select(F.get_json_object("value", "$.id")).first()[0]
+
+
+def weekly_partials(stream: DataFrame, partials_path: str, quarantine_path: str, checkpoint: str,
+                    by: Sequence[str] = ("store_id",), ts: str = "event_time", amount: str = "amount",
+                    late_days: int = 3, every: str | None = None) -> StreamingQuery:
+    """Weekly sums that late rows correct: each batch adds a row per store and week it has sales of.
+
+    A week is never closed: rows up to ``late_days`` late count whenever they arrive, later ones go to quarantine
+    whole. No state is kept between batches, so a watermark can drop nothing. Partial sums and quarantine are named
+    by the stream's id and the batch: a batch that is repeated after a failure replaces its own files.
+    ``weekly_totals`` reads the sums.
+    """
+    def put(batch: DataFrame, batch_id: int) -> None:
+        spark = batch.sparkSession
+        place = f"stream_id={_stream_id(spark, checkpoint)}/batch_id={batch_id}"
+        batch.persist()
+        try:
+            routed = route_late(batch, late_days, ts)
+            routed.filter(F.col("ruta") == "cuarentena").write.mode("overwrite").parquet(f"{quarantine_path}/{place}")
+            week = F.trunc(F.col(ts).cast("date"), "week").alias("week")
+            routed.filter(F.col("ruta") == "corregir").groupBy(*by, week).agg(
+                F.sum(money(amount)).cast("decimal(38,4)").alias("gmv"), F.count(F.lit(1)).alias("n_txn"),
+            ).write.mode("overwrite").parquet(f"{partials_path}/{place}")
+        finally:
+            batch.unpersist()
+
+    writer = stream.writeStream.foreachBatch(put).option("checkpointLocation", checkpoint)
+    return (writer.trigger(processingTime=every) if every else writer.trigger(availableNow=True)).start()
+
+
+def weekly_totals(partials: DataFrame, by: Sequence[str] = ("store_id",)) -> DataFrame:
+    """Amount and sales per Monday week, as of the last batch."""
+    return partials.groupBy(*by, "week").agg(
+        F.sum("gmv").cast("double").alias("gmv"), F.sum("n_txn").alias("n_txn"))
+
+
+def rescue_stream(spark: SparkSession, path: str, schema: T.StructType, good_path: str, malformed_path: str,
+                  checkpoint: str, fmt: str = "csv", header: bool = True, every: str | None = None,
+                  files_per_trigger: int | None = None) -> StreamingQuery:
+    """Text files as a stream with two sinks: rows that have the schema, and the raw text of lines that do not.
+
+    A line with a value of another type, or cut off, is kept as it was sent with its file and arrival time, and no
+    other line is touched. CSV lines need as many values as the schema has columns; both sinks may be repeated.
+    """
+    raw = "_raw"
+    reader = spark.readStream.schema(T.StructType([*schema.fields, T.StructField(raw, T.StringType())])).format(fmt) \
+        .option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", raw)
+    if fmt == "csv":
+        reader = reader.option("header", header).option("enforceSchema", True)
+    if files_per_trigger:
+        reader = reader.option("maxFilesPerTrigger", files_per_trigger)
+    stream = reader.load(path).withColumn("_file", F.input_file_name()).withColumn("_ingested_at", F.current_timestamp())
+
+    def put(batch: DataFrame, batch_id: int) -> None:
+        place = f"stream_id={_stream_id(batch.sparkSession, checkpoint)}/batch_id={batch_id}"
+        batch.persist()
+        try:
+            batch.filter(F.col(raw).isNull()).drop(raw, "_file").write.mode("overwrite").parquet(f"{good_path}/{place}")
+            batch.filter(F.col(raw).isNotNull()).select(raw, "_file", "_ingested_at").write.mode("overwrite").parquet(
+                f"{malformed_path}/{place}")
+        finally:
+            batch.unpersist()
+
+    writer = stream.writeStream.foreachBatch(put).option("checkpointLocation", checkpoint)
+    return (writer.trigger(processingTime=every) if every else writer.trigger(availableNow=True)).start()
+
+
 def load_stream(stream: DataFrame, facts_path: str, quarantine_path: str, checkpoint: str,
                 key: str = "transaction_item_id", by: str = "date_id", event_day: str = "transaction_date",
                 late_days: int = 3, every: str | None = None) -> StreamingQuery:
@@ -73,8 +143,7 @@ def load_stream(stream: DataFrame, facts_path: str, quarantine_path: str, checkp
         try:
             routed = route_late(batch, late_days, event_day)
             late = routed.filter(F.col("ruta") == "cuarentena")
-            stream_id = spark.read.text(f"{checkpoint.rstrip('/')}/metadata").select(
-                F.get_json_object("value", "$.id")).first()[0]
+            stream_id = _stream_id(spark, checkpoint)
             late.write.mode("overwrite").parquet(f"{quarantine_path}/stream_id={stream_id}/batch_id={batch_id}")
             good = routed.filter(F.col("ruta") == "corregir").drop("dias_retraso", "ruta")
             upsert_facts(spark, facts_path, good, key, by, run_id=f"{stream_id}-{batch_id}")
