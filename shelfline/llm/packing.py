@@ -32,6 +32,8 @@ GROUP_WINDOWS = 256
 
 # Marks after which the vocabulary starts a new piece when they follow a letter.
 MARKS = ".,!?;:*$%&#|"
+# The one letter whose small form is a letter and a combining mark.
+EXPANDING = "\u0130"
 
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long"
 PACKED = f"{PIECES}, sequence_id long, offset long"
@@ -47,8 +49,9 @@ class Words:
 
     The vocabulary drops white space and never joins what stands on its two sides, so a text's ids are those of its
     words in a row. It also starts a new piece where one of ``MARKS`` follows a letter, and lowers capitals; a word
-    that ends so is encoded as the part up to its last letter, lowered if it is ASCII, and the marks. Added tokens
-    such as <|endoftext|> are found in the text as it stands, so a part with "<|" keeps its capitals.
+    that ends so is encoded as the part up to its last letter, lowered if it is ASCII, and the marks. That letter must
+    still be one after normalisation, which may make it a letter and a combining mark; else the word stays whole.
+    Added tokens such as <|endoftext|> are found in the text as it stands, so a part with "<|" keeps its capitals.
     """
 
     def __init__(self, path: str) -> None:
@@ -75,8 +78,11 @@ class Words:
         both = flat.dictionary_encode()
         vocabulary = both.dictionary
         split = pc.extract_regex(vocabulary, rf"(?s)^(?P<body>.*\p{{L}})(?P<marks>[{MARKS}]+)$")
-        body = pc.coalesce(pc.struct_field(split, 0), vocabulary)
-        marks = pc.fill_null(pc.struct_field(split, 1), "")
+        body = pc.struct_field(split, 0)
+        steady = pc.and_not(pc.equal(body, pc.utf8_normalize(body, "NFC")), pc.ends_with(body, EXPANDING))
+        cut = pc.fill_null(steady, False)
+        body = pc.if_else(cut, body, vocabulary)
+        marks = pc.if_else(cut, pc.struct_field(split, 1), "")
         lowered = pc.and_not(pc.string_is_ascii(body), pc.match_substring(body, "<|"))
         body = pc.if_else(lowered, pc.ascii_lower(body), body)
         codes, different = encoded(pa.chunked_array([body, marks]))

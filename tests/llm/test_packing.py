@@ -1,6 +1,8 @@
+import unicodedata
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from tokenizers import Tokenizer
 
@@ -54,6 +56,21 @@ def test_added_tokens_in_capitals(spark):
     check(rows, run(spark, rows))
 
 
+def test_letters_that_normalisation_splits(spark):
+    rows = [(1, "\u0130, I\u0130. \u0130"), (2, "\u092a\u095d. \u092a\u095dx,"), (3, "\u05d0\ufb31! e\u0301, \u00e9,")]
+    check(rows, run(spark, rows))
+
+
+def test_all_letters_before_marks():
+    """Each letter alone and after another one, with marks behind it, against the tokenizer on the whole word."""
+    letters = [c for c in map(chr, range(0x110000)) if unicodedata.category(c) in ("Lu", "Ll", "Lt", "Lm", "Lo")]
+    tokenizer, words = Tokenizer.from_file(packing.tokenizer_path()), packing.Words(packing.tokenizer_path())
+    for at in range(0, len(letters), 20_000):
+        texts = [f"{c},;" for c in letters[at:at + 20_000]] + [f"a{c}." for c in letters[at:at + 20_000:7]]
+        want = tokenizer.encode_batch_fast(texts, add_special_tokens=False)
+        assert all(list(got) == w.ids for got, w in zip(words.texts(pa.array(texts)), want))
+
+
 def test_documents_fill(spark):
     docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("doc_id", "text")
     rows = [tuple(r) for r in docs.collect()]
