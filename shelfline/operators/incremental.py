@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from ..functions.columns import as_date, col, line_revenue, line_total, money, month_start
 from ..functions.relational import first_row
 from ..session import scratch_path
-from ..sources.writers import drop_partitions, path_exists, remove_path, write_partitioned
+from ..sources.writers import drop_partitions, path_exists, remove_path, write_bucketed, write_partitioned
 
 
 def route_late(df: DataFrame, days: int = 3, event_day: str = "transaction_date",
@@ -22,13 +22,15 @@ def route_late(df: DataFrame, days: int = 3, event_day: str = "transaction_date"
 
 
 def upsert_facts(spark: SparkSession, path: str, staging: DataFrame, key: str = "transaction_item_id",
-                 by: str = "date_id", order: str = "_ingested_at", run_id: str | None = None) -> list[str]:
+                 by: str = "date_id", order: str = "_ingested_at", run_id: str | None = None,
+                 index: str | None = None) -> list[str]:
     """Update or insert staged rows in a parquet table partitioned by ``by``; returns the touched partitions.
 
     Per key the newest staged row wins, and a staged row older than the stored one is ignored, so replays
     and batches out of order do no harm. A correction may move a row to another date: the partitions
     rewritten are those of the new dates and of the dates the keys had before. Finding the latter reads three
-    columns of the table, other partitions are not touched.
+    columns of the table, other partitions are not touched. With ``index``, the name of a ``key_index`` table that
+    this function then keeps, the table itself is not read for it: staged keys meet the index in its buckets.
 
     The rewritten partitions are first completed in the shared scratch folder and then put in place. A run
     that dies in between is repeated with its ``run_id``, which must be unique for the table, and finishes from
@@ -44,12 +46,17 @@ def upsert_facts(spark: SparkSession, path: str, staging: DataFrame, key: str =
     newest = first_row(staging, [key], [order], last=True)
     if not path_exists(spark, path):
         write_partitioned(newest, path, by)
+        if index:
+            key_index(newest, index, key, by, order)
         return sorted(r.part for r in spark.read.schema(staging.schema).parquet(path).select(part).distinct().collect())
     if not path_exists(spark, f"{rewritten}/_SUCCESS"):
         target = spark.read.schema(staging.schema).parquet(path)
-        hits = (
-            target.select(key, by, order).join(newest.select(key), key, "left_semi").groupBy(key)
-            .agg(F.max(order).alias("_stored"), F.collect_set(F.col(by).cast("string")).alias("_old")))
+        if index:
+            hits = indexed(spark, index, newest.select(key), key, by, order)
+        else:
+            hits = (
+                target.select(key, by, order).join(newest.select(key), key, "left_semi").groupBy(key)
+                .agg(F.max(order).alias("_stored"), F.collect_set(F.col(by).cast("string")).alias("_old")))
         fresh = newest.join(hits, key, "left").filter(
             F.col("_stored").isNull() | (F.col("_stored") <= F.col(order))).drop("_stored")
         fresh.write.mode("overwrite").parquet(f"{root}/fresh")
@@ -67,10 +74,36 @@ def upsert_facts(spark: SparkSession, path: str, staging: DataFrame, key: str =
         (done.hint("rebalance", by).write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
          .partitionBy(by).parquet(path))
     drop_partitions(spark, path, by, [p for p in touched if p not in filled])
+    if index:
+        key_index(spark.read.schema(staging.schema).parquet(f"{root}/fresh"), index, key, by, order)
     remove_path(spark, root)
     return touched
 
 
+def key_index(rows: DataFrame, table: str, key: str, by: str, order: str = "_ingested_at",
+              buckets: int = 64) -> None:
+    """Add rows to the catalog table ``table`` of key, partition and order, bucketed by key; created if absent.
+
+    A key has a row for each time it was written, the newest by ``order`` being where it is now. Rows added twice
+    change nothing. An existing table keeps its own number of buckets.
+    """
+    spark = rows.sparkSession
+    if spark.catalog.tableExists(table):
+        kept = spark.sql(f"DESCRIBE EXTENDED {table}").filter("col_name = 'Num Buckets'").first()
+        buckets = int(kept["data_type"])
+    write_bucketed(rows.select(key, F.col(by).cast("string").alias("part"), order), table, key, buckets, "append")
+
+
+def indexed(spark: SparkSession, table: str, keys: DataFrame, key: str, by: str, order: str) -> DataFrame:
+    """The partition and order that each of ``keys`` has in the index; neither the facts nor the index are shuffled.
+
+    Only the staged keys are dealt into the index's buckets, and each bucket is joined and grouped where it lies.
+    """
+    found = spark.table(table).join(keys.hint("shuffle_hash"), key, "left_semi").groupBy(key).agg(
+        F.max_by("part", order).alias("_part"), F.max(order).alias("_stored"))
+    return found.select(key, "_stored", F.array("_part").alias("_old"))
+
+
 def complete_days(df: DataFrame, as_of, day: str = "transaction_date") -> DataFrame:
     """Rows of days before ``as_of``: stores report up to two hours late, so the running day waits."""
     return df.filter(F.col(day).cast("date") < as_date(as_of))
@@ -132,6 +165,33 @@ def anonymize_expired(df: DataFrame, as_of, months: int = 24, id_col: str = "cus
     return df.withColumn(id_col, F.when(~expired, F.col(id_col)))
 
 
+def anonymize_stored(spark: SparkSession, path: str, schema, as_of, months: int = 24, id_col: str = "customer_id",
+                     day: str = "transaction_date", by: str = "month_id") -> list[str]:
+    """Null expired customers for good in a parquet table partitioned by month; returns the rewritten partitions.
+
+    Only months that begin ``months`` ago or earlier are looked at, and of these only the ones that still hold an
+    expired customer are written again: the files of all others stay as they are, and a second run finds nothing. The
+    new contents are completed in the shared scratch folder first, from where a run that died is finished.
+    """
+    table = path.rstrip("/").replace("/", "_").replace(":", "_")
+    root = f"{scratch_path(spark, 'anonymous').rsplit('/', 1)[0]}/anonymous-{table}-{as_of}"
+    part = F.col(by).cast("string")
+    if not path_exists(spark, f"{root}/_SUCCESS"):
+        old = spark.read.schema(schema).parquet(path).filter(
+            col(by).cast("date") <= F.add_months(as_date(as_of), -months))
+        expired = F.col(id_col).isNotNull() & (F.add_months(col(day).cast("date"), months) <= as_date(as_of))
+        parts = [r.part for r in old.filter(expired).select(part.alias("part")).distinct().collect()]
+        if not parts:
+            return []
+        anonymize_expired(old.filter(part.isin(parts)), as_of, months, id_col, day).write.mode("overwrite").parquet(root)
+    done = spark.read.schema(schema).parquet(root)
+    (done.hint("rebalance", by).write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
+     .partitionBy(by).parquet(path))
+    parts = sorted(r.part for r in done.select(part.alias("part")).distinct().collect())
+    remove_path(spark, root)
+    return parts
+
+
 def gmv_reconciliation(txn: DataFrame, items: DataFrame) -> DataFrame:
     """Why two reports differ for a store and day: returned sales, and header against lines.
 

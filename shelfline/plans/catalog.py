@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
@@ -722,6 +723,19 @@ def _corrections(spark, d):
             for df, at in ((rows.filter(F.col("status") != "F"), "2001-09-01"), (second, "2001-09-02"))]
 
 
+@query
+def upsert_facts_indexed(spark, d):
+    """The batches of ``upsert_facts`` with the old dates of corrected orders found in a bucketed key index."""
+    path, index = scratch_path(spark, "indexed-target"), f"keys_{uuid.uuid4().hex}"
+    try:
+        first, second = _corrections(spark, d)
+        for batch in (first, second, second):
+            incremental.upsert_facts(spark, path, batch, "transaction_id", "month_id", index=index)
+        return spark.read.schema(second.schema).parquet(path).drop("_ingested_at")
+    finally:
+        spark.sql(f"DROP TABLE IF EXISTS {index}")
+
+
 @query
 def daily_aggregates_delta(spark, d):
     """Stored daily sums after a load, its corrections and a repeat of these, by deltas alone."""
@@ -772,6 +786,18 @@ def anonymize_expired(spark, d):
     return incremental.anonymize_expired(txn, AS_OF)
 
 
+@query
+def anonymize_stored(spark, d):
+    """The stored months of all headers after two runs."""
+    path = scratch_path(spark, "anonymized")
+    txn = adapter.headers(spark, d).select("transaction_id", "customer_id", "transaction_date").withColumn(
+        "month_id", F.trunc("transaction_date", "month").cast("string"))
+    writers.write_partitioned(txn, path, "month_id")
+    for _ in range(2):
+        incremental.anonymize_stored(spark, path, txn.schema, AS_OF)
+    return spark.read.schema(txn.schema).parquet(path).drop("month_id")
+
+
 @query
 def gmv_reconciliation(spark, d):
     return incremental.gmv_reconciliation(adapter.transactions(spark, d), adapter.transaction_items(spark, d))

@@ -712,6 +712,7 @@ SELECT *, CAST(CAST(date_trunc('month', sale_day) AS DATE) AS VARCHAR) AS month_
          CAST(o_orderdate AS DATE) + CASE WHEN o_orderstatus = 'P' THEN 35 ELSE 0 END AS sale_day,
          CASE WHEN o_orderstatus = 'P' THEN o_totalprice + 1 ELSE o_totalprice END AS amount, o_orderstatus AS status
   FROM orders)""")
+ORACLE["upsert_facts_indexed"] = ORACLE["upsert_facts"]
 add("daily_aggregates_delta", f"""
 SELECT month_id, sale_day, status, {total('amount')} AS amount, count(*) AS lines
 FROM ({ORACLE["upsert_facts"]}) GROUP BY 1, 2, 3""")
@@ -737,6 +738,7 @@ SELECT transaction_id, transaction_date,
 add("anonymize_expired", f"""
 SELECT transaction_id, CASE WHEN transaction_date + INTERVAL 24 MONTH > DATE '{AS_OF}' THEN customer_id END AS customer_id,
        transaction_date FROM transactions""")
+ORACLE["anonymize_stored"] = ORACLE["anonymize_expired"]
 add("gmv_reconciliation", f"""
 SELECT store_id, transaction_date, CAST(h AS DOUBLE) AS gmv_header, CAST(hd AS DOUBLE) AS gmv_header_completed,
        CAST(l AS DOUBLE) AS gmv_lines, CAST(ld AS DOUBLE) AS gmv_lines_completed, CAST(h - hd AS DOUBLE) AS diff_returns,

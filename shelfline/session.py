@@ -47,8 +47,15 @@ def build_session(app_name: str = "shelfline", master: str | None = None, input_
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:
-    """A fresh folder under ``spark.checkpoint.dir``, else under the session's warehouse; executors see both."""
+    """A fresh folder under ``spark.checkpoint.dir``, which executors and driver share.
+
+    Without that setting a session on this machine alone uses its warehouse; one on a cluster, whose warehouse may be
+    a folder of each machine, raises.
+    """
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
+        master = spark.sparkContext.master
+        if not (master == "local" or master.startswith("local[")):
+            raise ValueError(f"spark.checkpoint.dir must name a folder that all machines of {master} share")
         root = f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/_scratch"
     return f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex}"

@@ -24,9 +24,28 @@ def stream_ingest(spark: SparkSession, path: str, schema: T.StructType | str, fm
     return reader.load(path).withColumn("_ingested_at", F.current_timestamp())
 
 
+# State lives in RocksDB on the executors' disks, not on their heaps, and a batch uploads only its changes.
+STATE = {
+    "spark.sql.streaming.stateStore.providerClass":
+        "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
+    "spark.sql.streaming.stateStore.rocksdb.changelogCheckpointing.enabled": "true",
+}
+
+
+def state_rows(query: StreamingQuery) -> int:
+    """Rows of state that a stream held after its last batch, over all its operators."""
+    last = query.lastProgress
+    return sum(s["numRowsTotal"] for s in last["stateOperators"]) if last else 0
+
+
 def write_stream(stream: DataFrame, path: str, checkpoint: str, every: str | None = None,
                  partition_by: Sequence[str] = ()) -> StreamingQuery:
-    """Append a stream to parquet: all that is there and stop, or ``every`` so often."""
+    """Append a stream to parquet: all that is there and stop, or ``every`` so often.
+
+    A new stream keeps its state as ``STATE`` says; one that has a checkpoint goes on as it began.
+    """
+    for name, value in STATE.items():
+        stream.sparkSession.conf.set(name, value)
     writer = stream.writeStream.format("parquet").outputMode("append").option("checkpointLocation", checkpoint)
     if partition_by:
         writer = writer.partitionBy(*partition_by)

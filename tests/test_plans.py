@@ -12,7 +12,8 @@ from shelfline.plans.catalog import QUERIES
 from shelfline.session import shuffle_partitions
 
 WRITES = {"load_tables", "upsert_facts", "write_result", "write_partitioned", "kpi_checks", "kpi9_store_score", "pseudonymize",
-          "load_stream", "stream_ingest", "stream_dedupe", "stream_weekly_gmv"}
+          "load_stream", "stream_ingest", "stream_dedupe", "stream_weekly_gmv", "stream_weekly_corrected",
+          "stream_rescue", "upsert_facts_indexed", "daily_aggregates_delta", "anonymize_stored"}
 
 
 def plan(df):
