@@ -61,10 +61,15 @@ def p3_cohort_matrix(txn: DataFrame, max_month: int = 6, drop_last: int = 2,
 
     ``txn`` are clean transactions. The youngest ``drop_last`` cohorts have too little history and go.
     """
+    return cohort_matrix(cohort_activity(txn, first="completed", mode=mode), max_month, drop_last)
+
+
+def cohort_matrix(activity: DataFrame, max_month: int = 6, drop_last: int = 2) -> DataFrame:
+    """The matrix of customers counted per cohort and month."""
     cells = [
         F.coalesce(pct(F.max(F.when(F.col("month_offset") == m, F.col("customers"))), F.max("cohort_size")), F.lit(0.0))
         .alias(f"m{m}") for m in range(max_month + 1)]
-    matrix = cohort_activity(txn, first="completed", mode=mode).groupBy("cohort").agg(*cells)
+    matrix = activity.groupBy("cohort").agg(*cells)
     # One row per cohort month.
     youngest = F.dense_rank().over(W.orderBy(F.desc("cohort")))
     return matrix.withColumn("_age", youngest).filter(F.col("_age") > drop_last).drop("_age")

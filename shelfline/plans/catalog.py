@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
 from ..functions import relational as rel
 from ..functions.columns import as_date, line_revenue, total
-from ..operators import abtest, aggregates, base, business, explore, incremental, kpi, quality, star, temporal
+from ..operators import abtest, aggregates, base, business, cohorts, explore, incremental, kpi, quality, star, temporal
 from ..session import scratch_path
 from ..sources import adapter, readers, writers
 from ..streaming import feed
@@ -393,6 +393,16 @@ def p3_cohort_matrix(spark, d):
     return explore.p3_cohort_matrix(_clean(spark, d))
 
 
+@query
+def p3_cohort_matrix_bits(spark, d):
+    """Bitmaps of all months but the last, then those of the last two loaded into them."""
+    sales = _clean(spark, d)
+    until = sales.agg(F.trunc(F.max("transaction_date"), "month").alias("m")).select("m").scalar()
+    before = _stored(spark, cohorts.month_bits(sales.filter(F.col("transaction_date") < until)))
+    last = cohorts.month_bits(sales.filter(F.col("transaction_date") >= F.add_months(until, -1)))
+    return explore.cohort_matrix(cohorts.activity_of_bits(cohorts.merged_bits(before, last)))
+
+
 @query
 def p3_cohort_matrix_days30(spark, d):
     return explore.p3_cohort_matrix(_clean(spark, d), mode="days30")

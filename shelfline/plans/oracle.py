@@ -512,6 +512,7 @@ GROUP BY cohort, n"""
 
 
 add("p3_cohort_matrix", matrix(OFFSET))
+ORACLE["p3_cohort_matrix_bits"] = ORACLE["p3_cohort_matrix"]
 add("p3_cohort_matrix_days30", matrix("((mon - cohort) // 30)"))
 add("p4_sales_daily", f"""
 SELECT store_id, item_id, category, transaction_date AS fecha, {total('revenue')} AS revenue FROM base

@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F, types as T
 
 from conftest import day, rows
-from shelfline.operators import aggregates, incremental, temporal
+from shelfline.operators import aggregates, cohorts, incremental, temporal
 from shelfline.sources import writers
 from shelfline.streaming import feed
 
@@ -216,3 +216,22 @@ def test_state_outside_the_heap(spark, tmp_path):
     out = spark.read.parquet(str(tmp_path / "out"))
     assert out.count() == 300_000 == out.distinct().count()
     assert any(name.endswith((".changelog", ".zip")) for _, _, names in os.walk(tmp_path / "checkpoint") for name in names)
+
+
+def test_month_bitmaps_are_mergeable(spark, sales):
+    lines = [(f"t{i}", "s", f"20{y:02}-{m:02}-1{i % 9}", 1.0, {"customer_id": f"c{(y * 7 + m * i) % 11}"})
+             for i, (y, m) in enumerate([(18, 1), (18, 2), (19, 12), (20, 1), (20, 1), (20, 2), (24, 12), (25, 1), (20, 3)] * 6)]
+    txn = sales(*lines, ("anonymous", "s", "2020-01-01", 1.0), ("back", "s", "2017-01-01", 1.0, {
+        "customer_id": "c1", "status": "RETURNED"}))
+    months = sorted({r[2][:7] for r in lines})
+    loads = [cohorts.month_bits(txn.filter(F.col("transaction_date").cast("string").startswith(m))) for m in months]
+    merged = cohorts.merged_bits(*loads[::-1], loads[0])
+    assert rows(merged, "customer_id", "span", "bits") == rows(cohorts.month_bits(txn), "customer_id", "span", "bits")
+    want = {}
+    for c in {r[4]["customer_id"] for r in lines}:
+        active = sorted({int(r[2][:4]) * 12 + int(r[2][5:7]) for r in lines if r[4]["customer_id"] == c})
+        for m in active:
+            cohort = day(f"{(active[0] - 1) // 12}-{(active[0] - 1) % 12 + 1:02}-01")
+            want[cohort, m - active[0]] = want.get((cohort, m - active[0]), 0) + 1
+    got = {(r.cohort, r.month_offset): (r.customers, r.cohort_size) for r in cohorts.activity_of_bits(merged).collect()}
+    assert got == {k: (n, want[k[0], 0]) for k, n in want.items()}
