@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from contextvars import ContextVar
 
 import numpy as np
 import pandas as pd
@@ -11,6 +12,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..session import scratch_path
+from ..sources.writers import remove_path
 
 # Text bytes that one step inside a task works on; a longer text is a step of its own.
 STEP_BYTES = 6_000_000
@@ -20,12 +22,64 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+class Scratch:
+    """The tables that an operator stores while it works; those it does not keep are deleted when it is left.
+
+    ``stored`` enters its tables in the innermost open scope. Lineage ends at a stored table, so one whose successors
+    are stored is needed by no later stage, not even after an executor is lost. Kept tables belong to the scope
+    around, if there is one, and else stay as long as the results that read them may be used.
+    """
+
+    def __init__(self) -> None:
+        self.tables: list[tuple[DataFrame, str]] = []
+
+    def __enter__(self) -> Scratch:
+        self.outer = _scope.get()
+        self.token = _scope.set(self)
+        return self
+
+    def __exit__(self, *failure) -> None:
+        _scope.reset(self.token)
+        self._delete(self.tables)
+
+    def _delete(self, tables: list[tuple[DataFrame, str]]) -> None:
+        for df, path in tables:
+            remove_path(df.sparkSession, path)
+        self.tables = [t for t in self.tables if t not in tables]
+
+    def drop(self, *frames: DataFrame | None) -> None:
+        """Delete the tables of ``frames`` now."""
+        self._delete([t for t in self.tables if any(t[0] is f for f in frames)])
+
+    def keep(self, *frames: DataFrame | None) -> None:
+        kept = [t for t in self.tables if any(t[0] is f for f in frames)]
+        self.tables = [t for t in self.tables if t not in kept]
+        if self.outer:
+            self.outer.tables += kept
+
+
+_scope: ContextVar[Scratch | None] = ContextVar("scratch", default=None)
+# With it Spark deletes the shuffle files of an execution when that ends.
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 def stored(df: DataFrame, name: str) -> DataFrame:
-    """``df`` written to the shared scratch folder and read back: lineage ends there, and its size is known."""
+    """``df`` written to the shared scratch folder and read back: lineage ends there, and its size is known.
+
+    The shuffle files of the write go with its end, as nothing reads them again.
+    """
     spark = df.sparkSession
     path = scratch_path(spark, name)
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    before = spark.conf.get(CLEANUP, "false")
+    spark.conf.set(CLEANUP, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(CLEANUP, before)
+    out = spark.read.schema(df.schema).parquet(path)
+    if scope := _scope.get():
+        scope.tables.append((out, path))
+    return out
 
 
 def steps(batches: Iterator[pa.RecordBatch], column: str = "text") -> Iterator[pa.RecordBatch]:
@@ -94,21 +148,25 @@ def components(edges: DataFrame) -> DataFrame:
     joined back to the edges, so that a hub with very many edges is one partly aggregated row on one side and a
     join partition that adaptive execution can split on the other. Steps are stored in the shared folder.
     """
-    e = stored(edges.where("a <> b AND a IS NOT NULL AND b IS NOT NULL").select(
-        F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "edges")
-    state = None
-    while True:
-        both = e.union(e.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        low = stored(both.groupBy("a").agg(F.min("b").alias("low")).select("a", F.least("a", "low").alias("low")),
-                     "low")
-        large = both.join(low, "a").where("b > a").select(F.col("b").alias("a"), F.col("low").alias("b"))
-        large = stored(large.where("a <> b").distinct(), "large")
-        low = stored(large.groupBy("a").agg(F.min("b").alias("low")), "low")
-        small = large.join(low, "a").select(F.col("b").alias("a"), F.col("low").alias("b")).where("a <> b")
-        e = stored(small.union(low.select("a", F.col("low").alias("b"))).distinct(), "edges")
-        now = e.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
-        if now == state:
-            break
-        state = now
+    with Scratch() as scratch:
+        e = stored(edges.where("a <> b AND a IS NOT NULL AND b IS NOT NULL").select(
+            F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "edges")
+        state = None
+        while True:
+            both = e.union(e.select(F.col("b").alias("a"), F.col("a").alias("b")))
+            low = stored(both.groupBy("a").agg(F.min("b").alias("low"))
+                         .select("a", F.least("a", "low").alias("low")), "low")
+            large = both.join(low, "a").where("b > a").select(F.col("b").alias("a"), F.col("low").alias("b"))
+            large = stored(large.where("a <> b").distinct(), "large")
+            scratch.drop(e, low)
+            low = stored(large.groupBy("a").agg(F.min("b").alias("low")), "low")
+            small = large.join(low, "a").select(F.col("b").alias("a"), F.col("low").alias("b")).where("a <> b")
+            e = stored(small.union(low.select("a", F.col("low").alias("b"))).distinct(), "edges")
+            scratch.drop(large, low)
+            now = e.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
+            if now == state:
+                break
+            state = now
+        scratch.keep(e)
     nodes = e.select(F.col("a").alias("node"), F.col("b").alias("comp"))
     return nodes.union(e.select(F.col("b").alias("node"), F.col("b").alias("comp")).distinct())

@@ -13,8 +13,10 @@ at least ``l``. The join intersects the filters of three orders, each by another
 Equal texts form one class before anything is posted, and links are looked for between classes. Large groups of near
 copies are linked through one pivot per token first; after that only documents of *different* components are compared.
 For tokens of up to ``HOT`` documents such pairs are joined and their shared tokens counted. Documents that share a
-more frequent token are compared in blocks of bounded size inside tasks, which return at most a link per document and
-other component; so no pair of components is missed and no group is expanded into its pairs.
+more frequent token are posted again under a fourth order, rarest tokens first, whose prefixes hold frequent tokens
+only where nearly the whole text is frequent. Documents that share such a token even so are put into blocks of bounded
+size; inside a block's task the second and third order choose the candidates, and at most a link per document and
+other component is returned; so no pair of components is missed and no group is expanded into its pairs.
 """
 
 from __future__ import annotations
@@ -25,12 +27,12 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
-from .common import components, encoded, mixed, steps, stored, string_hashes, table, window_hashes, words
+from .common import Scratch, components, encoded, mixed, steps, stored, string_hashes, table, window_hashes, words
 
-# Documents of a token up to which its pairs are joined, and documents in a block beyond that.
-HOT, BLOCK = 64, 256
+# Documents of a token up to which its pairs are joined; documents, and tokens of their sets, in a block beyond that.
+HOT, BLOCK, BLOCK_TOKENS = 64, 256, 500_000
 
 SIGNATURE = "doc_id long, cls long, chk long, n long, prefix array<long>"
 
@@ -114,6 +116,26 @@ def _ordered(width: int, percent: int):
     return order
 
 
+class _Posted:
+    """The members of a block by the tokens of their lists."""
+
+    def __init__(self, lists: pd.Series) -> None:
+        tokens = np.concatenate(lists.to_list())
+        order = np.argsort(tokens, kind="stable")
+        self.members = len(lists)
+        self.owner = np.repeat(np.arange(len(lists)), lists.map(len).to_numpy())[order]
+        self.known, self.first = np.unique(tokens[order], return_index=True)
+        self.last = np.r_[self.first[1:], len(tokens)]
+
+    def shared(self, mine: np.ndarray) -> np.ndarray:
+        """How many tokens each member shares with ``mine``."""
+        at = np.searchsorted(self.known, mine)
+        at = at[self.known[np.minimum(at, len(self.known) - 1)] == mine]
+        n = self.last[at] - self.first[at]
+        places = np.arange(n.sum()) + np.repeat(self.first[at] - (np.cumsum(n) - n), n)
+        return np.bincount(self.owner[places], minlength=self.members)
+
+
 def _block(percent: int):
     def compare(pdf: pd.DataFrame) -> pd.DataFrame:
         """Links of the asking documents to documents of other components: one for each pair of components at most."""
@@ -121,23 +143,21 @@ def _block(percent: int):
         members, asking = pdf[~pdf["asks"]], pdf[pdf["asks"]]
         if not len(members):
             return pd.DataFrame({"a": [], "b": []}, dtype=np.int64)
+        second, third, whole = (_Posted(members[c]) for c in ("second", "third", "tokens"))
         sizes = members["tokens"].map(len).to_numpy()
-        tokens = np.concatenate(members["tokens"].to_list())
-        order = np.argsort(tokens, kind="stable")
-        owner = np.repeat(np.arange(len(members)), sizes)[order]
-        known, first = np.unique(tokens[order], return_index=True)
-        last = np.r_[first[1:], len(tokens)]
         names, comp = np.unique(pdf["comp"].to_numpy(), return_inverse=True)
         comp_of, root = comp[:len(members)], np.arange(len(names))
         cls, out = members["cls"].to_numpy(), []
-        for mine, own, name in zip(asking["tokens"], comp[len(members):], asking["cls"]):
-            at = np.searchsorted(known, mine)
-            at = at[known[np.minimum(at, len(known) - 1)] == mine]
-            n = last[at] - first[at]
-            both = np.bincount(owner[np.arange(n.sum()) + np.repeat(first[at] - (np.cumsum(n) - n), n)],
-                               minlength=len(cls))
-            near = np.flatnonzero((100 + percent) * both >= percent * (len(mine) + sizes))
-            for k in near[root[comp_of[near]] != root[own]].tolist():
+        for name, own, mine, two, three in zip(asking["cls"], comp[len(members):], asking["tokens"], asking["second"],
+                                               asking["third"]):
+            maybe = (root[comp_of] != root[own]) & (second.shared(two) > 0)
+            if not maybe.any():
+                continue
+            maybe &= third.shared(three) > 0
+            if not maybe.any():
+                continue
+            for k in np.flatnonzero(maybe & ((100 + percent) * whole.shared(mine)
+                                             >= percent * (len(mine) + sizes))).tolist():
                 x, y = root[comp_of[k]], root[own]
                 if x != y:
                     root[root == max(x, y)] = min(x, y)
@@ -155,7 +175,28 @@ def ngram_components(docs: DataFrame, width: int = 5, percent: int = 80) -> Data
     empty table gives an empty result. Two texts of equal 64-bit hash but different check hash stop the job.
     """
     # Sets are compared by 64-bit shingle hashes.
+    with Scratch() as scratch:
+        rows, of_class = _classified(docs, width, percent, scratch)
+        scratch.keep(rows, of_class)
+    return rows.join(of_class, "cls", "left").select(
+        "doc_id", F.col("n").alias("n_shingles"),
+        F.when(F.col("doc_id").isNull(), None).otherwise(F.coalesce("component_id", "doc_id"))
+        .alias("component_id"))
+
+
+def _shared(postings: DataFrame) -> DataFrame:
+    """``postings`` (cls, token) of the tokens that several classes have; repeats inside a class don't count.
+
+    A frequent token is one partly aggregated row here, and a join partition that adaptive execution can split.
+    """
+    ends = postings.groupBy("token").agg(F.min("cls").alias("low"), F.max("cls").alias("high"))
+    return postings.join(stored(ends.where("low <> high").select("token"), "tokens"), "token", "left_semi")
+
+
+def _classified(docs: DataFrame, width: int, percent: int, scratch: Scratch) -> tuple[DataFrame, DataFrame]:
+    """The rows with their classes (doc_id, cls, n), and each class's component (cls, component_id)."""
     signed = stored(docs.select("doc_id", "text").mapInArrow(_signer(width, percent), SIGNATURE), "signed")
+    rows = stored(signed.select("doc_id", "cls", "n"), "rows")
     ids = signed.where("doc_id IS NOT NULL AND cls IS NOT NULL")
     classes = stored(ids.groupBy("cls").agg(
         F.min("doc_id").alias("rep"), F.first("n").alias("n"), F.min("chk").alias("low"),
@@ -164,19 +205,16 @@ def ngram_components(docs: DataFrame, width: int = 5, percent: int = 80) -> Data
         raise ValueError("two different texts have the same 64-bit hash")
     classes = classes.select("cls", "rep", "n")
 
-    by_token = Window.partitionBy("token")
-
-    def shared(postings: DataFrame) -> DataFrame:
-        """Postings of tokens that several classes have; repeats inside a class don't count."""
-        ends = postings.select("*", F.min("cls").over(by_token).alias("low"), F.max("cls").over(by_token).alias("high"))
-        return ends.where("low <> high").drop("low", "high")
-
     least_overlap = F.expr(f"(n * {percent} + 99) DIV 100")
-    live = stored(shared(ids.select("cls", F.explode("prefix").alias("token"))).distinct(), "live")
+    live = stored(_shared(ids.select("cls", F.explode("prefix").alias("token"))).distinct(), "live")
+    scratch.drop(signed)
     for _ in range(2):
         enough = live.groupBy("cls").agg(F.count("*").alias("shared")).join(classes, "cls") \
             .where(F.col("shared") >= 1 + F.floor(least_overlap / 5)).select("cls", "n")
-        live = stored(shared(live.select("cls", "token").join(stored(enough, "enough"), "cls")), "live")
+        some = stored(live.select("cls", "token").join(enough, "cls"), "some")
+        scratch.drop(live)
+        live = stored(_shared(some), "live")
+        scratch.drop(some)
     survivors = stored(live.select("cls").distinct().join(classes, "cls"), "survivors")
 
     texts = docs.select("doc_id", "text").join(survivors.withColumnRenamed("rep", "doc_id"), "doc_id") \
@@ -185,14 +223,20 @@ def ngram_components(docs: DataFrame, width: int = 5, percent: int = 80) -> Data
         _ordered(width, percent), "cls long, n long, tokens array<long>, second array<int>, third array<int>")
         .dropDuplicates(["cls"]), "sets")
 
+    def joined(pairs: DataFrame, *columns: str) -> DataFrame:
+        one, two = (sets.select(F.col("cls").alias(x), *[F.col(c).alias(f"{c}_{x}") for c in columns]) for x in "ab")
+        return pairs.join(one, "a").join(two, "b")
+
     def verified(pairs: DataFrame) -> DataFrame:
-        one, two = (sets.select(F.col("cls").alias(x), *[F.col(c).alias(f"{c}_{x}") for c in
-                                                         ("n", "tokens", "second", "third")]) for x in "ab")
-        both = pairs.join(one, "a").join(two, "b").where(
+        """The pairs that are links: whole sets meet only where the second and the third order agree."""
+        some = stored(joined(pairs, "second", "third").where(
             F.arrays_overlap("second_a", "second_b") & F.arrays_overlap("third_a", "third_b"))
+            .select("a", "b"), "candidates")
         common = F.size(F.array_intersect("tokens_a", "tokens_b"))
-        return stored(both.where(100 * common >= percent * (F.col("n_a") + F.col("n_b") - common))
-                      .select("a", "b"), "links")
+        links = stored(joined(some, "n", "tokens").where(
+            100 * common >= percent * (F.col("n_a") + F.col("n_b") - common)).select("a", "b"), "links")
+        scratch.drop(some)
+        return links
 
     def near(n: str, m: str) -> Column:
         return F.expr(f"100 * least({n}, {m}) >= {percent} * greatest({n}, {m})")
@@ -208,12 +252,14 @@ def ngram_components(docs: DataFrame, width: int = 5, percent: int = 80) -> Data
         pairs = held.join(pivots, "token").where((F.col("comp") != F.col("pivot_comp")) & near("n", "pivot_n")) \
             .select(F.least("pivot", "cls").alias("a"), F.greatest("pivot", "cls").alias("b")).distinct()
         pairs = stored(pairs if tested is None else pairs.join(tested, ["a", "b"], "left_anti"), "pairs")
+        scratch.drop(held, pivots)
         tried = pairs.count()
         found = verified(pairs) if tried else None
         n_found = found.count() if tried else 0
         if n_found:
             links = found if links is None else links.union(found)
-            comps = _relabelled(survivors, links)
+            before, comps = comps, _relabelled(survivors, links)
+            scratch.drop(before)
         if tried:
             tested = pairs if tested is None else tested.union(pairs)
         if not tried or n_found * 10 < tried:
@@ -221,33 +267,65 @@ def ngram_components(docs: DataFrame, width: int = 5, percent: int = 80) -> Data
 
     # Every possible pair of different components: those of rare tokens joined, those of frequent tokens in blocks.
     held = stored(live.join(comps, "cls"), "held")
+    scratch.drop(live, comps)
     several = stored(held.groupBy("token").agg(
         F.count("*").alias("times"), F.min("comp").alias("cluster"), F.max("comp").alias("last"))
         .where("cluster <> last").select("token", "times", "cluster"), "several")
     sides = stored(held.join(several.where(F.col("times") <= HOT).select("token"), "token"), "sides")
-    left, right = (sides.select("token", *[F.col(c).alias(f"{c}_{x}") for c in ("cls", "n", "comp")]) for x in "ab")
+    frequent = stored(held.join(several.where(F.col("times") > HOT).select("token"), "token")
+                      .select("cls", "comp", "n").distinct(), "frequent")
+    scratch.drop(held, several)
+
+    def together(postings: DataFrame) -> DataFrame:
+        left, right = (postings.select("token", *[F.col(c).alias(f"{c}_{x}") for c in ("cls", "n", "comp")])
+                       for x in "ab")
+        return left.join(right, "token").where(
+            (F.col("comp_a") != F.col("comp_b")) & (F.col("cls_a") < F.col("cls_b")) & near("n_a", "n_b")) \
+            .withColumnsRenamed({"cls_a": "a", "cls_b": "b"})
+
     # A pair that shares no frequent token shares all its posted tokens here.
-    pairs = left.join(right, "token").where(
-        (F.col("comp_a") != F.col("comp_b")) & (F.col("cls_a") < F.col("cls_b")) & near("n_a", "n_b")) \
-        .groupBy(F.col("cls_a").alias("a"), F.col("cls_b").alias("b"), "n_a", "n_b").agg(F.count("*").alias("shared")) \
+    pairs = together(sides).groupBy("a", "b", "n_a", "n_b").agg(F.count("*").alias("shared")) \
         .where(F.col("shared") >= 1 + F.floor(F.least("n_a", "n_b") / 5)).select("a", "b")
     if tested is not None:
         pairs = pairs.join(tested, ["a", "b"], "left_anti")
-    found = [verified(stored(pairs, "pairs"))]
-
-    clusters = stored(held.join(several.where(F.col("times") > HOT).select("token", "cluster"), "token")
-                      .select("cluster", "cls", "comp").distinct(), "clusters")
-    sizes = clusters.groupBy("cluster").agg(
-        F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"),
-        F.greatest(F.ceil(F.count_if(F.col("comp") != F.col("cluster")) / BLOCK), F.lit(1)).cast("int").alias("others"))
-    dealt = clusters.join(stored(sizes, "sizes"), "cluster")
+    pairs = stored(pairs, "pairs")
+    scratch.drop(sides)
+    found = [verified(pairs)]
+    tested = pairs if tested is None else tested.union(pairs)
+
+    # Documents with frequent tokens are posted again, by the rarest tokens of their whole sets.
+    spread = sets.join(frequent, ["cls", "n"]).select("cls", "comp", "n", F.explode("tokens").alias("token"))
+    times = stored(spread.groupBy("token").agg(F.count("*").alias("times")).where("times > 1"), "times")
+    rare = stored(spread.join(times, "token").groupBy("cls", "comp", "n").agg(
+        F.array_sort(F.collect_list(F.struct("times", "token"))).alias("common"))
+        .select("cls", "comp", "n", F.explode(F.slice("common", 1, F.greatest(F.size("common") + 1 - least_overlap, F.lit(0))
+                                                      .cast("int"))).alias("t"))
+        .select("cls", "comp", "n", "t.token"), "rare")
+    scratch.drop(frequent, times)
+    several = stored(rare.groupBy("token").agg(
+        F.count("*").alias("times"), F.min("comp").alias("cluster"), F.max("comp").alias("last"))
+        .where("cluster <> last").select("token", "times", "cluster"), "several")
+    pairs = together(rare.join(several.where(F.col("times") <= HOT).select("token"), "token")).select("a", "b").distinct()
+    pairs = stored(pairs.join(tested, ["a", "b"], "left_anti"), "pairs")
+    found.append(verified(pairs))
+    clusters = stored(rare.join(several.where(F.col("times") > HOT).select("token", "cluster"), "token")
+                      .select("cluster", "cls", "comp", "n").distinct(), "clusters")
+    scratch.drop(rare, several)
+
+    def parts(among: Column) -> Column:
+        return F.greatest(F.ceil(F.count_if(among) / BLOCK), F.ceil(F.sum(F.when(among, F.col("n"))) / BLOCK_TOKENS),
+                          F.lit(1)).cast("int")
+
+    dealt = clusters.join(clusters.groupBy("cluster").agg(
+        parts(F.lit(True)).alias("blocks"), parts(F.col("comp") != F.col("cluster")).alias("others")), "cluster")
     every = dealt.select("cluster", "cls", "comp", F.lit(False).alias("asks"), F.expr("int(pmod(cls, blocks))").alias("j"),
                          F.explode(F.expr("sequence(0, others - 1)")).alias("i"))
     asking = dealt.where("comp <> cluster").select(
         "cluster", "cls", "comp", F.lit(True).alias("asks"), F.explode(F.expr("sequence(0, blocks - 1)")).alias("j"),
         F.expr("int(pmod(cls, others))").alias("i"))
-    found.append(stored(every.unionByName(asking).join(sets.select("cls", "tokens"), "cls").groupBy("cluster", "i", "j")
-                        .applyInPandas(_block(percent), "a long, b long"), "links"))
+    found.append(stored(every.unionByName(asking).join(sets.select("cls", "tokens", "second", "third"), "cls")
+                        .groupBy("cluster", "i", "j").applyInPandas(_block(percent), "a long, b long"), "links"))
+    scratch.drop(sets, clusters)
     for more in found:
         links = more if links is None else links.union(more)
     comps = _relabelled(survivors, links)
@@ -255,17 +333,16 @@ def ngram_components(docs: DataFrame, width: int = 5, percent: int = 80) -> Data
     least = classes.join(comps.select("cls", "comp"), "cls", "left") \
         .withColumn("comp", F.coalesce("comp", "cls"))
     first = least.groupBy("comp").agg(F.min("rep").alias("component_id"))
-    of_class = stored(least.join(first, "comp").select("cls", "component_id"), "of-class")
-    return signed.select("doc_id", "cls", "n").join(of_class, "cls", "left").select(
-        "doc_id", F.col("n").alias("n_shingles"),
-        F.when(F.col("doc_id").isNull(), None).otherwise(F.coalesce("component_id", "doc_id"))
-        .alias("component_id"))
+    return rows, stored(least.join(first, "comp").select("cls", "component_id"), "of-class")
 
 
 def _relabelled(survivors: DataFrame, links: DataFrame) -> DataFrame:
-    comps = components(links).withColumnRenamed("node", "cls")
-    return stored(survivors.select("cls").join(comps, "cls", "left")
-                  .withColumn("comp", F.coalesce("comp", "cls")), "comps")
+    with Scratch() as scratch:
+        comps = components(links).withColumnRenamed("node", "cls")
+        out = stored(survivors.select("cls").join(comps, "cls", "left")
+                     .withColumn("comp", F.coalesce("comp", "cls")), "comps")
+        scratch.keep(out)
+    return out
 
 
 def op9_ngram_join(spark, sf_dir: str) -> DataFrame:
