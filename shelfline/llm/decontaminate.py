@@ -3,9 +3,9 @@
 The benchmark is cut into windows of consecutive words. Counting its vocabulary in the training documents ranks each
 window's terms from rare to frequent; the index stores the positions of those words that are among the two rarest
 terms of some window. A posting list is adjusted by its term's offset, so that lists of one window meet in the
-window's start; a second list is used where it is not much longer than the first. What the lists have in common is
-compared with the whole window (exact phrase). Windows whose two rarest terms lie within ``slop`` words of their
-places are counted as near.
+window's start; where the second list is much longer than the first, the text of the first list's documents stands in
+for it, with the same results. What the lists have in common is compared with the whole window (exact phrase). Windows
+whose two rarest terms lie within ``slop`` words of their places are counted as near.
 
 The benchmark's tables are stored first: Spark broadcasts them when their measured size is small enough and shuffles
 single words, without texts, otherwise.
@@ -15,11 +15,11 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from .common import stored, table
+from .common import Scratch, stored, table
 
 WINDOW = 10
 SLOP = 2
-# A second list may be this many times as long as the first.
+# A second list of up to this many times the first one's length is intersected; a longer one is looked up in the texts.
 LONGER = 16
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -53,6 +53,43 @@ def with_matches(docs: DataFrame, benchmark: DataFrame, width: int = WINDOW, slo
     Repeated rows and rows with a null doc_id are treated like any other; repeated items count once. Columns other
     than doc_id and text only pass through. Empty tables give no hits or no rows.
     """
+    with Scratch() as scratch:
+        found = _found(docs, benchmark, width, slop)
+        scratch.keep(found)
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
+    joined = rows.join(found, F.col("row.doc_id").eqNullSafe(F.col("found_id"))
+                       & (F.xxhash64("row.text") == F.col("found_hash")), "left")
+    joined = joined.withColumn("w", words("row.text"))
+    # Letters are lowered word by word only where there is something to compare.
+    joined = joined.withColumn("low", F.when(F.col("found").isNotNull(), F.transform("w", lowered)))
+
+    def exact(c: Column) -> Column:
+        at = F.greatest(c["start"], F.lit(0))
+        return (c["start"] >= 0) & (F.slice("low", at + 1, F.size(c["terms"])) == c["terms"])
+
+    def second_near(c: Column) -> Column:
+        at = c["start"] + c["second"]["offset"]
+        first = F.greatest(at - slop, F.lit(0))
+        around = F.slice("w", first + 1, F.greatest(at + slop + 1 - first, F.lit(0)))
+        return F.exists(around, lambda x: F.lower(x) == c["second"]["term"])
+
+    none = F.array().cast(found.schema["found"].dataType)
+    joined = joined.withColumn("hits", F.coalesce(F.filter("found", exact), none))
+    looked_up = F.coalesce(F.filter("found", lambda c: c["second"].isNotNull() & second_near(c)), none)
+    near = F.size(F.array_distinct(F.transform(looked_up, lambda c: F.struct(c["item_id"], c["terms"]))))
+    items = F.array_sort(F.array_distinct(F.transform("hits", lambda c: c["item_id"].cast("string"))))
+    return joined.select(
+        "row", F.size("w").cast("long").alias("n_words"),
+        F.size(F.array_distinct(F.flatten(F.transform("hits", lambda c: F.sequence(
+            c["start"], c["start"] + F.size(c["terms"]) - 1))))).cast("long").alias("n_hit"),
+        F.size(items).cast("long").alias("n_items"),
+        F.sha2(F.array_join(items, ","), 256).alias("items_sha256"),
+        (F.size("hits") > 0).alias("contaminated"), (F.coalesce("n_near", F.lit(0)) + near).cast("long").alias("n_near"))
+
+
+def _found(docs: DataFrame, benchmark: DataFrame, width: int, slop: int) -> DataFrame:
+    """Per text with candidates (found_id, found_hash): ``found``, places where a window may start, with the second
+    rarest term where that is still to be looked up, and ``n_near`` of the windows that need no look."""
     win = stored(windows(benchmark, width), "windows")
     key = [F.col("doc_id"), F.xxhash64("text").alias("text_hash")]
 
@@ -70,6 +107,7 @@ def with_matches(docs: DataFrame, benchmark: DataFrame, width: int = WINDOW, slo
     ranked = ranked.withColumn("use", F.when(
         (F.size("by_rarity") > 1) & (F.expr("try_element_at(by_rarity, 2).n") <= LONGER * F.expr("by_rarity[0].n")), 2)
         .otherwise(1))
+    ranked = stored(ranked, "ranked")
     lists = stored(ranked.select("window", "use", F.posexplode(F.slice("by_rarity", F.lit(1), F.col("use")))
                                  .alias("rank", "t")).select("window", "use", "rank", "t.offset", "t.term"), "lists")
 
@@ -82,9 +120,11 @@ def with_matches(docs: DataFrame, benchmark: DataFrame, width: int = WINDOW, slo
     starts = stored(adjusted.groupBy("window", "use", "doc_id", "text_hash", "start")
                     .agg(F.bit_or("list").alias("lists")), "starts")
 
-    common = starts.where((F.col("start") >= 0) & (F.col("lists") == F.expr("shiftleft(1, `use`) - 1")))
-    found = common.join(win, "window").groupBy("doc_id", "text_hash").agg(
-        F.collect_set(F.struct("start", "item_id", "terms")).alias("found"))
+    # A window with one list may start before the text does and still be near.
+    common = starts.where((F.col("lists") == F.expr("shiftleft(1, `use`) - 1")) & F.expr("start >= 0 OR `use` = 1"))
+    second = ranked.select("window", F.when(F.col("use") == 1, F.expr("try_element_at(by_rarity, 2)")).alias("second"))
+    found = common.join(win.join(second, "window"), "window").groupBy("doc_id", "text_hash").agg(
+        F.collect_set(F.struct("start", "item_id", "terms", "second")).alias("found"))
 
     # Two lists are near where their starts differ by at most ``slop``: each start is put into the blocks it reaches.
     two = starts.where("use = 2")
@@ -98,32 +138,15 @@ def with_matches(docs: DataFrame, benchmark: DataFrame, width: int = WINDOW, slo
                       & (F.col("text_hash") == F.col("h2")) & (F.col("block") == F.col("b2"))
                       & (F.abs(F.col("a") - F.col("b")) <= slop)).select("window", "doc_id", "text_hash").distinct() \
         .groupBy("doc_id", "text_hash").agg(F.count("*").alias("n_near"))
-    found = stored(found.join(near.withColumnsRenamed({"doc_id": "d2", "text_hash": "h2"}),
+    return stored(found.join(near.withColumnsRenamed({"doc_id": "d2", "text_hash": "h2"}),
                               F.col("doc_id").eqNullSafe(F.col("d2")) & (F.col("text_hash") == F.col("h2")), "full")
                    .select(F.coalesce("doc_id", "d2").alias("found_id"), F.coalesce("text_hash", "h2")
                            .alias("found_hash"), "found", "n_near"), "found")
 
-    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
-    joined = rows.join(found, F.col("row.doc_id").eqNullSafe(F.col("found_id"))
-                       & (F.xxhash64("row.text") == F.col("found_hash")), "left")
-    joined = joined.withColumn("w", words("row.text"))
-    # Letters are lowered word by word only where there is something to compare.
-    joined = joined.withColumn("low", F.when(F.col("found").isNotNull(), F.transform("w", lowered)))
-    joined = joined.withColumn("hits", F.coalesce(F.filter("found", lambda c: F.slice(
-        "low", c["start"] + 1, F.size(c["terms"])) == c["terms"]), F.array().cast(found.schema["found"].dataType)))
-    items = F.array_sort(F.array_distinct(F.transform("hits", lambda c: c["item_id"].cast("string"))))
-    return joined.select(
-        "row", F.size("w").cast("long").alias("n_words"),
-        F.size(F.array_distinct(F.flatten(F.transform("hits", lambda c: F.sequence(
-            c["start"], c["start"] + F.size(c["terms"]) - 1))))).cast("long").alias("n_hit"),
-        F.size(items).cast("long").alias("n_items"),
-        F.sha2(F.array_join(items, ","), 256).alias("items_sha256"),
-        (F.size("hits") > 0).alias("contaminated"), F.coalesce("n_near", F.lit(0)).cast("long").alias("n_near"))
-
 
 def op5_decontamination(spark, sf_dir: str) -> DataFrame:
     out = with_matches(table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "benchmark"))
-    return out.select("row.doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated")
+    return out.select("row.doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated", "n_near")
 
 
 _PATTERN = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
@@ -141,7 +164,17 @@ OP5_SQL = rf"""
     covered AS (SELECT doc_id, count(DISTINCT p) AS n_hit
                 FROM (SELECT doc_id, unnest(range(s, s + n)) AS p FROM hits) GROUP BY doc_id),
     items AS (SELECT doc_id, count(*) AS n_items, string_agg(i, ',' ORDER BY i) AS ids
-              FROM (SELECT DISTINCT doc_id, CAST(item_id AS VARCHAR) AS i FROM hits) GROUP BY doc_id)
+              FROM (SELECT DISTINCT doc_id, CAST(item_id AS VARCHAR) AS i FROM hits) GROUP BY doc_id),
+    said AS (SELECT doc_id, lower(unnest(w)) AS term, unnest(range(len(w))) AS pos FROM d),
+    spot AS (SELECT item_id, g, lower(unnest(g)) AS term, unnest(range(len(g))) AS place FROM win),
+    ranked AS (SELECT item_id, g, term, place, coalesce(c, 0) AS c,
+                   row_number() OVER (PARTITION BY item_id, g ORDER BY coalesce(c, 0), place, term) AS r
+               FROM spot LEFT JOIN (SELECT term, count(*) AS c FROM said GROUP BY 1) USING (term)),
+    close AS (SELECT DISTINCT x.doc_id, a.item_id, a.g FROM ranked a JOIN ranked b USING (item_id, g)
+              JOIN said x ON x.term = a.term JOIN said y ON y.doc_id = x.doc_id AND y.term = b.term
+                AND abs((x.pos - a.place) - (y.pos - b.place)) <= {SLOP}
+              WHERE a.r = 1 AND b.r = 2 AND a.c > 0),
+    nears AS (SELECT doc_id, count(*) AS n_near FROM close GROUP BY 1)
     SELECT d.doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items,
-        sha256(coalesce(ids, '')) AS items_sha256, n_hit IS NOT NULL AS contaminated
-    FROM d LEFT JOIN covered USING (doc_id) LEFT JOIN items USING (doc_id)"""
+        sha256(coalesce(ids, '')) AS items_sha256, n_hit IS NOT NULL AS contaminated, coalesce(n_near, 0) AS n_near
+    FROM d LEFT JOIN covered USING (doc_id) LEFT JOIN items USING (doc_id) LEFT JOIN nears USING (doc_id)"""

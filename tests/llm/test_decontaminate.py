@@ -63,6 +63,17 @@ def test_near_windows(spark):
     assert got[1] == (True, 1) and not got[2][0] and got[2][1] == 1
 
 
+def test_near_does_not_depend_on_how_frequent_the_second_term_is(spark):
+    """Eleven or forty documents with "the": the lists are intersected, or the texts are looked up."""
+    b = spark.createDataFrame([(1, "zebra the")], "item_id long, text string")
+    for others in (1, 40):
+        rows = [(1, "zebra x the"), (2, "The x zebra"), (3, "zebra the"), (4, "zebra x x x the"), (5, "zebra"),
+                (None, "the zebra")] + [(100 + k, "the " * 9) for k in range(others)]
+        out = decontaminate.with_matches(spark.createDataFrame(rows, "doc_id long, text string"), b)
+        got = {r.doc_id: r.n_near for r in out.select("row.doc_id", "n_near").collect()}
+        assert [got[k] for k in (1, 2, 3, 4, 5, None)] == [1, 0, 1, 0, 0, 1] and got[100] == 0
+
+
 def test_documents(spark):
     folder = "/root/testdata/sf0.001"
     docs = [tuple(r) for r in spark.read.parquet(f"{folder}/documents.parquet").select("doc_id", "text").collect()]
