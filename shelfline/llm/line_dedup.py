@@ -11,7 +11,7 @@ import math
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from .common import stored, table
+from .common import Scratch, stored, table
 
 MIN_SITES = 5
 LOG_BUCKETS = 10
@@ -53,14 +53,17 @@ def remove_boilerplate(docs: DataFrame, min_sites: int = MIN_SITES) -> DataFrame
         F.xxhash64(F.trim(x)).alias("one"), F.xxhash64(F.trim(x), F.lit("line")).alias("two"))))
     lines = docs.select(*key, F.coalesce("source", F.lit("")).alias("site"), F.posexplode(hashed)) \
         .where("col IS NOT NULL").select("doc_id", "text_hash", "site", "pos", "col.*")
-    spread_lines = spread(lines, min_sites)
-    gone = lines.join(spread_lines, ["one", "two"]).where(~F.struct("doc_id", "pos").eqNullSafe(F.col("first"))) \
-        .groupBy("doc_id", "text_hash").agg(F.array_sort(F.collect_set("pos")).alias("gone")) \
-        .withColumnsRenamed({"doc_id": "gone_id", "text_hash": "gone_hash"})
+    with Scratch() as scratch:
+        gone = lines.join(spread(lines, min_sites), ["one", "two"]) \
+            .where(~F.struct("doc_id", "pos").eqNullSafe(F.col("first"))) \
+            .groupBy("doc_id", "text_hash").agg(F.array_sort(F.collect_set("pos")).alias("gone")) \
+            .withColumnsRenamed({"doc_id": "gone_id", "text_hash": "gone_hash"})
+        gone = stored(gone, "gone")
+        scratch.keep(gone)
     # Whole rows are one column here, so that no name of theirs can clash.
     rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
     joined = rows.join(
-        stored(gone, "gone"), F.col("row.doc_id").eqNullSafe(F.col("gone_id"))
+        gone, F.col("row.doc_id").eqNullSafe(F.col("gone_id"))
         & F.xxhash64("row.text").eqNullSafe(F.col("gone_hash")), "left") \
         .withColumn("lines", F.when(F.col("gone").isNotNull(), _lines("row.text")))
     # The lines between two removed ones are one slice each: linear in the text's length.
