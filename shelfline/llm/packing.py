@@ -208,7 +208,12 @@ def pack(docs: DataFrame, path: str | None = None, window: int = WINDOW, end_id:
     cut = stored(pieces(docs, path, window, end_id), "pieces")
     tokens = cut.agg(F.sum("length")).first()[0] or 0
     groups = max(1, round(tokens / (window * group_windows)))
-    dealt = cut.withColumn("group", F.pmod(F.xxhash64("doc_id", "start", "ids_crc32"), F.lit(groups)))
+    # Pieces that are equal in every column are one counted row until each copy is dealt to a group of its own.
+    counted = cut.groupBy(*cut.columns).agg(F.count("*").alias("times")) \
+        .withColumn("part", F.explode(F.expr("sequence(0, (times - 1) DIV 100000)"))) \
+        .withColumn("copy", F.explode(F.expr("sequence(part * 100000, least(times, (part + 1) * 100000) - 1)")))
+    dealt = counted.select(*cut.columns, F.pmod(
+        F.xxhash64("doc_id", "start", "ids_crc32", "copy"), F.lit(groups)).alias("group"))
     packer = _packer(window, groups)
     return dealt.groupBy("group").applyInPandas(
         lambda key, pdf: packer(key, pdf.astype({"doc_id": "Int64"})), PACKED)
