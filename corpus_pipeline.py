@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from shelfline.llm import decontaminate, line_dedup, packing, quality
-from shelfline.llm.common import stored, table
+from shelfline.llm.common import Scratch, stored, table
 from shelfline.llm.ngram_join import ngram_components
 
 
@@ -29,8 +29,10 @@ def without_boilerplate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group stays: that of the smallest doc_id, once. Rows without a doc_id all stay."""
-    first = ngram_components(docs).where("doc_id = component_id").select("doc_id").distinct()
-    one = docs.join(stored(first, "first"), "doc_id", "left_semi").dropDuplicates(["doc_id", "text"])
+    with Scratch() as scratch:
+        first = stored(ngram_components(docs).where("doc_id = component_id").select("doc_id").distinct(), "first")
+        scratch.keep(first)
+    one = docs.join(first, "doc_id", "left_semi").dropDuplicates(["doc_id", "text"])
     return one.select(*docs.columns).unionByName(docs.where("doc_id IS NULL"))
 
 
@@ -55,6 +57,12 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
-    for name, stage in STAGES:
-        docs = stored(stage(spark, docs, sf_dir), name)
+    with Scratch() as scratch:
+        for name, stage in STAGES:
+            before = docs
+            with Scratch() as of_stage:
+                docs = stored(stage(spark, docs, sf_dir), name)
+                of_stage.keep(docs)
+            scratch.drop(before)
+        scratch.keep(docs)
     return docs
