@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Mapping, Sequence
 
 from pyspark.sql import DataFrame, Window as W, functions as F
@@ -39,6 +40,44 @@ def p1_seasonality(weekly: DataFrame) -> DataFrame:
     return cv.withColumn("rank_estacionalidad", F.rank().over(W.orderBy(F.desc_nulls_last("cv"))))
 
 
+def p1_seasonal_strength(weekly: DataFrame, year_days: float = 365.25) -> DataFrame:
+    """How much of each format's weekly revenue a yearly wave explains beside a straight trend.
+
+    Least squares on a constant, the week and the sine and cosine of the day of the year, solved in closed form from
+    one aggregate's co-moments, so a format's weeks are never gathered. ``tendencia`` is revenue gained per week,
+    ``amplitud`` half the wave's height, ``fuerza`` the share of the variance around the trend alone that the wave
+    explains, ``dia_pico`` the days after 1 January on which the wave is highest. Formats with
+    fewer than five weeks, or weeks that do not determine the wave, have nulls; so has the strength where nothing is
+    left around the trend. A null revenue counts as no week.
+    """
+    days = F.datediff("week", F.lit("1970-01-01").cast("date"))
+    angle = 2 * math.pi * days / year_days
+    known = weekly.filter(F.col("gmv").isNotNull() & F.col("format").isNotNull()).select(
+        "format", F.col("gmv").cast("double").alias("y"), (days / 7).alias("t"), F.cos(angle).alias("c"),
+        F.sin(angle).alias("s"))
+    pairs = ["tt", "ty", "tc", "ts", "yy", "yc", "ys", "cc", "cs", "ss"]
+    sums = known.groupBy("format").agg(
+        F.count(F.lit(1)).alias("semanas"), *[F.covar_pop(p[0], p[1]).alias(p) for p in pairs])
+    # What is left of each co-moment once the trend is taken out.
+    rest = sums.select("format", "semanas", "tt", "ty", "tc", "ts", F.col("yy").alias("_all"), *[
+        (F.col(p) - ratio(F.col(f"t{p[0]}") * F.col(f"t{p[1]}"), F.col("tt"))).alias(p)
+        for p in ("yy", "yc", "ys", "cc", "cs", "ss")])
+    det = F.col("cc") * F.col("ss") - F.col("cs") * F.col("cs")
+    solvable = (F.col("semanas") >= 5) & (det > 1e-9)
+    waves = rest.withColumn("_c", F.when(solvable, (F.col("yc") * F.col("ss") - F.col("ys") * F.col("cs")) / det)) \
+        .withColumn("_s", F.when(solvable, (F.col("ys") * F.col("cc") - F.col("yc") * F.col("cs")) / det))
+    turn = F.atan2("_s", "_c") / (2 * math.pi)
+    strength = waves.select(
+        "format", "semanas",
+        ratio(F.col("ty") - F.col("_c") * F.col("tc") - F.col("_s") * F.col("ts"), F.col("tt")).alias("tendencia"),
+        F.sqrt(F.col("_c") * F.col("_c") + F.col("_s") * F.col("_s")).alias("amplitud"),
+        ((turn - F.floor(turn)) * year_days).alias("dia_pico"),
+        F.when(F.col("yy") > 1e-12 * F.col("_all"),
+               ratio(F.col("_c") * F.col("yc") + F.col("_s") * F.col("ys"), F.col("yy"))).alias("fuerza"))
+    # One row per format, so the ranking window is a handful of rows.
+    return strength.withColumn("rank_fuerza", F.rank().over(W.orderBy(F.desc_nulls_last("fuerza"))))
+
+
 def p2_pareto(base: DataFrame) -> DataFrame:
     """Share and cumulative share of each category inside its format, largest first."""
     by_cat = _revenue_by(base, "format", "category")

@@ -200,11 +200,13 @@ def kpi9_store_score(kpi1: DataFrame, kpi2: DataFrame, kpi4: DataFrame) -> DataF
                          score.alias("score")).withColumn("plan_intervencion", F.col("score") < -1)
 
 
-def _flagged(df: DataFrame, kpi: str, rule: str, unit: Column, period: str, value: Column,
-             bad: Column) -> DataFrame:
-    return df.filter(bad).select(
-        F.lit(kpi).alias("kpi"), unit.cast("string").alias("unidad"), F.col(period).cast("date").alias("periodo"),
-        F.lit(rule).alias("regla"), value.cast("double").alias("valor"), F.lit(True).alias("marcado"))
+def _flagged(df: DataFrame, kpi: str, unit: Column, period: str, *rules: tuple[str, Column, Column]) -> DataFrame:
+    """The rows of one frame that break any of ``rules`` (name, value, condition): the frame is run once."""
+    broken = F.array_compact(F.array(*[
+        F.when(bad, F.struct(F.lit(rule).alias("regla"), value.cast("double").alias("valor")))
+        for rule, value, bad in rules]))
+    return df.select(F.lit(kpi).alias("kpi"), unit.cast("string").alias("unidad"),
+                     F.col(period).cast("date").alias("periodo"), F.inline(broken)).withColumn("marcado", F.lit(True))
 
 
 def _network() -> Column:
@@ -229,34 +231,32 @@ def kpi_checks(kpis: Mapping[str, DataFrame], large_cohort: int = 100) -> DataFr
             pct(F.count_if(F.col("growth_pct") == 0), F.count(F.lit(1))).alias("zero_pct"),
             growth_pct(F.sum(money("gmv")).cast("double"), F.sum(money("gmv_prior")).cast("double")).alias("growth"))
         step = F.col("growth") - F.lag("growth").over(W.orderBy("month"))  # one row per month
-        found += [
-            _flagged(monthly, "kpi1", "mas_20pct_tiendas_en_cero", _network(), "month", F.col("zero_pct"),
-                     F.col("zero_pct") > 20),
-            _flagged(monthly.withColumn("step", step), "kpi1", "sube_mas_30_en_un_mes", _network(), "month",
-                     F.col("step"), F.col("step") > 30)]
+        found.append(_flagged(
+            monthly.withColumn("step", step), "kpi1", _network(), "month",
+            ("mas_20pct_tiendas_en_cero", F.col("zero_pct"), F.col("zero_pct") > 20),
+            ("sube_mas_30_en_un_mes", F.col("step"), F.col("step") > 30)))
 
     if "kpi2" in kpis:
         frame = kpis["kpi2"]
         period = next(p for p in ("week", "month", "day", "quarter") if p in frame.columns)
         peers = W.partitionBy("format", period)
         usual = F.sum(F.col("gmv_m2")).over(peers) / F.count("gmv_m2").over(peers)
-        found += [
-            _flagged(frame, "kpi2", "cero_en_tienda_activa", store, period, F.col("gmv_m2"), F.col("gmv_m2") == 0),
-            _flagged(frame.withColumn("_usual", usual), "kpi2", "diez_veces_el_formato", store, period,
-                     F.col("gmv_m2"), F.col("gmv_m2") > 10 * F.col("_usual"))]
+        found.append(_flagged(
+            frame.withColumn("_usual", usual), "kpi2", store, period,
+            ("cero_en_tienda_activa", F.col("gmv_m2"), F.col("gmv_m2") == 0),
+            ("diez_veces_el_formato", F.col("gmv_m2"), F.col("gmv_m2") > 10 * F.col("_usual"))))
 
     if "kpi3" in kpis:
-        frame, unit = kpis["kpi3"], F.col("format")
-        found += [
-            _flagged(frame, "kpi3", "ticket_fuera_de_rango", unit, "week", F.col("ticket"),
-                     (F.col("ticket") < 5) | (F.col("ticket") > 5000)),
-            _flagged(frame, "kpi3", "varia_mas_30pct", unit, "week", F.col("variacion_pct"),
-                     F.abs("variacion_pct") > 30)]
+        found.append(_flagged(
+            kpis["kpi3"], "kpi3", F.col("format"), "week",
+            ("ticket_fuera_de_rango", F.col("ticket"), (F.col("ticket") < 5) | (F.col("ticket") > 5000)),
+            ("varia_mas_30pct", F.col("variacion_pct"), F.abs("variacion_pct") > 30)))
 
     if "kpi4" in kpis:
         frame, rate = kpis["kpi4"], F.col("retencion_m1_pct")
         unit = store if "store_id" in frame.columns else _network()
-        found.append(_flagged(frame, "kpi4", "retencion_100_o_0", unit, "cohort", rate, (rate == 100) | ((rate == 0) & (F.col("cohort_size") >= large_cohort))))
+        found.append(_flagged(frame, "kpi4", unit, "cohort", (
+            "retencion_100_o_0", rate, (rate == 100) | ((rate == 0) & (F.col("cohort_size") >= large_cohort)))))
 
     if "kpi5" in kpis:
         frame, rate = kpis["kpi5"], F.col("tasa_devolucion_pct")
@@ -264,46 +264,43 @@ def kpi_checks(kpis: Mapping[str, DataFrame], large_cohort: int = 100) -> DataFr
         last4 = W.partitionBy("store_id").orderBy("_w").rangeBetween(-3, 0)
         runs = frame.withColumn("_w", week).withColumns({
             "_n": F.count(rate).over(last4), "_lo": F.min(rate).over(last4), "_hi": F.max(rate).over(last4)})
-        found += [
-            _flagged(frame, "kpi5", "devolucion_mayor_10", store, "week", rate, rate > 10),
-            _flagged(runs, "kpi5", "igual_4_semanas", store, "week", rate,
-                     (F.col("_n") == 4) & (F.col("_lo") == F.col("_hi")))]
+        found.append(_flagged(
+            runs, "kpi5", store, "week", ("devolucion_mayor_10", rate, rate > 10),
+            ("igual_4_semanas", rate, (F.col("_n") == 4) & (F.col("_lo") == F.col("_hi")))))
 
     for name, period in (("kpi6", "month"), ("kpi6_day", "day")):
         if name not in kpis:
             continue
-        frame, rate = kpis[name], F.col("penetracion_pct")
+        rate = F.col("penetracion_pct")
         before = F.lag("penetracion_pct").over(W.partitionBy("store_id").orderBy(period))
+        rules = [("salto_a_100", rate, (rate == 100) & (F.col("_before") < 100))]
         if period == "day":
-            found.append(_flagged(frame, "kpi6", "cero_en_un_dia", store, period, rate, rate == 0))
-        found.append(_flagged(frame.withColumn("_before", before), "kpi6", "salto_a_100", store, period, rate,
-                              (rate == 100) & (F.col("_before") < 100)))
+            rules.append(("cero_en_un_dia", rate, rate == 0))
+        found.append(_flagged(kpis[name].withColumn("_before", before), "kpi6", store, period, *rules))
 
     if "kpi7" in kpis:
-        frame, unit = kpis["kpi7"], F.col("vendor_id")
-        found += [
-            _flagged(frame, "kpi7", "gmroi_negativo", unit, "quarter", F.col("gmroi"), F.col("gmroi") < 0),
-            _flagged(frame.withColumn("_usual", F.avg("revenue").over(W.partitionBy("quarter"))), "kpi7",
-                     "gmroi_mayor_10", unit, "quarter", F.col("gmroi"),
-                     (F.col("gmroi") > 10) & (F.col("revenue") >= F.col("_usual")))]
+        gmroi = F.col("gmroi")
+        found.append(_flagged(
+            kpis["kpi7"].withColumn("_usual", F.avg("revenue").over(W.partitionBy("quarter"))), "kpi7",
+            F.col("vendor_id"), "quarter", ("gmroi_negativo", gmroi, gmroi < 0),
+            ("gmroi_mayor_10", gmroi, (gmroi > 10) & (F.col("revenue") >= F.col("_usual")))))
 
     if "kpi8_store" in kpis:
-        found.append(_flagged(kpis["kpi8_store"], "kpi8", "tienda_100pct", store, "month", F.col("oos_pct"),
-                              F.col("oos_pct") == 100))
+        found.append(_flagged(kpis["kpi8_store"], "kpi8", store, "month",
+                              ("tienda_100pct", F.col("oos_pct"), F.col("oos_pct") == 100)))
     if "kpi8" in kpis:
         order = W.orderBy("month")  # one row per month
         frame = kpis["kpi8"].withColumn("_prev", F.lag("oos_pct").over(order)).withColumn(
             "_gap", month_number("month") - F.lag(month_number("month")).over(order))
-        found.append(_flagged(frame, "kpi8", "cero_2_meses", _network(), "month", F.col("oos_pct"),
-                              (F.col("oos_pct") == 0) & (F.col("_prev") == 0) & (F.col("_gap") == 1)))
+        found.append(_flagged(frame, "kpi8", _network(), "month", (
+            "cero_2_meses", F.col("oos_pct"), (F.col("oos_pct") == 0) & (F.col("_prev") == 0) & (F.col("_gap") == 1))))
 
     if "kpi9" in kpis:
-        frame = kpis["kpi9"]
-        monthly = frame.groupBy("month").agg(
-            F.count("score").alias("n"), F.max(F.abs("score")).alias("largest"))
+        frame, score = kpis["kpi9"], F.col("score")
+        monthly = frame.groupBy("month").agg(F.count("score").alias("n"), F.max(F.abs("score")).alias("largest"))
         found += [
-            _flagged(frame, "kpi9", "componente_nulo", store, "month", F.col("score"), F.col("score").isNull()),
-            _flagged(monthly, "kpi9", "todos_en_cero", _network(), "month", F.col("largest"),
-                     (F.col("n") > 0) & (F.col("largest") == 0))]
+            _flagged(frame, "kpi9", store, "month", ("componente_nulo", score, score.isNull())),
+            _flagged(monthly, "kpi9", _network(), "month",
+                     ("todos_en_cero", F.col("largest"), (F.col("n") > 0) & (F.col("largest") == 0)))]
 
     return reduce(DataFrame.unionByName, found)

@@ -378,6 +378,12 @@ def p1_seasonality(spark, d):
     return rel.rounded(explore.p1_seasonality(explore.p1_weekly_gmv(_base(spark, d))), cv=6)
 
 
+@query
+def p1_seasonal_strength(spark, d):
+    strength = explore.p1_seasonal_strength(explore.p1_weekly_gmv(_base(spark, d)))
+    return rel.rounded(strength, tendencia=3, amplitud=3, dia_pico=4, fuerza=6)
+
+
 @query
 def p2_pareto(spark, d):
     return explore.p2_pareto(_base(spark, d, categories=True))

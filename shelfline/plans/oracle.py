@@ -496,6 +496,26 @@ UNION ALL SELECT format, week, gmv, 'CAIDA', CAST(o AS INTEGER) FROM (
 add("p1_seasonality", """
 SELECT format, round(cv, 6) AS cv, CAST(rank() OVER (ORDER BY cv DESC) AS INTEGER) AS rank_estacionalidad
 FROM (SELECT format, stddev_samp(gmv) / avg(gmv) AS cv FROM weekly_format GROUP BY 1)""")
+# Trend, sine and cosine by regressions on what the ones before leave over, row by row.
+add("p1_seasonal_strength", """
+SELECT * FROM (WITH w AS (SELECT format, CAST(gmv AS DOUBLE) AS y, (week - DATE '1970-01-01') / 7 AS t,
+                  cos(2 * pi() * (week - DATE '1970-01-01') / 365.25) AS c,
+                  sin(2 * pi() * (week - DATE '1970-01-01') / 365.25) AS s FROM weekly_format),
+line AS (SELECT format, count(*) AS semanas, avg(t) AS mt, avg(y) AS my, avg(c) AS mc, avg(s) AS ms,
+                regr_slope(y, t) AS ry, regr_slope(c, t) AS rc, regr_slope(s, t) AS rs FROM w GROUP BY 1),
+flat AS (SELECT format, semanas, ry, rc, rs, y - my - ry * (t - mt) AS y, c - mc - rc * (t - mt) AS c,
+                s - ms - rs * (t - mt) AS s FROM w JOIN line USING (format)),
+sine AS (SELECT format, sum(c * s) / sum(c * c) AS sc, sum(c * y) / sum(c * c) AS yc FROM flat GROUP BY 1),
+fit AS (SELECT format, semanas, ry, rc, rs, yc - sc * sum((y - yc * c) * (s - sc * c)) / sum((s - sc * c) ** 2) AS kc,
+               sum((y - yc * c) * (s - sc * c)) / sum((s - sc * c) ** 2) AS ks
+        FROM flat JOIN sine USING (format) GROUP BY format, semanas, ry, rc, rs, yc, sc),
+done AS (SELECT format, semanas, ry - kc * rc - ks * rs AS tendencia, sqrt(kc * kc + ks * ks) AS amplitud,
+                atan2(ks, kc) / (2 * pi()) AS turn, 1 - sum((y - kc * c - ks * s) ** 2) / sum(y * y) AS fuerza
+         FROM flat JOIN fit USING (format, semanas, ry, rc, rs)
+         GROUP BY format, semanas, ry, rc, rs, kc, ks)
+SELECT format, semanas, round(tendencia, 3) AS tendencia, round(amplitud, 3) AS amplitud,
+       round((turn - floor(turn)) * 365.25, 4) AS dia_pico, round(fuerza, 6) AS fuerza,
+       CAST(rank() OVER (ORDER BY fuerza DESC) AS INTEGER) AS rank_fuerza FROM done)""")
 add("p2_pareto", "SELECT * FROM pareto")
 add("p2_pareto_core", "SELECT * FROM pareto WHERE cum_pct - pct < 80")
 

@@ -1,4 +1,5 @@
 import datetime
+import math
 import random
 
 import pytest
@@ -162,3 +163,21 @@ def test_weekly_revenue_of_headers_without_lines_is_zero(spark):
     ends = explore.p1_peaks_troughs(weekly, 1)
     assert rows(ends, "tipo", "gmv") == [("CAIDA", 0.0), ("PICO", 5.0)]
     assert explore.p1_seasonality(weekly).filter(F.col("cv") > 1).count() == 1
+
+
+def test_seasonal_strength_finds_a_wave_on_a_trend(spark):
+    """A pure trend and wave is explained whole; a pure trend and short series have no wave."""
+    first = datetime.date(2022, 1, 3)
+    rows = []
+    for k in range(120):
+        week = first + datetime.timedelta(weeks=k)
+        turn = 2 * math.pi * ((week - datetime.date(1970, 1, 1)).days / 365.25 - 100 / 365.25)
+        rows += [("A", week, 1000.0 + 5 * k + 200 * math.cos(turn)), ("B", week, 50.0 + 2 * k)]
+        rows += [("C", week, 1.0 * k)] * (k < 4) + [("A", week, None)]
+    weekly = spark.createDataFrame(rows, "format string, week date, gmv double")
+    got = {r.format: r for r in explore.p1_seasonal_strength(weekly).collect()}
+    assert [round(x, 4) for x in (got["A"].tendencia, got["A"].amplitud, got["A"].dia_pico, got["A"].fuerza)] == [
+        5.0, 200.0, 100.0, 1.0]
+    assert got["B"].tendencia == pytest.approx(2.0) and got["B"].fuerza is None and got["B"].amplitud == pytest.approx(0, abs=1e-6)
+    assert got["C"].semanas == 4 and got["C"].fuerza is None
+    assert explore.p1_seasonal_strength(weekly.limit(0)).count() == 0

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from conftest import day
 from shelfline.functions import relational as rel
-from shelfline.operators import business, explore, quality
+from shelfline.operators import business, explore, kpi, quality
 from shelfline.plans.catalog import QUERIES
 from shelfline.session import shuffle_partitions
 
@@ -104,6 +104,17 @@ def test_the_median_reuses_the_counted_differences(spark, sales, make, no_broadc
     assert "ReusedExchange" in plan(df)
 
 
+def test_checks_run_each_frame_once(spark, tmp_path):
+    root = str(tmp_path)
+    spark.createDataFrame([("F", day("2024-01-01"), 1.0, 40.0)],
+                          "format string, week date, ticket double, variacion_pct double").write.parquet(f"{root}/3")
+    spark.createDataFrame([("S", day("2024-01-01"), 20.0)],
+                          "store_id string, week date, tasa_devolucion_pct double").write.parquet(f"{root}/5")
+    checks = kpi.kpi_checks({f"kpi{k}": spark.read.parquet(f"{root}/{k}") for k in (3, 5)})
+    assert plan(checks).count("FileScan") == 2 and exchanges(checks) == 1
+    assert sorted(r.regla for r in checks.collect()) == ["devolucion_mayor_10", "ticket_fuera_de_rango", "varia_mas_30pct"]
+
+
 def test_low_rotation_reads_sales_once(spark, tmp_path):
     base = spark.createDataFrame([("S", "I", "c", day("2024-01-01"), 1.0)],
                                  "store_id string, item_id string, category string, transaction_date date, revenue double")
