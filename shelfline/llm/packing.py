@@ -12,9 +12,9 @@ Only piece lengths are grouped, never texts; a very long document is spread over
 
 from __future__ import annotations
 
+import functools
 import heapq
 import zlib
-from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -23,7 +23,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, functions as F
 
-from .common import encoded, steps, stored, table, words
+from .common import steps, stored, table, words
 
 WINDOW = 2048
 END_ID = 1
@@ -44,14 +44,23 @@ def tokenizer_path() -> str:
     return public_tokenizers.path("word_bpe_49k.json")
 
 
+# Letters of one code point each, small, that normalisation leaves as they are.
+PLAIN = "^[a-z\u00df-\u00f6\u00f8-\u00ff]+$"
+# Different parts that an encoder remembers, and parts joined into one text for the tokenizer.
+KNOWN, JOINED = 400_000, 5_000
+
+
 class Words:
     """Token ids by white-space separated word, each different word encoded once.
 
     The vocabulary drops white space and never joins what stands on its two sides, so a text's ids are those of its
     words in a row. It also starts a new piece where one of ``MARKS`` follows a letter, and lowers capitals; a word
-    that ends so is encoded as the part up to its last letter, lowered if it is ASCII, and the marks. That letter must
-    still be one after normalisation, which may make it a letter and a combining mark; else the word stays whole.
+    that ends so is encoded as the part up to its last letter, lowered if it is Latin-1, and the marks. That letter
+    must still be one after normalisation, which may make it a letter and a combining mark; else the word stays whole.
     Added tokens such as <|endoftext|> are found in the text as it stands, so a part with "<|" keeps its capitals.
+
+    Parts of ``PLAIN`` letters are one piece each, which ends at the first token with the vocabulary's end-of-word
+    suffix. So many of them are encoded as one text, and their ids are told apart by these tokens.
     """
 
     def __init__(self, path: str) -> None:
@@ -59,18 +68,48 @@ class Words:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
         self.tokenizer = Tokenizer.from_file(path)
-        self.known: dict[str, bytes] = {"": b""}
-
-    def parts(self, values: list[str]) -> list[bytes]:
-        """The ids of each part as bytes."""
-        if len(self.known) > 300_000:
-            self.known = {"": b""}
-        missing = [v for v in values if v not in self.known]
-        for k in range(0, len(missing), 20_000):
-            some = missing[k:k + 20_000]
-            for part, e in zip(some, self.tokenizer.encode_batch_fast(some, add_special_tokens=False)):
-                self.known[part] = array("I", e.ids).tobytes()
-        return [self.known[v] for v in values]
+        vocabulary = self.tokenizer.get_vocab()
+        suffix = getattr(self.tokenizer.model, "end_of_word_suffix", None)
+        self.ends_word = np.zeros(max(vocabulary.values(), default=0) + 1, bool)
+        self.ends_word[[i for token, i in vocabulary.items() if suffix and token.endswith(suffix)]] = True
+        self.forget()
+
+    def forget(self) -> None:
+        self.known = pa.array([""], pa.large_string())
+        self.ids = np.zeros(0, np.uint32)
+        self.lengths = np.zeros(1, np.int64)
+
+    def encode(self, values: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all texts in a row, and their number in each text."""
+        found = [np.array(e.ids, np.uint32) for e in self.tokenizer.encode_batch_fast(values, add_special_tokens=False)]
+        return np.concatenate([np.zeros(0, np.uint32), *found]), np.fromiter(map(len, found), np.int64, len(found))
+
+    def encode_plain(self, values: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        at = np.append(np.arange(0, len(values), JOINED), len(values)).astype(np.int32)
+        lists = pa.ListArray.from_arrays(pa.array(at), values.cast(pa.string()))
+        ids, _ = self.encode(pc.binary_join(lists, " ").to_pylist())
+        ends = np.flatnonzero(self.ends_word[ids])
+        if len(ends) != len(values):
+            return self.encode(values.to_pylist())
+        return ids, np.diff(ends, prepend=-1)
+
+    def learn(self, values: pa.Array) -> None:
+        plain = pc.match_substring_regex(values, PLAIN)
+        for some, encode in ((values.filter(plain), self.encode_plain),
+                             (values.filter(pc.invert(plain)), lambda v: self.encode(v.to_pylist()))):
+            if len(some):
+                ids, lengths = encode(some)
+                self.known = pa.concat_arrays([self.known, some])
+                self.ids, self.lengths = np.concatenate([self.ids, ids]), np.concatenate([self.lengths, lengths])
+
+    def looked_up(self, parts: pa.Array) -> np.ndarray:
+        """The place of each part among the known ones, after the missing ones have been encoded."""
+        if len(self.known) > KNOWN:
+            self.forget()
+        missing = parts.filter(pc.invert(pc.is_in(parts, self.known)))
+        if len(missing):
+            self.learn(pc.unique(missing))
+        return pc.index_in(parts, self.known).to_numpy(zero_copy_only=False).astype(np.int64)
 
     def texts(self, text: pa.Array) -> Iterator[np.ndarray]:
         """The ids of each text as unsigned 32-bit integers."""
@@ -83,27 +122,30 @@ class Words:
         cut = pc.fill_null(steady, False)
         body = pc.if_else(cut, body, vocabulary)
         marks = pc.if_else(cut, pc.struct_field(split, 1), "")
-        lowered = pc.and_not(pc.string_is_ascii(body), pc.match_substring(body, "<|"))
-        body = pc.if_else(lowered, pc.ascii_lower(body), body)
-        codes, different = encoded(pa.chunked_array([body, marks]))
-        ids = self.parts(different)
-        lengths = np.fromiter(map(len, ids), np.int64, len(ids)) // 4
-        flat_ids = np.frombuffer(b"".join(ids), np.uint32)
-        first = np.cumsum(lengths) - lengths
-        of_word = codes.reshape(2, -1).T[both.indices.to_numpy(zero_copy_only=False)].ravel()
-        n = lengths[of_word]
+        lowered = pc.and_not(pc.match_substring_regex(body, "(?s)^[\\x00-\\x{ff}]*$"), pc.match_substring(body, "<|"))
+        body = pc.if_else(lowered, pc.utf8_lower(body), body)
+        place = self.looked_up(pa.concat_arrays([body, marks]))
+        first = np.cumsum(self.lengths) - self.lengths
+        of_word = place.reshape(2, -1).T[both.indices.to_numpy(zero_copy_only=False)].ravel()
+        n = self.lengths[of_word]
         ends = np.concatenate([[0], np.cumsum(n)])
-        everything = flat_ids[np.arange(ends[-1]) + np.repeat(first[of_word] - ends[:-1], n)]
+        everything = self.ids[np.arange(ends[-1]) + np.repeat(first[of_word] - ends[:-1], n)]
         for start, stop in zip(ends[2 * offsets[:-1]], ends[2 * offsets[1:]]):
             yield everything[start:stop]
 
 
+@functools.lru_cache(maxsize=1)
+def encoder(path: str) -> Words:
+    """One encoder per Python worker; tasks that follow in it find the parts of those before."""
+    return Words(path)
+
+
 def _cutter(path: str, window: int, end_id: int):
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = Words(path)
+        known = encoder(path)
         for batch in steps(batches):
             rows = []
-            for doc_id, ids in zip(batch.column("doc_id").to_pylist(), encoder.texts(batch.column("text"))):
+            for doc_id, ids in zip(batch.column("doc_id").to_pylist(), known.texts(batch.column("text"))):
                 ids = np.append(ids, np.uint32(end_id)).astype("<u4")
                 whole = len(ids) // window * window
                 starts = [*range(0, whole, window), *range(whole, len(ids), window // 3)]

@@ -71,6 +71,20 @@ def test_all_letters_before_marks():
         assert all(list(got) == w.ids for got, w in zip(words.texts(pa.array(texts)), want))
 
 
+def test_latin_words_are_joined_and_told_apart(monkeypatch):
+    """Every Latin-1 character inside words, in texts of several batches, with an encoder that forgets between them."""
+    tokenizer, words = Tokenizer.from_file(packing.tokenizer_path()), packing.Words(packing.tokenizer_path())
+    monkeypatch.setattr(packing, "KNOWN", 700)
+    monkeypatch.setattr(packing, "JOINED", 7)
+    chars = [chr(c) for c in range(0x21, 0x100)]
+    texts = [f"{a}{b}{a}t {b}a, <|{a} x{a}" for a in chars for b in (chars[::29])] + ["", None, "stra\u00dfe \u00c9T\u00c9!"]
+    for at in (0, 0, 600, 1100):
+        some = texts[at:at + 500] + texts[-3:]
+        want = tokenizer.encode_batch_fast([t or "" for t in some], add_special_tokens=False)
+        got = list(words.texts(pa.array(some, pa.large_string())))
+        assert len(got) == len(some) and all(list(g) == w.ids for g, w in zip(got, want))
+
+
 def test_documents_fill(spark):
     docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("doc_id", "text")
     rows = [tuple(r) for r in docs.collect()]
