@@ -21,6 +21,7 @@ other component is returned; so no pair of components is missed and no group is
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Iterator
 
 import numpy as np
@@ -33,6 +34,8 @@ from .common import Scratch, components, encoded, mixed, steps, stored, string_h
 
 # Documents of a token up to which its pairs are joined; documents, and tokens of their sets, in a block beyond that.
 HOT, BLOCK, BLOCK_TOKENS = 64, 256, 500_000
+# Parts of all tokens that are shuffled one after the other.
+SLICES = 4
 
 SIGNATURE = "doc_id long, cls long, chk long, n long, prefix array<long>"
 
@@ -193,6 +196,18 @@ def _shared(postings: DataFrame) -> DataFrame:
     return postings.join(stored(ends.where("low <> high").select("token"), "tokens"), "token", "left_semi")
 
 
+def _sliced(postings: DataFrame, scratch: Scratch) -> DataFrame:
+    """The different ``postings`` of shared tokens, found in ``SLICES`` slices of the tokens.
+
+    All documents' postings are shuffled here; the files of one slice are deleted before the next is begun.
+    """
+    slices = [stored(_shared(postings.where(F.pmod("token", F.lit(SLICES)) == k)).distinct(), "slice")
+              for k in range(SLICES)]
+    live = stored(functools.reduce(DataFrame.union, slices), "live")
+    scratch.drop(*slices)
+    return live
+
+
 def _classified(docs: DataFrame, width: int, percent: int, scratch: Scratch) -> tuple[DataFrame, DataFrame]:
     """The rows with their classes (doc_id, cls, n), and each class's component (cls, component_id)."""
     signed = stored(docs.select("doc_id", "text").mapInArrow(_signer(width, percent), SIGNATURE), "signed")
@@ -206,7 +221,7 @@ def _classified(docs: DataFrame, width: int, percent: int, scratch: Scratch) ->
     classes = classes.select("cls", "rep", "n")
 
     least_overlap = F.expr(f"(n * {percent} + 99) DIV 100")
-    live = stored(_shared(ids.select("cls", F.explode("prefix").alias("token"))).distinct(), "live")
+    live = _sliced(ids.select("cls", F.explode("prefix").alias("token")), scratch)
     scratch.drop(signed)
     for _ in range(2):
         enough = live.groupBy("cls").agg(F.count("*").alias("shared")).join(classes, "cls") \
