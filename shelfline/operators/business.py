@@ -139,10 +139,18 @@ def lines_with_headers(items: DataFrame, headers: DataFrame, how: str = "inner")
     return items.join(headers, "transaction_id", how)
 
 
-def daily_item_sales(items: DataFrame, txn: DataFrame) -> DataFrame:
-    """Units and revenue per store, item and day of completed sales."""
-    done = txn.filter(is_completed()).select("transaction_id", "store_id", "transaction_date")
-    return lines_with_headers(items, done).groupBy(
+def daily_item_sales(items: DataFrame, txn: DataFrame | None = None) -> DataFrame:
+    """Units and revenue per store, item and day of completed sales.
+
+    Without ``txn`` the lines carry their header's ``store_id``, ``transaction_date`` and ``status`` themselves and no
+    join is needed; a line without a ``transaction_id`` has no header.
+    """
+    if txn is None:
+        lines = items.filter(is_completed() & F.col("transaction_id").isNotNull())
+    else:
+        done = txn.filter(is_completed()).select("transaction_id", "store_id", "transaction_date")
+        lines = lines_with_headers(items, done)
+    return lines.groupBy(
         "store_id", "item_id", F.col("transaction_date").alias("fecha_venta")
     ).agg(line_total("quantity").alias("unidades"), line_total(line_revenue()).alias("gmv_dia"))
 
@@ -168,24 +176,23 @@ def stockout_gaps(daily: DataFrame, min_gap: int = 3, min_days: int = 7) -> Data
 
 
 def stockout_gaps_calendar(daily: DataFrame, min_gap: int = 3, min_days: int = 7) -> DataFrame:
-    """The same gaps by laying out every calendar day of every pair; a cross-check of ``stockout_gaps``.
+    """The same gaps from one sorted array of sale days per pair, without a window; a cross-check of ``stockout_gaps``.
 
-    A pair's calendar less its sale days stays one array of dates, so idle days need neither a join nor a
-    second shuffle; a day minus its position is constant inside a run of days.
+    The idle runs of a pair's calendar are what lies between neighbours in that array, so no calendar day is laid out.
     """
     pairs = daily.groupBy("store_id", "item_id").agg(
-        F.collect_set("fecha_venta").alias("_sold"), F.count("fecha_venta").alias("dias_con_venta"),
+        F.sort_array(F.collect_set("fecha_venta")).alias("_sold"), F.count("fecha_venta").alias("dias_con_venta"),
         (line_total("unidades") / F.count("fecha_venta")).alias("avg_unidades_dia"),
         (line_total("gmv_dia") / F.count("fecha_venta")).alias("avg_gmv_dia"),
     ).filter(F.col("dias_con_venta") >= min_days)
-    averages = ["dias_con_venta", "avg_unidades_dia", "avg_gmv_dia"]
-    calendar = F.sequence(F.array_min("_sold"), F.array_max("_sold"), F.expr("interval 1 day"))
-    idle = pairs.select(
-        "store_id", "item_id", *averages, F.posexplode(F.array_except(calendar, "_sold")).alias("_pos", "_day"))
-    runs = idle.groupBy("store_id", "item_id", *averages, F.date_sub("_day", F.col("_pos")).alias("_run")).agg(
-        F.min("_day").alias("gap_inicio"), F.max("_day").alias("gap_fin"),
-        F.count(F.lit(1)).cast("int").alias("duracion_dias")).filter(F.col("duracion_dias") >= min_gap)
-    return runs.select("store_id", "item_id", "gap_inicio", "gap_fin", "duracion_dias", *averages)
+    between = F.greatest(F.size("_sold") - 1, F.lit(0))
+    runs = F.zip_with(
+        F.slice("_sold", 1, between), F.slice("_sold", 2, between),
+        lambda a, b: F.struct(F.date_add(a, 1).alias("gap_inicio"), F.date_sub(b, 1).alias("gap_fin"),
+                              (F.datediff(b, a) - 1).alias("duracion_dias")))
+    return pairs.select(
+        "store_id", "item_id", F.inline(F.filter(runs, lambda r: r["duracion_dias"] >= max(min_gap, 1))),
+        "dias_con_venta", "avg_unidades_dia", "avg_gmv_dia")
 
 
 def _lost_sales(gaps: DataFrame, stores: DataFrame, products: DataFrame, n: int | None) -> DataFrame:
@@ -200,13 +207,13 @@ def _lost_sales(gaps: DataFrame, stores: DataFrame, products: DataFrame, n: int
     return named.orderBy(F.desc("gmv_estimado_perdido"), "store_id", "item_id", "gap_inicio").limit(n)
 
 
-def q5_stockouts(items: DataFrame, txn: DataFrame, stores: DataFrame, products: DataFrame,
+def q5_stockouts(items: DataFrame, txn: DataFrame | None, stores: DataFrame, products: DataFrame,
                  min_gap: int = 3, min_days: int = 7, n: int | None = 200) -> DataFrame:
     """The ``n`` probable stock-outs with the largest estimated loss; ``n=None`` returns all."""
     return _lost_sales(stockout_gaps(daily_item_sales(items, txn), min_gap, min_days), stores, products, n)
 
 
-def q5_stockouts_calendar(items: DataFrame, txn: DataFrame, stores: DataFrame, products: DataFrame,
+def q5_stockouts_calendar(items: DataFrame, txn: DataFrame | None, stores: DataFrame, products: DataFrame,
                           min_gap: int = 3, min_days: int = 7, n: int | None = 200) -> DataFrame:
     return _lost_sales(stockout_gaps_calendar(daily_item_sales(items, txn), min_gap, min_days), stores, products, n)
 

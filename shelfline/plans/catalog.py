@@ -276,12 +276,11 @@ def q4_gmroi(spark, d):
 
 def _shelf_args(spark, d):
     t = adapter.shelf(spark, d)
-    return t["transaction_items"], t["transactions"], t["stores"], t["products"]
+    return t["lines_with_header"], None, t["stores"], t["products"]
 
 
 def _shelf_daily(spark, d):
-    t = adapter.shelf(spark, d)
-    return business.daily_item_sales(t["transaction_items"], t["transactions"])
+    return business.daily_item_sales(adapter.shelf(spark, d)["lines_with_header"])
 
 
 @query
