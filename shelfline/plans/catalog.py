@@ -898,9 +898,10 @@ def kpi9_store_score(spark, d):
 
 @query
 def kpi_checks(spark, d):
-    """Facts, headers and daily sales are read many times, so they are written once first, as in a daily load."""
-    facts, txn, daily = _stored(spark, _facts(spark, d)), _stored(spark, adapter.transactions(spark, d)), _stored(
-        spark, _shelf_daily(spark, d))
+    """Facts, headers and stock-out counts are read many times, so they are written once first, as in a daily load."""
+    facts, txn = _stored(spark, _facts(spark, d)), _stored(spark, adapter.transactions(spark, d))
+    daily = _shelf_daily(spark, d)
+    oos = _stored(spark, kpi.oos_counts(daily, ["store_id"]))
     stores = _dim_store(spark, d)
     return kpi.kpi_checks({
         "kpi1": kpi.kpi1_comp_growth(facts, stores),
@@ -911,7 +912,7 @@ def kpi_checks(spark, d):
         "kpi6": kpi.kpi6_loyalty_rate(txn),
         "kpi6_day": kpi.kpi6_loyalty_rate(txn, period="day"),
         "kpi7": kpi.kpi7_gmroi_vendor(facts, adapter.products(spark, d), adapter.vendors(spark, d)),
-        "kpi8": kpi.kpi8_oos_rate(daily),
-        "kpi8_store": kpi.kpi8_oos_rate(daily, ["store_id"]),
+        "kpi8": kpi.kpi8_oos_rate(daily, counts=oos),
+        "kpi8_store": kpi.kpi8_oos_rate(daily, ["store_id"], counts=oos),
         "kpi9": _score(spark, facts, stores, txn),
     })
