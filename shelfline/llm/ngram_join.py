@@ -12,9 +12,9 @@ at least ``l``. The join intersects the filters of three orders, each by another
 
 Equal texts form one class before anything is posted, and links are looked for between classes. Large groups of near
 copies are linked through one pivot per token first; after that only documents of *different* components are compared.
-For tokens of up to ``HOT`` documents such pairs are joined and their shared tokens counted. Documents that share a
-more frequent token are posted again under a fourth order, rarest tokens first, whose prefixes hold frequent tokens
-only where nearly the whole text is frequent. Documents that share such a token even so are put into blocks of bounded
+For tokens of up to ``HOT`` documents such pairs are joined and their shared tokens counted; their frequent tokens count
+as shared. Documents with so many frequent tokens that these alone could make them similar are posted again under a
+fourth order, rarest tokens first, whose prefixes hold frequent tokens only where nearly the whole text is frequent. Documents that share such a token even so are put into blocks of bounded
 size; inside a block's task the second and third order choose the candidates, and at most a link per document and
 other component is returned; so no pair of components is missed and no group is expanded into its pairs.
 """
@@ -286,21 +286,27 @@ def _classified(docs: DataFrame, width: int, percent: int, scratch: Scratch) ->
     several = stored(held.groupBy("token").agg(
         F.count("*").alias("times"), F.min("comp").alias("cluster"), F.max("comp").alias("last"))
         .where("cluster <> last").select("token", "times", "cluster"), "several")
-    sides = stored(held.join(several.where(F.col("times") <= HOT).select("token"), "token"), "sides")
-    frequent = stored(held.join(several.where(F.col("times") > HOT).select("token"), "token")
-                      .select("cls", "comp", "n").distinct(), "frequent")
-    scratch.drop(held, several)
-
-    def together(postings: DataFrame) -> DataFrame:
-        left, right = (postings.select("token", *[F.col(c).alias(f"{c}_{x}") for c in ("cls", "n", "comp")])
+    often = stored(held.join(several.where(F.col("times") > HOT).select("token"), "token")
+                   .groupBy("cls", "comp", "n").agg(F.count("*").alias("often")), "often")
+    sides = stored(held.join(several.where(F.col("times") <= HOT).select("token"), "token")
+                   .join(often.select("cls", "often"), "cls", "left").fillna(0, ["often"]), "sides")
+    # Only documents with that many frequent tokens can be similar without sharing a rare one.
+    many = F.col("often") >= 1 + F.floor(least_overlap / 5)
+    frequent = stored(often.where(many).select("cls", "comp", "n"), "frequent")
+    scratch.drop(held, several, often)
+
+    def together(postings: DataFrame, *more: str) -> DataFrame:
+        left, right = (postings.select("token", *[F.col(c).alias(f"{c}_{x}") for c in ("cls", "n", "comp", *more)])
                        for x in "ab")
         return left.join(right, "token").where(
             (F.col("comp_a") != F.col("comp_b")) & (F.col("cls_a") < F.col("cls_b")) & near("n_a", "n_b")) \
             .withColumnsRenamed({"cls_a": "a", "cls_b": "b"})
 
-    # A pair that shares no frequent token shares all its posted tokens here.
-    pairs = together(sides).groupBy("a", "b", "n_a", "n_b").agg(F.count("*").alias("shared")) \
-        .where(F.col("shared") >= 1 + F.floor(F.least("n_a", "n_b") / 5)).select("a", "b")
+    # What a pair lacks in shared rare tokens it may share in frequent ones; two documents with many meet below.
+    in_common = F.when(F.col("many_a") & F.col("many_b"), 0).otherwise(F.least("often_a", "often_b"))
+    pairs = together(sides.withColumn("many", many), "often", "many") \
+        .groupBy("a", "b", "n_a", "n_b", in_common.alias("often")).agg(F.count("*").alias("shared")) \
+        .where(F.col("shared") + F.col("often") >= 1 + F.floor(F.least("n_a", "n_b") / 5)).select("a", "b")
     if tested is not None:
         pairs = pairs.join(tested, ["a", "b"], "left_anti")
     pairs = stored(pairs, "pairs")
@@ -308,7 +314,7 @@ def _classified(docs: DataFrame, width: int, percent: int, scratch: Scratch) ->
     found = [verified(pairs)]
     tested = pairs if tested is None else tested.union(pairs)
 
-    # Documents with frequent tokens are posted again, by the rarest tokens of their whole sets.
+    # Documents with many frequent tokens are posted again, by the rarest tokens of their whole sets.
     spread = sets.join(frequent, ["cls", "n"]).select("cls", "comp", "n", F.explode("tokens").alias("token"))
     times = stored(spread.groupBy("token").agg(F.count("*").alias("times")).where("times > 1"), "times")
     rare = stored(spread.join(times, "token").groupBy("cls", "comp", "n").agg(

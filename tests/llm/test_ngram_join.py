@@ -80,6 +80,43 @@ def test_frequent_tokens_in_blocks(spark, monkeypatch):
     assert run(spark, rows) == brute(rows)
 
 
+@pytest.mark.parametrize("seed", [1, 2])
+def test_rare_and_frequent_tokens_together(spark, monkeypatch, seed):
+    """Texts of shared and own blocks: similar pairs share some frequent tokens and some rare ones."""
+    monkeypatch.setattr(ngram_join, "HOT", 4)
+    monkeypatch.setattr(ngram_join, "BLOCK", 16)
+    rng = random.Random(seed)
+    shared = [[f"b{j}_{i}" for i in range(20)] for j in range(5)]
+    rows = []
+    for k in range(0, 90, 3):
+        blocks = rng.sample(shared, rng.randint(1, 4)) + [[f"o{k}_{i}" for i in range(rng.randint(10, 40))]]
+        for copy in range(3):
+            words = sum(blocks, [])
+            for _ in range(copy + rng.randint(0, 1)):
+                words[rng.randrange(len(words))] = f"x{k}_{copy}"
+            rows.append((k + copy, " ".join(words)))
+    assert run(spark, rows) == brute(rows)
+
+
+def test_common_passage_is_not_posted_again(spark, monkeypatch):
+    """Near copies with one passage that all texts share: its tokens alone make no two texts similar."""
+    monkeypatch.setattr(ngram_join, "HOT", 4)
+    counts, store = {}, ngram_join.stored
+
+    def counted(df, name):
+        out = store(df, name)
+        counts[name] = out.count()
+        return out
+
+    monkeypatch.setattr(ngram_join, "stored", counted)
+    passage = " ".join(f"p{i}" for i in range(20))
+    own = [[f"w{k}_{i}" for i in range(80)] for k in range(12)]
+    rows = [(k, passage + " " + " ".join(w)) for k, w in enumerate(own)]
+    rows += [(20 + k, passage + " " + " ".join(w[:40] + ["other"] + w[41:])) for k, w in enumerate(own)]
+    assert run(spark, rows) == brute(rows)
+    assert counts["frequent"] == 0
+
+
 def test_empty_table(spark):
     assert run(spark, []) == []
 
